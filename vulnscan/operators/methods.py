@@ -177,7 +177,7 @@ def assemble_methods(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("m_start")
     return g.select(
         key,
-        (F.row_number().over(w) - 1).alias("method_idx"),
+        (F.row_number().over(w) - 1).cast("bigint").alias("method_idx"),
         method_name(F.col("header")).alias("name"),
         (F.col("seg_off") + F.length("raw") - F.length(method)).alias("start_pos"),
         (F.col("stop") - 1).alias("end_pos"),

@@ -1,0 +1,167 @@
+"""End-to-end jobs (E1-E5) and result views.
+
+E1 (scan files) plan: files are hash-partitioned by file key once; method
+extraction runs per file without further exchange and its result is
+checkpointed to the shared checkpoint folder (a stage boundary that also
+survives executor loss). Scoring explodes the tokens of each method, joins
+the bounded weight table by broadcast and sums per method; the line ranking
+runs only on tokens of flagged methods, with windows per method.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.constants import FIXED_BIAS, THRESHOLD, TOP_LINES
+from ..functions.text import clean_multi_line
+from ..operators.attribution import ranked_top_lines
+from ..operators.dataset import prepare_dataset, row_hash, select_split, drop_duplicates, project_snippets
+from ..operators.features import tokenize_code, with_markers
+from ..operators.methods import extract_methods
+from ..operators.metrics import passes_gate, report
+from ..operators.scoring import (
+    apply_classifier,
+    fixed_weights,
+    row_log_loss,
+    softmax_p1,
+    threshold_flag,
+    token_weights,
+    train_classifier,
+)
+from ..session import cut_lineage
+
+
+def method_token_rows(methods: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pos, token) of ``[cls] + tokens(T5(method)) + [sep]``."""
+    seq = with_markers(tokenize_code(clean_multi_line("method")))
+    return methods.select(*keys, F.posexplode(seq).alias("pos", "token"))
+
+
+def scan_files(
+    files: DataFrame,
+    key: str = "doc_id",
+    weights: DataFrame | None = None,
+    bias: float = FIXED_BIAS,
+    threshold: float = THRESHOLD,
+    line_level: bool = True,
+    checkpoint: bool = True,
+    top_k: int = TOP_LINES,
+) -> DataFrame:
+    """(key, method_idx, name, method, p1, vulnerable[, vul_lines]).
+
+    ``vul_lines`` holds up to ``top_k`` line indices (comma-joined, in rank
+    order) for flagged methods and NULL (the ``[None]`` of the original) for
+    the others.
+    """
+    spark = files.sparkSession
+    weights = weights if weights is not None else fixed_weights(spark)
+    methods = extract_methods(files, key)
+    if checkpoint:
+        methods = cut_lineage(methods)
+    keys = [key, "method_idx"]
+    tok = token_weights(method_token_rows(methods, keys), weights)
+
+    scores = tok.groupBy(*keys).agg((F.sum("w") + F.lit(bias)).alias("logit1"))
+    p1 = softmax_p1(F.lit(0.0), F.col("logit1"))
+    scores = scores.select(*keys, p1.alias("p1_raw"))
+    out = methods.join(scores, keys).select(
+        *keys, "name", "method",
+        F.round("p1_raw", 6).alias("p1"),
+        threshold_flag(F.col("p1_raw"), threshold).alias("vulnerable"),
+    )
+    if not line_level:
+        return out
+
+    # Gate before ranking: only tokens of flagged methods reach the windows.
+    wm = Window.partitionBy(*keys)
+    flagged_p1 = softmax_p1(F.lit(0.0), F.sum("w").over(wm) + F.lit(bias))
+    flagged = (
+        tok.withColumn("_p1", flagged_p1)
+        .filter(threshold_flag(F.col("_p1"), threshold) == 1)
+        .select(*keys, "pos", "token", F.greatest(F.col("w"), F.lit(0.0)).alias("score"))
+    )
+    top = ranked_top_lines(flagged, keys, padding=False, k=top_k)
+    return out.join(top, keys, "left").select(
+        *keys, "name", "method", "p1", "vulnerable",
+        F.when(F.col("vulnerable") == 1, F.coalesce("vul_lines", F.lit(""))).alias("vul_lines"),
+    )
+
+
+def vulnerable_rows(results: DataFrame) -> DataFrame:
+    """The flagged methods only."""
+    return results.filter(F.col("vulnerable") == 1)
+
+
+def file_verdict(files: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFrame:
+    """P5: 1 if any method of the file is flagged; files without methods are clean."""
+    per_file = results.groupBy(key).agg(F.max("vulnerable").alias("v"))
+    return files.select(key).join(per_file, key, "left").select(
+        key, F.coalesce("v", F.lit(0)).cast("int").alias("vulnerable")
+    )
+
+
+def score_texts(
+    df: DataFrame, keys: list[str], text_col: str, weights: DataFrame | None = None,
+    bias: float = FIXED_BIAS, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """Fixed-weight linear scoring of whole texts: (keys, logit0, logit1, p1, pred)."""
+    weights = weights if weights is not None else fixed_weights(df.sparkSession)
+    # Outer explode: a text without tokens keeps one row and gets logit1 = bias.
+    t = df.select(*keys, F.explode_outer(tokenize_code(clean_multi_line(text_col))).alias("token"))
+    s = token_weights(t, weights).groupBy(*keys).agg(F.sum("w").alias("z"))
+    l1 = F.col("z") + F.lit(bias)
+    return s.select(
+        *keys, F.lit(0.0).alias("logit0"), l1.alias("logit1"),
+    ).withColumn("p1", softmax_p1(F.col("logit0"), F.col("logit1"))).withColumn(
+        "pred", threshold_flag(F.col("p1"), threshold)
+    )
+
+
+def score_snippets(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """E5: every distinct snippet scored: (row_id, p1, vulnerable)."""
+    uniq = drop_duplicates(project_snippets(snippets))
+    d = uniq.withColumn("row_id", row_hash(["Snippet", "Target", "CWE"]))
+    s = score_texts(d, ["row_id"], "Snippet", threshold=threshold)
+    return s.select("row_id", F.round("p1", 6).alias("p1"), F.col("pred").alias("vulnerable"))
+
+
+def _scored_split(snippets: DataFrame, split: str, threshold: float) -> DataFrame:
+    ds = select_split(prepare_dataset(snippets), split)
+    s = score_texts(ds, ["row_id", "Target"], "Snippet", threshold=threshold)
+    return s.withColumn("label", F.col("Target")).withColumn(
+        "loss", row_log_loss(F.col("logit0"), F.col("logit1"), F.col("label"))
+    )
+
+
+def eval_report(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """G5 on the validation split with the fixed scorer."""
+    return report(_scored_split(snippets, "val", threshold), "eval", threshold=threshold)
+
+
+def test_report(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """G6 on the test split with the fixed scorer."""
+    return report(_scored_split(snippets, "test", threshold), "test", threshold=threshold, with_counts=True)
+
+
+def evaluate_test(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Test report plus the quality gate."""
+    rep = test_report(snippets, threshold)
+    return rep.withColumn("passed", passes_gate(F.col("test_f1")))
+
+
+def train_and_eval(snippets: DataFrame, reg_param: float = 0.01, threshold: float = THRESHOLD):
+    """Fit the MLlib pipeline on 'train', report on 'val'. Returns
+    (model, report DataFrame)."""
+    ds = prepare_dataset(snippets)
+    feats = ds.select(
+        "row_id", "split", F.col("Target").alias("label"),
+        tokenize_code(clean_multi_line("Snippet")).alias("tokens"),
+    )
+    feats = cut_lineage(feats)
+    model = train_classifier(select_split(feats, "train"), reg_param=reg_param)
+    val = apply_classifier(model, select_split(feats, "val"))
+    val = val.withColumn("pred", threshold_flag(F.col("p1"), threshold)).withColumn(
+        "loss", -F.log(F.when(F.col("label") == 1, F.col("p1")).otherwise(1 - F.col("p1")))
+    )
+    return model, report(val, "eval", threshold=threshold)
