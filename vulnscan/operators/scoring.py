@@ -159,6 +159,8 @@ def make_fixed_linear_model(vocab=tuple(t for t, _ in FIXED_WEIGHTS)):
 
 def token_count_features(tokens_col: str, vocab=tuple(t for t, _ in FIXED_WEIGHTS)) -> Column:
     """Counts of each vocabulary token in an array column (JVM side)."""
-    return F.array(
-        *[F.size(F.filter(F.col(tokens_col), lambda x, t=t: x == t)).cast("double") for t in vocab]
-    )
+    def equals(t):
+        # one-argument lambda: Spark passes the element index as a second one
+        return lambda x: x == F.lit(t)
+
+    return F.array(*[F.size(F.filter(F.col(tokens_col), equals(t))).cast("double") for t in vocab])

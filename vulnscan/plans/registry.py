@@ -828,3 +828,102 @@ def q_text_checksums(spark, sf):
         F.octet_length("text").cast("bigint").alias("n_bytes"),
     )
 
+
+
+# ---------------------------------------------------------------------------
+# Rows-only queries: sources and sinks (S1-S7), MLlib (C1, S6), batch UDF
+# These write to (and read back from) the shared checkpoint folder.
+# ---------------------------------------------------------------------------
+
+from ..session import cut_lineage, scratch_path  # noqa: E402
+from ..sources import io as S  # noqa: E402
+from ..streaming import scan_stream as ST  # noqa: E402
+
+
+def _materialised_code_files(spark, sf) -> str:
+    path = scratch_path(spark, "code-files")
+    S.write_code_files(fx.code_files(spark, sf), path)
+    return path
+
+
+@register("src_code_files")
+def q_src_code_files(spark, sf):
+    path = _materialised_code_files(spark, sf)
+    return S.read_code_files(spark, path).select("doc_id", "path", "code")
+
+
+@register("file_manifest")
+def q_file_manifest(spark, sf):
+    raw = S.read_code_bytes(spark, _materialised_code_files(spark, sf))
+    return S.file_manifest(raw).select("doc_id", "md5", "size")
+
+
+@register("decode_utf8")
+def q_decode_utf8(spark, sf):
+    raw = S.read_code_bytes(spark, _materialised_code_files(spark, sf))
+    return S.decode_files(raw).select("doc_id", "valid", "code")
+
+
+@register("src_csv_roundtrip")
+def q_src_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "snippets-csv")
+    S.write_snippets_csv(X.project_snippets(fx.snippets(spark, sf)), path)
+    return S.read_snippets(spark, path)
+
+
+@register("sink_splits")
+def q_sink_splits(spark, sf):
+    path = scratch_path(spark, "splits")
+    S.write_splits(X.prepare_dataset(fx.snippets(spark, sf)), path)
+    return S.read_split(spark, path, "test")
+
+
+def _train(spark, sf):
+    ds = X.prepare_dataset(fx.snippets(spark, sf))
+    feats = ds.select(
+        "row_id", "split", F.col("Target").alias("label"),
+        FT.tokenize_code(T.clean_multi_line("Snippet")).alias("tokens"),
+    )
+    feats = cut_lineage(feats)
+    model = C.train_classifier(X.select_split(feats, "train"))
+    return model, feats
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf):
+    model, feats = _train(spark, sf)
+    val = C.apply_classifier(model, X.select_split(feats, "val"))
+    return val.select("row_id", "label", F.round("p1", 6).alias("p1"), C.threshold_flag(F.col("p1")).alias("pred"))
+
+
+@register("train_and_eval")
+def q_train_and_eval(spark, sf):
+    return P.train_and_eval(fx.snippets(spark, sf))[1]
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    model, feats = _train(spark, sf)
+    path = scratch_path(spark, "model")
+    C.save_model(model, path)
+    loaded = C.load_model(path)
+    val = X.select_split(feats, "val")
+    a = C.apply_classifier(model, val).select("row_id", F.col("p1").alias("p1_fitted"))
+    b = C.apply_classifier(loaded, val).select("row_id", F.col("p1").alias("p1_loaded"))
+    return a.join(b, "row_id")
+
+
+@register("score_batch_udf")
+def q_score_batch_udf(spark, sf):
+    t = _code_tokens(spark, sf).select("doc_id", C.token_count_features("toks").alias("x"))
+    score = C.batch_scorer(C.make_fixed_linear_model())
+    return t.select("doc_id", F.round(score("x"), 6).alias("p1"))
+
+
+@register("stream_scan")
+def q_stream_scan(spark, sf):
+    src = _materialised_code_files(spark, sf)
+    out = ST.run_scan_stream(
+        spark, src, scratch_path(spark, "scan-sink"), scratch_path(spark, "scan-stream-ckpt")
+    )
+    return out.select("doc_id", "method_idx", "name", "method", "p1", "vulnerable", "vul_lines")
