@@ -128,7 +128,7 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
-def batch_scorer(make_predict_fn: Callable, batch_size: int = 1024):
+def batch_scorer(make_predict_fn: Callable, n_features: int, batch_size: int = 1024):
     """Wrap a model factory as an Arrow-batched Spark function.
 
     ``make_predict_fn()`` is called once per Python worker and must return a
@@ -136,7 +136,12 @@ def batch_scorer(make_predict_fn: Callable, batch_size: int = 1024):
     """
     from pyspark.ml.functions import predict_batch_udf
 
-    return predict_batch_udf(make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size)
+    return predict_batch_udf(
+        make_predict_fn,
+        return_type=T.DoubleType(),
+        batch_size=batch_size,
+        input_tensor_shapes=[[n_features]],
+    )
 
 
 def make_fixed_linear_model(vocab=tuple(t for t, _ in FIXED_WEIGHTS)):

@@ -52,7 +52,11 @@ def code_files_from(docs: DataFrame) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_files_from(documents(spark, sf_dir))
+    """Hash-partitioned by ``doc_id`` right after the scan: the text work
+    (regex cleaning, tokenizing, brace matching) is CPU-bound, a scan split
+    of few large row groups would leave cores idle, and every per-file
+    window or ``groupBy(doc_id)`` downstream reuses this partitioning."""
+    return code_files_from(documents(spark, sf_dir).repartition("doc_id"))
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:

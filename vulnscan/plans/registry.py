@@ -913,10 +913,10 @@ def q_model_roundtrip(spark, sf):
     return a.join(b, "row_id")
 
 
-@register("score_batch_udf")
+@register("score_batch_udf", _sql(_SC_CTES, "SELECT doc_id, round(p1, 6) AS p1 FROM st_scored"))
 def q_score_batch_udf(spark, sf):
     t = _code_tokens(spark, sf).select("doc_id", C.token_count_features("toks").alias("x"))
-    score = C.batch_scorer(C.make_fixed_linear_model())
+    score = C.batch_scorer(C.make_fixed_linear_model(), n_features=len(C.FIXED_WEIGHTS))
     return t.select("doc_id", F.round(score("x"), 6).alias("p1"))
 
 
