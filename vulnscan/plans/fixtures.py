@@ -89,7 +89,9 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-text token table: newline -> separator token, integer scores."""
-    d = documents(spark, sf_dir)
+    # Partitioned by doc_id before the explode: the text moves, not the token
+    # rows, and the per-document windows downstream need no exchange.
+    d = documents(spark, sf_dir).repartition("doc_id")
     words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" " + NEWLINE_MARKER + " ")), " ")
     t = d.select("doc_id", F.posexplode(words).alias("pos", "token")).filter(F.col("token") != "")
     h = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("pos").cast("string")))
