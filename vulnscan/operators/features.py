@@ -93,18 +93,29 @@ def build_vocab(
     return reserved_vocab(df.sparkSession).unionByName(learnt)
 
 
+def _lookup_table(vocab: DataFrame, bounded: bool) -> DataFrame:
+    """The vocabulary for the id join: broadcast as is when it comes from
+    ``build_vocab`` (at most ``max_size`` rows), else only after a size check."""
+    from .scoring import broadcast_if_small
+
+    v = vocab.select("token", "id")
+    return F.broadcast(v) if bounded else broadcast_if_small(v, VOCAB_MAX_SIZE + N_RESERVED_IDS)
+
+
 def encode_ids(
-    df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens", carry: tuple = ()
+    df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens", carry: tuple = (),
+    bounded: bool = True,
 ) -> DataFrame:
     """(key, *carry, tokens, ids) with unknown tokens mapped to the unk id.
 
-    The vocabulary is bounded (``build_vocab``), so it is broadcast; the
+    A ``build_vocab`` table is bounded, so it is broadcast (``bounded=False``
+    checks the size of any other table first); the
     re-grouping by ``key`` reuses the input's partitioning when the input is
     already partitioned by ``key``. Empty token arrays survive (outer
     explode). ``carry`` columns are constant per key and ride along.
     """
     t = df.select(key, *carry, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    v = F.broadcast(vocab.select("token", "id"))
+    v = _lookup_table(vocab, bounded)
     j = t.join(v, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "id"))
     srt = F.array_sort(F.collect_list(item))
@@ -115,10 +126,10 @@ def encode_ids(
     )
 
 
-def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
+def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids", bounded: bool = True) -> DataFrame:
     """(key, tokens) by reverse lookup; unknown ids -> unk token."""
     t = df.select(key, F.posexplode_outer(ids_col).alias("pos", "id"))
-    v = F.broadcast(vocab.select("token", "id"))
+    v = _lookup_table(vocab, bounded)
     j = t.join(v, "id", "left").withColumn("token", F.coalesce("token", F.lit(UNK_TOKEN)))
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
     toks = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["token"])

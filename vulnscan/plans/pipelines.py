@@ -10,7 +10,7 @@ runs only on tokens of flagged methods, with windows per method.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FIXED_BIAS, THRESHOLD, TOP_LINES
@@ -32,12 +32,6 @@ from ..operators.scoring import (
 from ..session import cut_lineage
 
 
-def method_token_rows(methods: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, token) of ``[cls] + tokens(T5(method)) + [sep]``."""
-    seq = with_markers(tokenize_code(clean_multi_line("method")))
-    return methods.select(*keys, F.posexplode(seq).alias("pos", "token"))
-
-
 def scan_files(
     files: DataFrame,
     key: str = "doc_id",
@@ -53,37 +47,44 @@ def scan_files(
     ``vul_lines`` holds up to ``top_k`` line indices (comma-joined, in rank
     order) for flagged methods and NULL (the ``[None]`` of the original) for
     the others.
+
+    Plan: methods and their token arrays are computed once (and written to
+    the checkpoint folder). Method scores are a partial-then-final sum, so
+    one small row per method crosses the shuffle. The join of methods and
+    scores fixes the partitioning by (key, method_idx); the tokens of flagged
+    methods are exploded from that result, so the ranking windows and the
+    final join need no further exchange.
     """
     spark = files.sparkSession
     weights = weights if weights is not None else fixed_weights(spark)
-    methods = extract_methods(files, key)
+    keys = [key, "method_idx"]
+    seq = with_markers(tokenize_code(clean_multi_line("method")))
+    methods = extract_methods(files, key).select(*keys, "name", "method", seq.alias("_toks"))
     if checkpoint:
         methods = cut_lineage(methods)
-    keys = [key, "method_idx"]
-    tok = token_weights(method_token_rows(methods, keys), weights)
-
-    scores = tok.groupBy(*keys).agg((F.sum("w") + F.lit(bias)).alias("logit1"))
-    p1 = softmax_p1(F.lit(0.0), F.col("logit1"))
-    scores = scores.select(*keys, p1.alias("p1_raw"))
-    out = methods.join(scores, keys).select(
-        *keys, "name", "method",
-        F.round("p1_raw", 6).alias("p1"),
-        threshold_flag(F.col("p1_raw"), threshold).alias("vulnerable"),
+
+    tok = token_weights(methods.select(*keys, F.explode("_toks").alias("token")), weights)
+    scores = tok.groupBy(*keys).agg((F.sum("w") + F.lit(bias)).alias("_logit1"))
+    p1 = softmax_p1(F.lit(0.0), F.col("_logit1"))
+    scored = methods.join(scores, keys).select(
+        *keys, "name", "method", "_toks",
+        F.round(p1, 6).alias("p1"),
+        threshold_flag(p1, threshold).alias("vulnerable"),
     )
+    out_cols = [*keys, "name", "method", "p1", "vulnerable"]
     if not line_level:
-        return out
-
-    # Gate before ranking: only tokens of flagged methods reach the windows.
-    wm = Window.partitionBy(*keys)
-    flagged_p1 = softmax_p1(F.lit(0.0), F.sum("w").over(wm) + F.lit(bias))
-    flagged = (
-        tok.withColumn("_p1", flagged_p1)
-        .filter(threshold_flag(F.col("_p1"), threshold) == 1)
-        .select(*keys, "pos", "token", F.greatest(F.col("w"), F.lit(0.0)).alias("score"))
+        return scored.select(*out_cols)
+
+    # Gate before ranking: only tokens of flagged methods are exploded.
+    flagged = scored.filter(F.col("vulnerable") == 1).select(
+        *keys, F.posexplode("_toks").alias("pos", "token")
+    )
+    flagged = token_weights(flagged, weights).select(
+        *keys, "pos", "token", F.greatest(F.col("w"), F.lit(0.0)).alias("score")
     )
     top = ranked_top_lines(flagged, keys, padding=False, k=top_k)
-    return out.join(top, keys, "left").select(
-        *keys, "name", "method", "p1", "vulnerable",
+    return scored.join(top, keys, "left").select(
+        *out_cols,
         F.when(F.col("vulnerable") == 1, F.coalesce("vul_lines", F.lit(""))).alias("vul_lines"),
     )
 

@@ -45,8 +45,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
-        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(conf_dir or tempfile.mkdtemp(prefix="vulnscan-ckpt-"))
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if conf_dir:
+            sc.setCheckpointDir(conf_dir)
+        elif sc.master.startswith("local"):
+            # single-machine runs and tests only
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="vulnscan-ckpt-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         d = sc.getCheckpointDir()
     return d
 
