@@ -79,8 +79,10 @@ def build_vocab(
     ``4 + rank`` by (count desc, token asc). Counting uses partial
     aggregation, so a very frequent token collapses map-side."""
     counts = (
-        df.select(F.explode(tokens_col).alias("token"))
-        .filter(F.length("token") <= max_token_chars)
+        # outer form + null filter: a plain explode would make Catalyst repeat
+        # the tokenizing expression in an inferred ``size(...) > 0`` filter
+        df.select(F.explode_outer(tokens_col).alias("token"))
+        .filter(F.col("token").isNotNull() & (F.length("token") <= max_token_chars))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )

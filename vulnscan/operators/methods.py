@@ -72,10 +72,12 @@ def method_name(header: Column) -> Column:
 def parse_tokens(files: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
     """(key, i, tok, off, pdepth, is_delim, seg) for every structural token."""
     clean = clean_single_line(F.col(code), drop_directives=True)
+    # The outer form: a plain explode makes Catalyst infer a ``size(...) > 0``
+    # filter that repeats the whole cleaning and tokenizing expression.
     t = files.select(
         F.col(key),
-        F.posexplode(F.regexp_extract_all(clean, F.lit(PARSE_TOKEN_RE), 0)).alias("i", "tok"),
-    )
+        F.posexplode_outer(F.regexp_extract_all(clean, F.lit(PARSE_TOKEN_RE), 0)).alias("i", "tok"),
+    ).filter(F.col("i").isNotNull())
     w = Window.partitionBy(key).orderBy("i")
     prev = w.rowsBetween(*_UNBOUNDED_TO_PREV)
     pdelta = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)

@@ -93,7 +93,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rows, and the per-document windows downstream need no exchange.
     d = documents(spark, sf_dir).repartition("doc_id")
     words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" " + NEWLINE_MARKER + " ")), " ")
-    t = d.select("doc_id", F.posexplode(words).alias("pos", "token")).filter(F.col("token") != "")
+    t = d.select("doc_id", F.posexplode_outer(words).alias("pos", "token")).filter(F.col("token") != "")
     h = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("pos").cast("string")))
     return t.select("doc_id", "pos", "token", (_hex_int(h, 2) % 4).alias("score"))
 

@@ -63,7 +63,9 @@ def scan_files(
     if checkpoint:
         methods = cut_lineage(methods)
 
-    tok = token_weights(methods.select(*keys, F.explode("_toks").alias("token")), weights)
+    # outer forms: every method has its two markers, and a plain explode would
+    # repeat the tokenizing expression in an inferred filter (no checkpoint)
+    tok = token_weights(methods.select(*keys, F.explode_outer("_toks").alias("token")), weights)
     scores = tok.groupBy(*keys).agg((F.sum("w") + F.lit(bias)).alias("_logit1"))
     p1 = softmax_p1(F.lit(0.0), F.col("_logit1"))
     scored = methods.join(scores, keys).select(
@@ -77,7 +79,7 @@ def scan_files(
 
     # Gate before ranking: only tokens of flagged methods are exploded.
     flagged = scored.filter(F.col("vulnerable") == 1).select(
-        *keys, F.posexplode("_toks").alias("pos", "token")
+        *keys, F.posexplode_outer("_toks").alias("pos", "token")
     )
     flagged = token_weights(flagged, weights).select(
         *keys, "pos", "token", F.greatest(F.col("w"), F.lit(0.0)).alias("score")

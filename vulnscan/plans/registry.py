@@ -635,7 +635,9 @@ LEFT JOIN weights w ON t.token = w.token""",
     ),
 )
 def q_linear_token_scores(spark, sf):
-    t = _code_tokens(spark, sf).select("doc_id", F.posexplode("toks").alias("pos", "token"))
+    t = _code_tokens(spark, sf).select("doc_id", F.posexplode_outer("toks").alias("pos", "token")).filter(
+        F.col("pos").isNotNull()
+    )
     t = t.withColumn("pos", F.col("pos").cast("bigint"))
     return A.linear_token_scores(t, C.fixed_weights(spark)).select("doc_id", "pos", "token", "score")
 
