@@ -91,6 +91,26 @@ def scan_files(
     )
 
 
+def method_flags(
+    files: DataFrame,
+    key: str = "doc_id",
+    weights: DataFrame | None = None,
+    bias: float = FIXED_BIAS,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """(key, method_idx, vulnerable) only: the verdict path of E1 without the
+    method text. Methods are consumed once, so no checkpoint is needed, and
+    extraction, token explode, the per-method sum and a per-file roll-up all
+    run on the one partitioning by file key (no further exchange)."""
+    weights = weights if weights is not None else fixed_weights(files.sparkSession)
+    keys = [key, "method_idx"]
+    seq = with_markers(tokenize_code(clean_multi_line("method")))
+    tok = extract_methods(files, key).select(*keys, F.explode_outer(seq).alias("token"))
+    s = token_weights(tok, weights).groupBy(*keys).agg((F.sum("w") + F.lit(bias)).alias("_logit1"))
+    p1 = softmax_p1(F.lit(0.0), F.col("_logit1"))
+    return s.select(*keys, threshold_flag(p1, threshold).alias("vulnerable"))
+
+
 def vulnerable_rows(results: DataFrame) -> DataFrame:
     """The flagged methods only."""
     return results.filter(F.col("vulnerable") == 1)

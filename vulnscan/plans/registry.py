@@ -774,7 +774,7 @@ LEFT JOIN (SELECT doc_id, max(vulnerable) AS v FROM scan GROUP BY doc_id) v ON c
 )
 def q_file_verdict(spark, sf):
     cf = fx.code_files(spark, sf)
-    return P.file_verdict(cf, P.scan_files(cf, line_level=False))
+    return P.file_verdict(cf, P.method_flags(cf))
 
 
 @register(
@@ -793,7 +793,7 @@ def q_scan_result_flat(spark, sf):
     ),
 )
 def q_flag_count_gate(spark, sf):
-    return G.flag_count_gate(_scan(spark, sf, line_level=False))
+    return G.flag_count_gate(P.method_flags(fx.code_files(spark, sf)))
 
 
 @register(
