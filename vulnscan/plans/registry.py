@@ -848,36 +848,51 @@ def _materialised_code_files(spark, sf) -> str:
     return path
 
 
-@register("src_code_files")
+# Spark's text sink ends every written file with one "\n" after the code.
+_WRITTEN = "code || chr(10)"
+
+
+def _doc_key() -> "F.Column":
+    # the file key comes back as a partition folder value
+    return F.col("doc_id").cast("bigint").alias("doc_id")
+
+
+@register("src_code_files", _sql(CF, f"SELECT doc_id, {_WRITTEN} AS code FROM code_files"))
 def q_src_code_files(spark, sf):
     path = _materialised_code_files(spark, sf)
-    return S.read_code_files(spark, path).select("doc_id", "path", "code")
+    return S.read_code_files(spark, path).select(_doc_key(), "code")
 
 
-@register("file_manifest")
+@register(
+    "file_manifest",
+    _sql(CF, f"SELECT doc_id, md5({_WRITTEN}) AS md5, CAST(strlen({_WRITTEN}) AS BIGINT) AS size FROM code_files"),
+)
 def q_file_manifest(spark, sf):
     raw = S.read_code_bytes(spark, _materialised_code_files(spark, sf))
-    return S.file_manifest(raw).select("doc_id", "md5", "size")
+    return S.file_manifest(raw).select(_doc_key(), "md5", "size")
 
 
-@register("decode_utf8")
+@register("decode_utf8", _sql(CF, f"SELECT doc_id, true AS valid, {_WRITTEN} AS code FROM code_files"))
 def q_decode_utf8(spark, sf):
     raw = S.read_code_bytes(spark, _materialised_code_files(spark, sf))
-    return S.decode_files(raw).select("doc_id", "valid", "code")
+    return S.decode_files(raw).select(_doc_key(), "valid", "code")
 
 
-@register("src_csv_roundtrip")
+@register("src_csv_roundtrip", _sql(SN, "SELECT Snippet, Target, CWE FROM snippets"))
 def q_src_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "snippets-csv")
     S.write_snippets_csv(X.project_snippets(fx.snippets(spark, sf)), path)
     return S.read_snippets(spark, path)
 
 
-@register("sink_splits")
+@register(
+    "sink_splits",
+    _sql(_DS, "SELECT row_id, rnk, split, Snippet, Target, CWE FROM dataset WHERE split = 'test'"),
+)
 def q_sink_splits(spark, sf):
     path = scratch_path(spark, "splits")
     S.write_splits(X.prepare_dataset(fx.snippets(spark, sf)), path)
-    return S.read_split(spark, path, "test")
+    return S.read_split(spark, path, "test").select("row_id", "rnk", "split", "Snippet", "Target", "CWE")
 
 
 def _train(spark, sf):
@@ -922,7 +937,10 @@ def q_score_batch_udf(spark, sf):
     return t.select("doc_id", F.round(score("x"), 6).alias("p1"))
 
 
-@register("stream_scan")
+@register(
+    "stream_scan",
+    _sql(_SCAN_CTES, "SELECT doc_id, method_idx, name, method, p1, vulnerable, vul_lines FROM scan"),
+)
 def q_stream_scan(spark, sf):
     src = _materialised_code_files(spark, sf)
     out = ST.run_scan_stream(

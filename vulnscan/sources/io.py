@@ -22,18 +22,24 @@ def read_snippets(spark: SparkSession, path: str, schema: str = SNIPPET_SCHEMA)
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .schema(schema)
         .csv(path)
     )
 
 
 def write_snippets_csv(df: DataFrame, path: str) -> None:
-    """CSV in the same dialect ``read_snippets`` reads."""
+    """CSV in the same dialect ``read_snippets`` reads. The writer trims
+    leading and trailing whitespace of every value by default, which would
+    drop the final line break of a snippet: both trims are off."""
     (
         df.write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
         .option("quoteAll", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
