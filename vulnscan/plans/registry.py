@@ -842,10 +842,18 @@ from ..sources import io as S  # noqa: E402
 from ..streaming import scan_stream as ST  # noqa: E402
 
 
+_WRITTEN_FILES: dict[tuple[str, str], str] = {}
+
+
 def _materialised_code_files(spark, sf) -> str:
-    path = scratch_path(spark, "code-files")
-    S.write_code_files(fx.code_files(spark, sf), path)
-    return path
+    """The derived code files written as one file per document under the
+    shared checkpoint folder; written once per application and input."""
+    k = (spark.sparkContext.applicationId, sf)
+    if k not in _WRITTEN_FILES:
+        path = scratch_path(spark, "code-files")
+        S.write_code_files(fx.code_files(spark, sf), path)
+        _WRITTEN_FILES[k] = path
+    return _WRITTEN_FILES[k]
 
 
 # Spark's text sink ends every written file with one "\n" after the code.
