@@ -89,3 +89,21 @@ def test_parquet_scan_prunes_columns(spark):
     plan = _plan(E.queries()["line_scores"](spark, SF_SMALL))
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert scans and all("ReadSchema: struct<doc_id:bigint,text:string>" in s for s in scans)
+
+
+# Queries that write or train while being built; their plans are checked elsewhere.
+_EAGER = {
+    "src_code_files", "file_manifest", "decode_utf8", "src_csv_roundtrip", "sink_splits",
+    "stream_scan", "train_classifier", "train_and_eval", "model_roundtrip",
+}
+
+
+def test_every_plan_stays_in_jvm_without_pair_joins(spark):
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
+    for name, q in sorted(E.queries().items()):
+        if name in _EAGER:
+            continue
+        plan = _plan(q(spark, SF_SMALL))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+        if name != "score_batch_udf":
+            assert not any(p in plan for p in python_nodes), name
