@@ -84,3 +84,20 @@ def test_rank_and_top_ten_ties_are_stable(spark):
     top = A.top_lines(A.rank_lines(lines)).first().vul_lines
     assert top == ",".join(str(i) for i in rank_lines(vals)[:10])
     assert top == "0,2,4,5,6,7,8,9,10,11"
+
+
+def test_split_forms_match_model(spark):
+    rnd = random.Random(11)
+    toks = ["a", "b"] + list(SEPARATORS)
+    seqs = [
+        [(rnd.choice(toks), rnd.choice([0, 0, 1, 2, 3])) for _ in range(rnd.randint(1, 80))] for _ in range(300)
+    ] + EDGE
+    for padding in (True, False):
+        t = A.mask_special_split(_frame(spark, seqs), padding=padding)
+        got = {d: [] for d in range(len(seqs))}
+        for r in A.line_scores_split(t, chunk_rows=4).orderBy("doc_id", "line_idx").collect():
+            got[r.doc_id].append(r.score)
+        want = {
+            d: line_scores([x for x, _ in s], mask_special([y for _, y in s], padding)) for d, s in enumerate(seqs)
+        }
+        assert got == want

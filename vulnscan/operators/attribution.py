@@ -76,6 +76,94 @@ def line_scores(tokens: DataFrame, keys=("doc_id",), score: str = "score") -> Da
     )
 
 
+# ---------------------------------------------------------------------------
+# Split form for token tables whose items can be hot (one document holding a
+# large share of all rows): no window is partitioned by the item alone.
+# ---------------------------------------------------------------------------
+
+_PREV = (Window.unboundedPreceding, -1)
+_COMBINE = {"min": F.min, "max": F.max, "sum": F.sum}
+
+
+def _by_chunk(
+    df: DataFrame, keys: list[str], order_col: str, chunk_rows: int,
+    item_aggs: dict[str, tuple[Column, str]] | None = None, flag: Column | None = None,
+) -> DataFrame:
+    """Per-item values without a window or join partitioned by the item alone.
+
+    Rows are cut into chunks of ``chunk_rows`` consecutive ``order_col``
+    values. Per chunk, the parts of each item aggregate (``item_aggs``: name ->
+    (chunk aggregate, how chunks combine)) and the count of ``flag`` rows are
+    pre-aggregated; windows over that small chunk table give the item values
+    and the running count before each chunk; the result joins back on
+    (item, chunk). Adds the ``item_aggs`` columns and, with ``flag``,
+    ``_before`` = number of ``flag`` rows strictly before the row. The join
+    and the in-chunk window are partitioned by (item, chunk), so one hot item
+    spreads over many tasks.
+    """
+    item_aggs = item_aggs or {}
+    d = df.withColumn("_c", F.floor(F.col(order_col) / F.lit(chunk_rows)).cast("bigint"))
+    if flag is not None:
+        d = d.withColumn("_f", flag.cast("int"))
+    parts = [agg.alias(name) for name, (agg, _) in item_aggs.items()]
+    if flag is not None:
+        parts.append(F.sum("_f").alias("_n"))
+    per_chunk = d.groupBy(*keys, "_c").agg(*parts)
+    whole = Window.partitionBy(*keys)
+    cols = [_COMBINE[how](name).over(whole).alias(name) for name, (_, how) in item_aggs.items()]
+    if flag is not None:
+        run = whole.orderBy("_c").rowsBetween(*_PREV)
+        cols.append(F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_base"))
+    offs = per_chunk.select(*keys, "_c", *cols)
+    d = d.repartition(*keys, "_c").join(offs, [*keys, "_c"])
+    if flag is not None:
+        wc = Window.partitionBy(*keys, "_c").orderBy(order_col).rowsBetween(*_PREV)
+        d = d.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_f").over(wc), F.lit(0)))
+        d = d.drop("_f", "_base")
+    return d.drop("_c")
+
+
+def mask_special_split(
+    tokens: DataFrame, keys=("doc_id",), padding: bool = True, score: str = "score", chunk_rows: int = 1 << 16
+) -> DataFrame:
+    """A2 like ``mask_special``, from per-item aggregates over chunks."""
+    keys = list(keys)
+    nz_pos = F.when(F.col(score) != 0, F.col("pos"))
+    t = _by_chunk(
+        tokens, keys, "pos", chunk_rows,
+        {"_first": (F.min("pos"), "min"), "_last": (F.max("pos"), "max"), "_max_nz": (F.max(nz_pos), "max")},
+    )
+    if padding:
+        # after the first is zeroed, the last non-zero is the largest
+        # non-zero position unless that is the first itself
+        zero = (F.col("pos") == F.col("_first")) | (
+            (F.col("pos") == F.col("_max_nz")) & (F.col("_max_nz") != F.col("_first"))
+        )
+    else:
+        zero = (F.col("pos") == F.col("_first")) | (F.col("pos") == F.col("_last"))
+    dtype = tokens.schema[score].dataType
+    return t.withColumn(score, F.when(zero, F.lit(0)).otherwise(F.col(score)).cast(dtype)).drop(
+        "_first", "_last", "_max_nz"
+    )
+
+
+def line_scores_split(
+    tokens: DataFrame, keys=("doc_id",), score: str = "score", chunk_rows: int = 1 << 16
+) -> DataFrame:
+    """A4 like ``line_scores``, without a window or join partitioned by the
+    item alone: separator counts and line numbers are two-level prefix sums."""
+    keys = list(keys)
+    sep = is_separator(F.col("token"))
+    t = tokens.select(*keys, "pos", "token", F.col(score).alias("_s"))
+    t = _by_chunk(t, keys, "pos", chunk_rows, {"_last": (F.max("pos"), "max")}, flag=sep)
+    is_last = F.col("pos") == F.col("_last")
+    content = F.sum(F.when(~sep & ~is_last, F.col("_s")).otherwise(F.lit(0)))
+    g = t.groupBy(*keys, F.col("_before").alias("g")).agg(content.alias("content"), F.sum("_s").alias("total"))
+    lines = g.filter(F.col("content") != 0)
+    idx = _by_chunk(lines, keys, "g", chunk_rows, flag=F.lit(True))
+    return idx.select(*keys, F.col("_before").cast("bigint").alias("line_idx"), F.col("total").alias(score))
+
+
 def rank_lines(lines: DataFrame, keys=("doc_id",), score: str = "score") -> DataFrame:
     """A5: rank 1.. by score descending; ties keep the lower line first."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc("line_idx"))

@@ -590,6 +590,14 @@ def q_line_scores(spark, sf):
     return A.line_scores(t).select("doc_id", "line_idx", F.col("score").cast("bigint").alias("score"))
 
 
+@register("line_scores_split", _sql(_LA, "SELECT doc_id, line_idx, CAST(score AS BIGINT) AS score FROM la_lines"))
+def q_line_scores_split(spark, sf):
+    """A2 + A4 in the split form (no window or join keyed by the document
+    alone), for token tables where one document can hold a large share."""
+    t = A.mask_special_split(_tokens_b(spark, sf))
+    return A.line_scores_split(t).select("doc_id", "line_idx", F.col("score").cast("bigint").alias("score"))
+
+
 @register("rank_lines", _sql(_LA, "SELECT doc_id, line_idx, CAST(score AS BIGINT) AS score, rnk FROM la_rank"))
 def q_rank_lines(spark, sf):
     t = A.mask_special(_tokens_b(spark, sf))
