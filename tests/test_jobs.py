@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from vulnscan.plans import fixtures as fx
-from vulnscan.plans import pipelines as P
+from vulnscan.plans import jobs as P
 from vulnscan.session import TABLES, scratch_path
 from vulnscan.sources import io as S
 from vulnscan.streaming import scan_stream as ST

@@ -35,7 +35,7 @@ def test_batch_udf_equals_linear_scorer(spark):
 
 
 def test_eval_report_keys(spark):
-    from vulnscan.plans import pipelines as P
+    from vulnscan.plans import jobs as P
 
     rows = [(f"class C{i} {{ void M() {{ {'override null' if i % 2 else 'return'}; }} }}", i % 2, None) for i in range(60)]
     snippets = spark.createDataFrame(rows, "Snippet string, Target int, CWE string")

@@ -24,7 +24,7 @@ from ..operators import metrics as G
 from ..operators import scoring as C
 from . import fixtures as fx
 from . import oracle as O
-from . import pipelines as P
+from . import jobs as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

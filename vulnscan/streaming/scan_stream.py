@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.pipelines import scan_files
+from ..plans.jobs import scan_files
 
 KEY_FROM_PATH_RE = r"doc_id=(\d+)"
 
