@@ -339,7 +339,9 @@ _ENC_CTES = _VOCAB_CF + [
 
 
 def _encoded(spark, sf) -> DataFrame:
-    t = _code_tokens(spark, sf)
+    # The tokens feed both the vocabulary and the encoding: written once to
+    # the checkpoint folder instead of running the tokenizer twice.
+    t = cut_lineage(_code_tokens(spark, sf))
     vocab = FT.build_vocab(t, "toks")
     seq = t.select("doc_id", FT.with_markers(FT.truncate_tokens("toks")).alias("seq"))
     return FT.encode_ids(seq, vocab, "doc_id", "seq"), vocab
