@@ -101,3 +101,13 @@ def test_split_forms_match_model(spark):
             d: line_scores([x for x, _ in s], mask_special([y for _, y in s], padding)) for d, s in enumerate(seqs)
         }
         assert got == want
+
+
+def test_top_lines_split_matches_model(spark):
+    rnd = random.Random(5)
+    docs = [[rnd.choice([0, 1, 1, 2, 3, 5]) for _ in range(rnd.randint(1, 40))] for _ in range(200)]
+    rows = [(d, i, v) for d, vals in enumerate(docs) for i, v in enumerate(vals)]
+    lines = spark.createDataFrame(rows, "doc_id bigint, line_idx bigint, score bigint")
+    got = {r.doc_id: r.vul_lines for r in A.top_lines_split(lines, chunk_rows=3).collect()}
+    want = {d: ",".join(str(i) for i in rank_lines(vals)[:10]) for d, vals in enumerate(docs)}
+    assert got == want

@@ -164,6 +164,23 @@ def line_scores_split(
     return idx.select(*keys, F.col("_before").cast("bigint").alias("line_idx"), F.col("total").alias(score))
 
 
+def top_lines_split(
+    lines: DataFrame, keys=("doc_id",), k: int = TOP_LINES, score: str = "score", chunk_rows: int = 1 << 16
+) -> DataFrame:
+    """A5 + A6 like ``top_lines(rank_lines(..))``, without a window over all
+    lines of an item: the top ``k`` of every (item, chunk of line indices),
+    then the top ``k`` of those at most ``k`` per chunk. The order (score
+    desc, line asc) is total, so the result is exact."""
+    keys = list(keys)
+    order = [F.desc(score), F.asc("line_idx")]
+    d = lines.withColumn("_c", F.floor(F.col("line_idx") / F.lit(chunk_rows)).cast("bigint"))
+    w1 = Window.partitionBy(*keys, "_c").orderBy(*order)
+    cand = d.repartition(*keys, "_c").withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    ranked = cand.withColumn("rnk", F.row_number().over(w2).cast("bigint"))
+    return top_lines(ranked, keys, k)
+
+
 def rank_lines(lines: DataFrame, keys=("doc_id",), score: str = "score") -> DataFrame:
     """A5: rank 1.. by score descending; ties keep the lower line first."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc("line_idx"))

@@ -600,6 +600,14 @@ def q_line_scores_split(spark, sf):
     return A.line_scores_split(t).select("doc_id", "line_idx", F.col("score").cast("bigint").alias("score"))
 
 
+@register("top_lines_split", _sql(_LA, "SELECT doc_id, vul_lines FROM la_top"))
+def q_top_lines_split(spark, sf):
+    """A2-A6 in the split forms (no window or join keyed by the document alone
+    over all of its tokens or lines)."""
+    t = A.mask_special_split(_tokens_b(spark, sf))
+    return A.top_lines_split(A.line_scores_split(t))
+
+
 @register("rank_lines", _sql(_LA, "SELECT doc_id, line_idx, CAST(score AS BIGINT) AS score, rnk FROM la_rank"))
 def q_rank_lines(spark, sf):
     t = A.mask_special(_tokens_b(spark, sf))
