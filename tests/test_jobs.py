@@ -107,3 +107,9 @@ def test_every_plan_stays_in_jvm_without_pair_joins(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         if name != "score_batch_udf":
             assert not any(p in plan for p in python_nodes), name
+
+
+def test_row_level_queries_have_no_single_partition_exchange(spark):
+    for name in ("extract_methods", "file_verdict", "line_scores", "top_lines", "line_scores_split", "top_lines_split"):
+        plan = _plan(E.queries()[name](spark, SF_SMALL))
+        assert "SinglePartition" not in plan, name
