@@ -113,3 +113,17 @@ def test_row_level_queries_have_no_single_partition_exchange(spark):
     for name in ("extract_methods", "file_verdict", "line_scores", "top_lines", "line_scores_split", "top_lines_split"):
         plan = _plan(E.queries()[name](spark, SF_SMALL))
         assert "SinglePartition" not in plan, name
+
+
+def test_stream_in_several_batches_equals_batch(spark):
+    files = fx.code_files(spark, SF_SMALL)
+    src = scratch_path(spark, "stream-src-multi")
+    S.write_code_files(files, src)
+    sink = scratch_path(spark, "sink-multi")
+    streamed = ST.run_scan_stream(spark, src, sink, scratch_path(spark, "ckpt-multi"), max_files_per_trigger=50)
+    n_batches = streamed.select("batch_id").distinct().count()
+    assert n_batches >= 4
+    cols = ["doc_id", "method_idx", "name", "p1", "vulnerable", "vul_lines"]
+    a = sorted(tuple(r) for r in streamed.select(*cols).collect())
+    b = sorted(tuple(r) for r in P.scan_files(files).select(*cols).collect())
+    assert a == b
