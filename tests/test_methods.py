@@ -80,3 +80,40 @@ def test_read_code_files_keeps_bom_and_cr(spark):
     got = {r.name: r.code for r in df.collect()}
     assert got["bare_block.cs"].startswith("﻿{\r\n")
     assert got["four_methods.cs"].count("\r\n") > 40
+
+
+def _stack_pairs(code):
+    """Independent model: brace pairs by a stack, braces inside (...) ignored."""
+    pairs, stack, paren = [], [], 0
+    for i, ch in enumerate(code):
+        if ch == "(":
+            paren += 1
+        elif ch == ")":
+            paren -= 1
+        elif paren <= 0 and ch == "{":
+            stack.append(i)
+        elif paren <= 0 and ch == "}":
+            pairs.append((len(stack), stack.pop(), i))
+    return sorted(pairs, key=lambda p: p[1])
+
+
+def test_brace_pairs_match_stack_model(spark):
+    import random
+
+    rnd = random.Random(3)
+    codes = ["x{(a{b)}x", "x{ f(a}) }x"]
+    while len(codes) < 300:
+        depth, paren, out = 0, 0, []
+        for _ in range(rnd.randint(1, 40)):
+            c = rnd.choice("{{}}a;()x")
+            if (c in "{}" and paren > 0) or (c == "}" and depth == 0) or (c == ")" and paren == 0):
+                c = "a"
+            depth += {"{": 1, "}": -1}.get(c, 0)
+            paren += {"(": 1, ")": -1}.get(c, 0)
+            out.append(c)
+        codes.append("x" + "".join(out) + ")" * paren + "}" * depth + "x")
+    files = spark.createDataFrame(list(enumerate(codes)), "doc_id bigint, code string")
+    got = {i: [] for i in range(len(codes))}
+    for r in M.brace_pairs(files).orderBy("doc_id", "open_pos").collect():
+        got[r.doc_id].append((r.level, r.open_pos, r.close_pos))
+    assert got == {i: _stack_pairs(c) for i, c in enumerate(codes)}
