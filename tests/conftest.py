@@ -10,9 +10,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from vulnscan.session import get_spark
+    from vulnscan.session import get_spark, local_settings
 
-    s = get_spark(master="local[*]", shuffle_partitions=8, app="vulnscan-tests")
+    s = get_spark("vulnscan-tests", **local_settings("*"))
     s.sparkContext.setLogLevel("ERROR")
     # Tests only: no cluster-provided checkpoint folder, so set one here.
     if not s.sparkContext.getCheckpointDir():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,22 +15,32 @@ TABLES = (
 ).split()
 
 
-def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "vulnscan") -> SparkSession:
-    """Session for tests and local runs. On a cluster, the cluster's own
-    settings win: ``getOrCreate`` returns the running session unchanged."""
-    return (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
-        .getOrCreate()
-    )
+def get_spark(app: str = "vulnscan", **settings) -> SparkSession:
+    """The running session, unchanged, or else a new one.
+
+    Master, memory and shuffle partitions belong to spark-submit or the
+    cluster's configuration; tests and the bench pass theirs in ``settings``
+    (dots as double underscores, e.g. ``spark__master="local[8]"``).
+    """
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
+    builder = SparkSession.builder.appName(app)
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), str(value))
+    return builder.getOrCreate()
+
+
+def local_settings(cpus: int | str = 8, shuffle_partitions: int = 8) -> dict:
+    """Settings for single-machine runs (tests, bench, scripts)."""
+    return {
+        "spark__master": f"local[{cpus}]",
+        "spark__sql__shuffle__partitions": shuffle_partitions,
+        "spark__ui__enabled": "false",
+        "spark__ui__showConsoleProgress": "false",
+        "spark__sql__session__timeZone": "UTC",
+        "spark__driver__memory": "16g",
+    }
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,26 +48,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Read from the session; only when it is unset (local tests) a folder of our
-    own is set, so cluster jobs never write to a machine-local temp folder.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``; raises if there is none,
+    since a machine-local folder would be invisible to other executors."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
-        conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if conf_dir:
-            sc.setCheckpointDir(conf_dir)
-        elif sc.master.startswith("local"):
-            # single-machine runs and tests only
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="vulnscan-ckpt-"))
-        else:
+        d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not d:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(d)
         d = sc.getCheckpointDir()
     return d
 
 
+def local_checkpoint_dir(spark: SparkSession) -> None:
+    """For entry points run on one machine (tests, bench): names a checkpoint folder
+    where the session has none. Does nothing on a cluster, where the missing setting
+    must surface as an error."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and re.match(r"local(\[|$)", sc.master):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vulnscan-checkpoint-"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
