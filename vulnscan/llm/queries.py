@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, sharding, url_filter
 
 QUERIES = {
     "op8_decontamination": decontamination.query,
+    "op9_sharding": sharding.query,
+    "op10_url_filter": url_filter.query,
 }
 ORACLE = {
     "op8_decontamination": decontamination.ORACLE,
