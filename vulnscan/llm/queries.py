@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, sharding, url_filter
+from . import decontamination, license_scan, pii, sharding, url_filter
 
 QUERIES = {
+    "op4_license_scan": license_scan.query,
+    "op7_pii": pii.query,
     "op8_decontamination": decontamination.query,
     "op9_sharding": sharding.query,
     "op10_url_filter": url_filter.query,

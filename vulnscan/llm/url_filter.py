@@ -88,11 +88,14 @@ def grams(text: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.substring(text, i, F.lit(n)))
 
 
+def _hashed(parts: Column, salt: int) -> Column:
+    return F.transform(parts, lambda g: F.pmod(F.xxhash64(F.lit(salt), g), F.lit(BUCKETS)).cast("int"))
+
+
 def slots() -> Column:
     """Hash slots of the host's and the path's n-grams, host and path apart."""
     host, path = F.concat(F.lit("^"), "host", F.lit("$")), F.concat("path", F.lit("$"))
-    parts = [F.transform(grams(text, n), lambda g, s=salt: F.pmod(F.xxhash64(F.lit(s), g), F.lit(BUCKETS)).cast("int"))
-             for salt, text in ((1, host), (2, path)) for n in GRAMS]
+    parts = [_hashed(grams(text, n), salt) for salt, text in ((1, host), (2, path)) for n in GRAMS]
     return reduce(F.concat, parts)
 
 
@@ -106,7 +109,7 @@ def train(urls: DataFrame) -> tuple[list[float], float]:
     rows = with_parts(urls).select(F.col("label").cast("double"), F.array_distinct(slots()).cast("array<string>").alias("s"))
     seen = CountVectorizer(inputCol="s", outputCol="v", binary=True, vocabSize=BUCKETS)
     model = Pipeline(stages=[seen, Normalizer(inputCol="v", outputCol="features"),
-                             LogisticRegression(regParam=1e-3, maxIter=60, standardization=False)]).fit(rows.coalesce(1))
+                             LogisticRegression(regParam=1e-4, maxIter=60, standardization=False)]).fit(rows.coalesce(1))
     weights = [0.0] * BUCKETS
     for slot, w in zip(model.stages[0].vocabulary, model.stages[2].coefficients, strict=True):
         weights[int(slot)] = round(float(w), 6)
