@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, pii, sharding, url_filter
+from . import decontamination, license_scan, packing, pii, sharding, token_count, url_filter
 
 QUERIES = {
+    "op1_token_count": token_count.query,
+    "op2_packing": packing.query,
     "op4_license_scan": license_scan.query,
     "op7_pii": pii.query,
     "op8_decontamination": decontamination.query,
