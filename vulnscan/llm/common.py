@@ -100,3 +100,50 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = out * _MIX + hashes[k : k + n]
     return mix(out)
+
+
+class WordIds:
+    """Ids of whole texts by words: each word is encoded once by ``encode_many`` and its
+    ids are kept in one flat array. Bounded; dropped and refilled when full."""
+
+    def __init__(self, encode_many, limit: int = 100_000):
+        self.encode_many, self.limit = encode_many, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        got = self.encode_many([w.decode() for w in words])
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(n.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, self.used + np.cumsum(n) - n])
+        self.count = np.concatenate([self.count, n])
+        self.used += total
+
+    def ids(self, texts: list[list[bytes]], end: list[int]) -> list[np.ndarray]:
+        """The ids of each list of words, followed by ``end``."""
+        new = {w for words in texts for w in words if w not in self.places}
+        if len(self.places) + len(new) > self.limit and self.places:
+            self._clear()
+            new = {w for words in texts for w in words}
+        if new:
+            self._learn(sorted(new))
+        out = []
+        for words in texts:
+            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+            n = self.count[at]
+            total = int(n.sum())
+            made = np.empty(total + len(end), np.uint32)
+            # the k-th id of a word lies k places after the word's first
+            made[:total] = self.flat[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(total)]
+            made[total:] = end
+            out.append(made)
+        return out

@@ -42,7 +42,6 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 POOL_TOKENS = 1 << 19
 GROUP_TOKENS = 1 << 16
-MAX_WORDS = 100_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "context int, step_group long")
 
@@ -56,47 +55,12 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
-        self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
-        self.first = np.concatenate([self.first, self.used + np.cumsum(n) - n])
-        self.count = np.concatenate([self.count, n])
-        self.used += total
+        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.words = C.WordIds(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        split = [C.space_words(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.places}
-        if len(self.places) + len(new) > MAX_WORDS and self.places:
-            self._clear()
-            new = {w for words in split for w in words}
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-            n = self.count[at]
-            total = int(n.sum())
-            ids = np.empty(total + 1, np.uint32)
-            # the k-th id of a word lies k places after the word's first
-            ids[:total] = self.flat[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(total)]
-            ids[total] = END_ID
-            out.append(ids)
-        return out
+        return self.words.ids([C.space_words(t) for t in texts], [END_ID])
 
 
 class Packer:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, packing, pii, sharding, token_count, url_filter
+from . import decontamination, license_scan, packing, pii, quality_classifier, quality_rules, sharding, token_count, url_filter
 
 QUERIES = {
     "op1_token_count": token_count.query,
     "op2_packing": packing.query,
     "op4_license_scan": license_scan.query,
+    "op5_quality_rules": quality_rules.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_pii": pii.query,
     "op8_decontamination": decontamination.query,
     "op9_sharding": sharding.query,
