@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, packing, pii, quality_classifier, quality_rules, sharding, token_count, url_filter
+from . import decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, token_count, url_filter
 
 QUERIES = {
     "op1_token_count": token_count.query,
     "op2_packing": packing.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op4_license_scan": license_scan.query,
     "op5_quality_rules": quality_rules.query,
     "op6_quality_classifier": quality_classifier.query,
@@ -16,5 +17,6 @@ QUERIES = {
     "op10_url_filter": url_filter.query,
 }
 ORACLE = {
+    "op3_jaccard_join": jaccard_join.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
 }
