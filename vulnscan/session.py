@@ -43,6 +43,16 @@ def local_settings(cpus: int | str = 8, shuffle_partitions: int = 8) -> dict:
     }
 
 
+def share_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it (clusters install
+    it or pass it with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
