@@ -33,9 +33,9 @@ VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-WIDTH = 4.0
-LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.1, "entropy": 0.2}
-MIN_TOKENS = 50
+WIDTH = 5.0
+LEAST_WIDTH = {"chars_per_token": 0.15, "byte_share": 0.1, "entropy": 0.2}
+MIN_TOKENS = 100
 #: Languages with fewer documents are judged by the band of all documents.
 MIN_GROUP = 30
 SYMBOLS = b"#*$%&|<>"
