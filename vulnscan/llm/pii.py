@@ -46,10 +46,10 @@ PATTERNS = {
 SCREENS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Candidates that the labelers vote on, listed after the base kinds.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+",
     "local_phone": r"(?<![0-9+(])\([0-9]{2,4}\)\x20?[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])",
 }
-CANDIDATE_SCREENS = {"secret": r"[A-Za-z0-9_]{16}", "local_phone": r"\([0-9]{2,4}\)"}
+CANDIDATE_SCREENS = {"secret": r"[0-9]", "local_phone": r"\([0-9]{2,4}\)"}
 ORDER = {k: i for i, k in enumerate((*KINDS, *CANDIDATES))}
 #: Gazetteer of lead words, by kind.
 GAZETTEER = {
@@ -67,33 +67,44 @@ _MATCHES = "array<struct<start:int,end:int,found:string>>"
 
 
 def located(text: Column, pattern: str, screen: str) -> Column:
-    """Matches, leftmost and not overlapping, as array<struct<start, end, found>>.
+    """Matches, leftmost and not overlapping, each with the gap before it. ``split``
+    gives the gaps between the matches, and one more after the last."""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gap"))
+    steps = F.transform(both, lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.coalesce(F.length(z["found"]), F.lit(0)).alias("len"), z["found"].alias("found")))
+    return F.when(text.rlike(screen), steps).otherwise(F.array().cast("array<struct<gap:int,len:int,found:string>>"))
 
-    ``split`` gives the gaps between the matches, so starts are running sums of
-    gap and match lengths: block sums first, then within a block, so that a text
-    with k matches costs k * sqrt(k) additions.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), m.alias("found")))
-    none = F.array().cast("array<struct<gap:int,len:int,found:string>>")
-    return F.when(text.rlike(screen), steps).otherwise(none)
 
+def _block(s: Column) -> Column:
+    return F.greatest(F.ceil(F.sqrt(F.size(s))).cast("int"), F.lit(1))
 
-def positioned(steps: str) -> Column:
+
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, x: a + x["gap"] + x["len"])
+
+
+def _block_sums(steps: str) -> Column:
+    s = F.col(steps)
+    last = F.floor((F.greatest(F.size(s), F.lit(1)) - 1) / _block(s)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda j: _total(F.slice(s, j * _block(s) + 1, _block(s))))
+
+
+def _sums_before(sums: str) -> Column:
+    t = F.col(sums)
+    return F.transform(t, lambda _, j: F.aggregate(F.slice(t, F.lit(1), j), F.lit(0), lambda a, x: a + x))
+
+
+def _positions(steps: str, before: str) -> Column:
+    """array<struct<start, end, found>>: a match starts after the blocks before its own,
+    the steps before it in its block, and its gap. A text with k matches costs
+    k * sqrt(k) additions."""
     s = F.col(steps)
-    n = F.size(s)
-    block = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
-    zero = F.lit(0)
-    total = lambda part: F.aggregate(part, zero, lambda a, x: a + x["gap"] + x["len"])
-    blocks = F.transform(F.sequence(zero, F.floor((F.greatest(n, F.lit(1)) - 1) / block).cast("int")),
-                         lambda j: total(F.slice(s, j * block + 1, block)))
-    before = F.transform(blocks, lambda _, j: F.aggregate(F.slice(blocks, F.lit(1), j), zero, lambda a, x: a + x))
-    start = lambda x, i: (
-        F.get(before, F.floor(i / block).cast("int"))
-        + total(F.slice(s, F.floor(i / block).cast("int") * block + 1, F.pmod(i, block))) + x["gap"])
-    return F.when(n > 0, F.transform(s, lambda x, i: F.struct(
-        start(x, i).alias("start"), (start(x, i) + x["len"]).alias("end"), x["found"].alias("found"))))
+
+    def placed(x, i):
+        j = F.floor(i / _block(s)).cast("int")
+        start = F.get(F.col(before), j) + _total(F.slice(s, j * _block(s) + 1, F.pmod(i, _block(s)))) + x["gap"]
+        return F.struct(start.alias("start"), (start + x["len"]).alias("end"), x["found"].alias("found"))
+
+    return F.filter(F.transform(s, placed), lambda m: m["found"].isNotNull())
 
 
 def _digits(s: Column) -> Column:
@@ -128,8 +139,11 @@ def _spans(rows: DataFrame, kinds: dict[str, str], screens: dict[str, str]) -> D
     """Adds one array column for each kind: structs of start, end, found."""
     text = F.col("_text")
     rows = rows.select("*", *[located(text, p, screens[k]).alias(f"_s_{k}") for k, p in kinds.items()])
-    rows = rows.select("*", *[positioned(f"_s_{k}").alias(f"_m_{k}") for k in kinds])
-    return rows.drop(*[f"_s_{k}" for k in kinds])
+    # columns of their own: an expression inside a lambda is evaluated for each element
+    rows = rows.select("*", *[_block_sums(f"_s_{k}").alias(f"_t_{k}") for k in kinds])
+    rows = rows.select("*", *[_sums_before(f"_t_{k}").alias(f"_p_{k}") for k in kinds])
+    rows = rows.select("*", *[_positions(f"_s_{k}", f"_p_{k}").alias(f"_m_{k}") for k in kinds])
+    return rows.drop(*[f"_{x}_{k}" for k in kinds for x in "stp"])
 
 
 def _context(m) -> Column:
@@ -162,8 +176,6 @@ def _voted(kind: str) -> Column:
                         bits.alias("votes"), features.alias("features"))
 
     m = F.coalesce(F.col(f"_m_{kind}"), F.array().cast(_MATCHES))
-    if kind == "secret":  # words of letters alone are no candidates
-        m = F.filter(m, lambda x: x["found"].rlike("[0-9]"))
     m = F.filter(m, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return F.transform(m, made)
 
@@ -219,7 +231,9 @@ def _posterior(votes: int, prior: float, hit, miss) -> float:
 def train(docs: DataFrame, text: str = "text") -> dict:
     """The span classifier: for each kind a bias and a weight for each feature value
     (all of a fixed range)."""
-    rows = candidates(base(docs, text)).select(F.explode("_c").alias("c")).select("c.kind", "c.votes", F.explode("c.features").alias("feature"))
+    # outer: a plain explode adds a filter on its array, for which Spark repeats the patterns
+    rows = candidates(base(docs, text)).select(F.explode_outer("_c").alias("c")).filter("c is not null")
+    rows = rows.select("c.kind", "c.votes", F.explode_outer("c.features").alias("feature"))
     counted = rows.groupBy("kind", "votes", "feature").count()
     counted = [tuple(r) for r in counted.collect()]  # kinds x 2^4 patterns x fewer than 300 feature values
     patterns: dict[tuple[str, int], int] = {}
