@@ -385,7 +385,8 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n (size of the set), node (name of the set), component_id for each row."""
+    """id, n (size of the set), node and comp (names of the set and of its component) and
+    component_id for each row."""
     rows = docs.select(F.col(doc_id).alias("id"), _sets()(F.col(text)).alias("_s")).select("id", "_s.*")
     rows = C.stored(rows, "jaccard-sets")
     some = rows.filter("n > 0")
@@ -409,9 +410,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     named = nodes.join(comps, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"), "copies", F.col("comp").isNotNull().alias("met"))
     least = named.filter("met").groupBy("comp").agg(F.min("id").alias("least"))
-    table = named.filter("met or copies > 1").join(least, "comp", "left").select("node", F.coalesce("least", "id").alias("least"))
+    table = named.filter("met or copies > 1").join(least, "comp", "left").select("node", "comp", F.coalesce("least", "id").alias("least"))
     out = rows.select("id", "n", "node").join(C.stored(table, "jaccard-table"), "node", "left")
-    return out.select("id", "n", "node", F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "n", "node", F.coalesce("comp", "node").alias("comp"),
+                      F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -421,8 +423,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with its smallest id, with all columns. Rows
-    that repeat an id within a component count as one document; rows without id stay
-    unless their component has one with an id."""
+    that repeat an id within a component count as one document; a row without id stays
+    only as the one row of a component without ids."""
     found = C.stored(components(docs, doc_id, text), "jaccard-components")
     gone = found.filter(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias(doc_id)).distinct()
     kept = docs.join(gone, doc_id, "left_anti")
@@ -430,6 +432,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     again = C.stored(again, "jaccard-again")
     if not again.isEmpty():
         kept = kept.join(again, doc_id, "left_anti").unionByName(kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
+    loose = found.filter("id is null and n > 0")
+    if not loose.isEmpty():
+        held = loose.filter("component_id is null").select("node", "comp").distinct()
+        without = kept.filter(F.col(doc_id).isNull()).withColumn("_set", _sets()(F.col(text)))
+        without = without.join(held.select(F.col("node").alias("_node"), F.col("comp").alias("_comp")), F.col("_set.node") == F.col("_node"), "left")
+        empty = without.filter("_set.n = 0").select(*kept.columns)
+        one = without.filter("_comp is not null").dropDuplicates(["_comp"]).select(*kept.columns)
+        kept = kept.filter(F.col(doc_id).isNotNull()).unionByName(empty).unionByName(one)
     return kept.select(*docs.columns)
 
 
