@@ -29,8 +29,18 @@ def strip_comments(s: str) -> str:
 
 
 def clean_lines(s: str) -> list[str]:
-    s = strip_comments(s).replace("\r", "").replace("\t", "")
-    return [x.strip() for x in s.split("\n") if x.strip() != ""]
+    """A line is a maximal run of characters without a line break; carriage returns and
+    tabs do not count, and neither does white space at a line's ends."""
+    lines, current = [], []
+    for ch in strip_comments(s) + "\n":
+        if ch == "\n":
+            solid = [i for i, c in enumerate(current) if c not in PY_WS]
+            if solid:
+                lines.append("".join(current[solid[0] : solid[-1] + 1]))
+            current = []
+        elif ch not in "\r\t":
+            current.append(ch)
+    return lines
 
 
 def clean_single_line(s: str) -> str:
@@ -46,31 +56,24 @@ def add_line_delimiters(s: str) -> str:
 
 
 def mask_special(scores: list, padding: bool = True) -> list:
-    v = list(scores)
-    if not v:
-        return v
-    v[0] = 0
+    """Two positions are zero: the first, and the end marker. The end marker is the last
+    position, or with padding the greatest one after the first with a score."""
+    end = len(scores) - 1
     if padding:
-        nz = [i for i, x in enumerate(v) if x != 0]
-        if nz:
-            v[nz[-1]] = 0
-    else:
-        v[-1] = 0
-    return v
+        end = max((i for i, x in enumerate(scores) if i > 0 and x != 0), default=0)
+    return [0 if i in (0, end) else x for i, x in enumerate(scores)]
 
 
 def line_scores(tokens: list[str], scores: list) -> list:
-    """The running-sum fold over (token, score) pairs."""
-    out, run, n = [], 0, len(tokens)
-    for i, (t, sc) in enumerate(zip(tokens, scores)):
-        sep = t in SEPARATORS
-        if (sep or i == n - 1) and run != 0:
-            run += sc
-            out.append(run)
-            run = 0
-        elif not sep:
-            run += sc
-    return out
+    """Cut the sequence behind every separator and behind its last token. The scores
+    before a part's closing token decide whether it counts as a line; what is open
+    when it does not (a part whose content sums to 0 and whose closing token is a
+    separator leaves nothing behind) is not carried on. A line's value includes its
+    closing token."""
+    cuts = [i + 1 for i, t in enumerate(tokens) if t in SEPARATORS or i == len(tokens) - 1]
+    parts = [range(a, b) for a, b in zip([0, *cuts], cuts)]
+    content = [sum(scores[i] for i in part[:-1]) for part in parts]
+    return [c + scores[part[-1]] for c, part in zip(content, parts) if c != 0]
 
 
 def rank_lines(line_vals: list) -> list[int]:

@@ -94,3 +94,35 @@ def test_softmax_and_loss(spark):
         lse = m + math.log(math.exp(l0 - m) + math.exp(l1 - m))
         assert math.isclose(r.p1, p1, abs_tol=1e-12)
         assert math.isclose(r.ls, lse - (l1 if y == 1 else l0), rel_tol=1e-12)
+
+
+def test_flag_gate_keeps_files_without_methods(spark):
+    from vulnscan.operators import metrics as G
+
+    files = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    found = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, vulnerable int")
+    assert sorted(tuple(r) for r in G.flag_count_gate(files, found).collect()) == [(1, 1, True), (2, 0, False)]
+
+
+def test_every_snippet_row_is_scored(spark):
+    from vulnscan.plans import jobs as P
+
+    rows = [("int x;", 1, None)] * 3 + [("null", 0, "CWE-1")]
+    got = P.score_snippets(spark.createDataFrame(rows, "Snippet string, Target int, CWE string")).collect()
+    assert len(got) == 4 and len({r.row_id for r in got}) == 2
+
+
+def test_row_hash_tells_nulls_and_separators_apart(spark):
+    from vulnscan.operators import dataset as X
+
+    rows = [("a", "b"), ("a\x1fb", ""), ("a", None), ("a", "\x1e"), (None, "a"), ("-", "a"), ("1:a", ""), ("", "1:a")]
+    df = spark.createDataFrame(rows, "x string, y string").select(X.row_hash(["x", "y"]).alias("h"))
+    assert df.distinct().count() == len(rows)
+
+
+def test_prepare_dataset_keeps_extra_columns_and_their_differences(spark):
+    from vulnscan.operators import dataset as X
+
+    rows = [("s", 1, None, "f1"), ("s", 1, None, "f2"), ("s", 1, None, "f2")]
+    ds = X.prepare_dataset(spark.createDataFrame(rows, "Snippet string, Target int, CWE string, file string"))
+    assert sorted(r.file for r in ds.collect()) == ["f1", "f2"]

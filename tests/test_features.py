@@ -13,12 +13,14 @@ def test_tokenize_code(spark):
 
 
 def test_vocab_ids_pad_and_mask(spark):
-    rows = [(1, ["a", "b", "a"]), (2, ["b", "c"] * 400), (3, [])]
+    long = "x" * 5000
+    rows = [(1, ["a", "b", "a"]), (2, ["b", "c"] * 400), (3, []), (4, [long])]
     df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
-    vocab = FT.build_vocab(df, max_size=2)
+    vocab = FT.build_vocab(df)
     v = {r.token: r.id for r in vocab.collect()}
     assert v["<s>"] == CLS_ID and v["<pad>"] == PAD_ID and v["</s>"] == SEP_ID and v["<unk>"] == UNK_ID
-    assert v["b"] == 4 and v["c"] == 5 and "a" not in v  # count desc, then token
+    assert v["b"] == 4 and v["c"] == 5 and v["a"] == 6 and v[long] == 7  # count desc, then token; no cap
+    vocab = vocab.filter("token <> 'a'")  # as of another corpus: 'a' is unknown
     seq = df.select("doc_id", FT.with_markers(FT.truncate_tokens("tokens")).alias("seq"))
     enc = {r.doc_id: r for r in FT.encode_ids(seq, vocab, "doc_id", "seq").collect()}
     assert enc[1].ids == [CLS_ID, UNK_ID, 4, UNK_ID, SEP_ID]
@@ -34,6 +36,25 @@ def test_vocab_ids_pad_and_mask(spark):
     assert dec[1] == ["<s>", "<unk>", "b", "<unk>", "</s>"]
 
 
+def test_vocabulary_ranks_equal_a_global_sort_and_need_no_single_task(spark):
+    rows = [(i, [f"t{i % 700}", f"u{i % 40}", ";"]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    got = [(r.token, r.cnt) for r in FT.build_vocab(df).filter("id >= 4").orderBy("id").collect()]
+    from collections import Counter
+
+    want = Counter(t for _, ts in rows for t in ts)
+    assert got == sorted(want.items(), key=lambda x: (-x[1], x[0]))
+    plan = FT.build_vocab(df)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "SinglePartition" not in plan
+
+
+def test_long_literals_do_not_recurse(spark):
+    escapes, doubled = '"' + "\\u0041" * 1_000_000 + '"', '@"' + '""' * 1_000_000 + '"'
+    df = spark.createDataFrame([(1, f"x = {escapes};"), (2, f"x = {doubled};")], "doc_id long, c string")
+    toks = {r.doc_id: r.t for r in df.select("doc_id", FT.tokenize_code("c").alias("t")).collect()}
+    assert toks == {1: ["x", "=", escapes, ";"], 2: ["x", "=", doubled, ";"]}
+
+
 def test_preview_markers(spark):
     df = spark.createDataFrame([(["Ġint", "x"],)], "t array<string>")
     assert df.select(FT.preview_tokens("t").alias("p")).first().p == ["_int", "x"]

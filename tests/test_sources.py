@@ -3,6 +3,7 @@
 import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from vulnscan.operators import dataset as X
@@ -43,3 +44,14 @@ def test_manifest_md5_and_size(spark):
         S.file_manifest(raw), S.file_manifest(raw).withColumn("md5", F.lit("0" * 32))
     )
     assert mism.count() == 2
+
+
+def test_snippets_are_read_by_name_and_keep_other_columns(spark, tmp_path):
+    f = tmp_path / "s.csv"
+    f.write_text('id,Target,Snippet,CWE\n7,1,"int x;",CWE-79\n8,0,"a\nb",\n')
+    rows = S.read_snippets(spark, str(f)).collect()
+    assert [tuple(r) for r in rows] == [("int x;", 1, "CWE-79", "7"), ("a\nb", 0, None, "8")]
+    assert rows[0].asDict()["id"] == "7"
+    f.write_text("id,Target,CWE\n7,1,x\n")
+    with pytest.raises(ValueError, match="Snippet"):
+        S.read_snippets(spark, str(f))

@@ -5,9 +5,13 @@ agree with the behaviour being reproduced (comment syntax, Python's
 whitespace set, token markers, block size, threshold, ranked-line count,
 seed). The second block holds the regular expressions of this library; each
 is written so that Java regex (Spark) and RE2 (DuckDB oracle) agree on it:
-no lookaround, no backreferences, no possessive quantifiers, ``\\w``/``\\s``
-avoided, and no group loop that iterates once per character (Java recurses
-per loop iteration and overflows its stack on long inputs).
+no lookaround, no backreferences, ``\\w``/``\\s`` avoided.
+
+Java matches a repeated group by recursion and overflows its stack on a long
+literal, unless the repetition is possessive. So repeated groups are written
+``*P``/``+P`` and spelled possessive for Java and plain for RE2 (which is linear
+and knows no possessive form); each group excludes what must follow it, so both
+spellings match the same text.
 """
 
 from __future__ import annotations
@@ -53,28 +57,40 @@ FIXED_BIAS = -1.0
 # Regular expressions of this library (same text for Spark and DuckDB).
 # ---------------------------------------------------------------------------
 
-_STR = r'"[^"\\]*(?:\\.[^"\\]*)*"'  # "..." with backslash escapes
-_VSTR = r'@"[^"]*(?:""[^"]*)*"'  # @"..." with "" escapes
-_CHR = r"'[^'\\]*(?:\\.[^'\\]*)*'"  # '.'
+_STR = r'"(?:[^"\\]|\\[^\n])*P"'  # "..." with backslash escapes
+_VSTR = r'@"(?:[^"]|"")*P"'  # @"..." with "" escapes
+_CHR = r"'(?:[^'\\]|\\[^\n])*P'"  # '.'
+
+
+def java(pattern: str) -> str:
+    return pattern.replace("*P", "*+").replace("+P", "++")
+
+
+def re2(pattern: str) -> str:
+    return pattern.replace("*P", "*").replace("+P", "+")
+
 
 # Structural tokenizer for method extraction. Concatenating all matches gives
 # the input back: literals, single structural characters, maximal plain runs,
 # and any other single character.
-PARSE_TOKEN_RE = "|".join(
+_PARSE_TOKEN = "|".join(
     [_VSTR, _STR, _CHR, r"[{};()]", r"""[^{};()"'@]+""", r"(?s:.)"]
 )
+PARSE_TOKEN_RE, PARSE_TOKEN_RE2 = java(_PARSE_TOKEN), re2(_PARSE_TOKEN)
 
 _ID = r"[\p{L}_][\p{L}\p{N}_]*"
 _QID = _ID + r"(?:\." + _ID + r")*"
 _TYPE = r"(?:\([^()]*\)|" + _QID + r"(?: *<[^()]*>)?(?:\?|\[[ ,]*\])*)"
-_PARAMS = r"\([^()]*(?:\([^()]*\)[^()]*)*\)"
+_PARAMS = r"\((?:[^()]|\([^()]*\))*P\)"
 
 # A method signature after attributes and modifiers are removed:
 # <return type> <name>[<type params>](<params>) [where ...]
-METHOD_SIG_RE = (
+_METHOD_SIG = (
     "^" + _TYPE + " +(" + _QID + r")(?: *<[^()]*>)? *" + _PARAMS + "(?: +where .*)?$"
 )
-ATTRIBUTES_RE = r"^(?:\[[^\]]*\] *)+"
+METHOD_SIG_RE, METHOD_SIG_RE2 = java(_METHOD_SIG), re2(_METHOD_SIG)
+_ATTRIBUTES = r"^(?:\[[^\]]*\] *)+P"
+ATTRIBUTES_RE, ATTRIBUTES_RE2 = java(_ATTRIBUTES), re2(_ATTRIBUTES)
 MODIFIERS = (
     "public private protected internal static virtual override abstract sealed "
     "async extern unsafe new readonly partial volatile const implicit explicit ref"
@@ -91,18 +107,19 @@ OPERATOR_RE = r"(?:^|[^\p{L}\p{N}_])operator(?:[^\p{L}\p{N}_]|$)"
 
 # Code tokenizer (features): newline, literals, identifiers, numbers,
 # two-character operators, any other non-space character.
-CODE_TOKEN_RE = "|".join(
+_CODE_TOKEN = "|".join(
     [
         r"\n",
         _VSTR,
-        r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"',
-        r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'",
+        r'"(?:[^"\\\n]|\\[^\n])*P"',
+        r"'(?:[^'\\\n]|\\[^\n])*P'",
         r"[\p{L}_][\p{L}\p{N}_]*",
         r"\p{N}+(?:\.\p{N}+)?",
         r"==|!=|<=|>=|&&|\|\||=>|\+\+|--|\+=|-=|\*=|/=|::|\?\?",
         r"[^ \p{L}\p{N}_]",
     ]
 )
+CODE_TOKEN_RE, CODE_TOKEN_RE2 = java(_CODE_TOKEN), re2(_CODE_TOKEN)
 
 # Fixture text filter (keeps letters, digits, underscore, space, newline).
 PROSE_KEEP_RE = r"[^\p{L}\p{N}_ \n]"

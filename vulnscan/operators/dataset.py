@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import HOLD_FRACTION_VAL, SEED, TRAIN_FRACTION_HOLD
 
-NULL_MARK = "\x1e"
 FIELD_SEP = "\x1f"
 SNIPPET_COLS = ("Snippet", "Target", "CWE")
 
 
 def row_hash(cols, seed: int = SEED) -> Column:
-    """md5 over a seed and all columns (NULL kept distinct from any text)."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in cols]
-    return F.md5(F.concat_ws(FIELD_SEP, F.lit(str(seed)), *parts))
+    """md5 over a seed and all columns. Each value stands with its length before it
+    and NULL as ``-``, so different rows never give the same input."""
+    def part(c):
+        text = F.col(f"`{c}`").cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat(F.lit(f"{seed};"), *[part(c) for c in cols]))
 
 
 def project_snippets(df: DataFrame) -> DataFrame:
@@ -133,10 +136,10 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
 
 
 def prepare_dataset(snippets: DataFrame, seed: int = SEED) -> DataFrame:
-    """Dedup, then exact split. Output (row_id, rnk, split, Snippet, Target, CWE)."""
-    uniq = drop_duplicates(project_snippets(snippets))
-    s = split_exact(uniq, seed)
-    return s.select("row_id", "rnk", "split", *SNIPPET_COLS)
+    """Dedup on all columns, then exact split. Output: row_id, rnk, split, then the
+    columns of ``snippets``, extra ones included."""
+    s = split_exact(drop_duplicates(snippets), seed)
+    return s.select("row_id", "rnk", "split", *snippets.columns)
 
 
 def expected_sizes(n: int) -> tuple[int, int, int]:

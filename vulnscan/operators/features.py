@@ -2,14 +2,15 @@
 
 The subword tokenizer of the original is replaced by a regex code
 tokenizer (identifiers, numbers, literals, operators, newline marker). The
-vocabulary is learnt from the data as a top-k by frequency; its size is
-bounded by ``max_size`` rows of at most ``max_token_chars`` characters, so
-broadcasting it in the id lookup has a proven size bound.
+vocabulary holds every token of the data, however many there are: ids are
+ranks of a range-partitioned sort, and ids are looked up by a plain equi-join
+(broadcast by Spark when the table is small, else shuffled, with skewed tokens
+split by AQE).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
@@ -28,9 +29,7 @@ from ..functions.constants import (
     N_RESERVED_IDS,
 )
 from ..functions.text import clean_multi_line
-
-VOCAB_MAX_SIZE = 50_000
-VOCAB_MAX_TOKEN_CHARS = 100
+from ..session import scratch_path
 
 
 def _c(c):
@@ -69,12 +68,7 @@ def reserved_vocab(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "token string, id int").withColumn("cnt", F.lit(0).cast("bigint"))
 
 
-def build_vocab(
-    df: DataFrame,
-    tokens_col: str = "tokens",
-    max_size: int = VOCAB_MAX_SIZE,
-    max_token_chars: int = VOCAB_MAX_TOKEN_CHARS,
-) -> DataFrame:
+def build_vocab(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(token, id, cnt). Ids 0-3 are reserved; learnt tokens get
     ``4 + rank`` by (count desc, token asc). Counting uses partial
     aggregation, so a very frequent token collapses map-side."""
@@ -82,42 +76,51 @@ def build_vocab(
         # outer form + null filter: a plain explode would make Catalyst repeat
         # the tokenizing expression in an inferred ``size(...) > 0`` filter
         df.select(F.explode_outer(tokens_col).alias("token"))
-        .filter(F.col("token").isNotNull() & (F.length("token") <= max_token_chars))
+        .filter(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max_size)
-    # Bounded by max_size rows: ranking them in one partition is fine.
-    w = Window.orderBy(F.desc("cnt"), F.asc("token"))
-    learnt = top.select(
-        "token", (F.row_number().over(w) - 1 + N_RESERVED_IDS).cast("int").alias("id"), "cnt"
-    )
+    ranked = global_rank(counts, [F.desc("cnt"), F.asc("token")], "rank")
+    learnt = ranked.select("token", (F.col("rank") + N_RESERVED_IDS).cast("int").alias("id"), "cnt")
     return reserved_vocab(df.sparkSession).unionByName(learnt)
 
 
-def _lookup_table(vocab: DataFrame, bounded: bool) -> DataFrame:
-    """The vocabulary for the id join: broadcast as is when it comes from
-    ``build_vocab`` (at most ``max_size`` rows), else only after a size check."""
-    from .scoring import broadcast_if_small
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the 0-based rank of every row in a total order.
 
-    v = vocab.select("token", "id")
-    return F.broadcast(v) if bounded else broadcast_if_small(v, VOCAB_MAX_SIZE + N_RESERVED_IDS)
+    Rows are range-partitioned and sorted by all order columns (so equal leading
+    values spread over partitions) and written once; a row's rank is its place in
+    its partition plus the rows of the partitions before, of which one number a
+    partition comes to the driver.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "ranked")
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    partition, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r[0]: r[1] for r in stored.groupBy(partition.alias("p")).count().collect()}
+    offsets, total = [], 0
+    for p in range(max(sizes, default=0) + 1):
+        offsets.append(total)
+        total += sizes.get(p, 0)
+    first = F.get(F.array(*[F.lit(o).cast("long") for o in offsets]), partition.cast("int"))
+    return stored.withColumn(name, first + place).drop("_at")
 
 
 def encode_ids(
     df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens", carry: tuple = (),
-    bounded: bool = True,
 ) -> DataFrame:
     """(key, *carry, tokens, ids) with unknown tokens mapped to the unk id.
 
-    A ``build_vocab`` table is bounded, so it is broadcast (``bounded=False``
-    checks the size of any other table first); the
-    re-grouping by ``key`` reuses the input's partitioning when the input is
-    already partitioned by ``key``. Empty token arrays survive (outer
-    explode). ``carry`` columns are constant per key and ride along.
+    The vocabulary may be of any size: the join is left to Spark (a broadcast
+    when the table's measured size allows it). Empty token arrays survive (outer
+    explode). ``carry`` columns are constant per key and ride along. The sequence
+    of a key is one array, as it was in its input row.
     """
     t = df.select(key, *carry, F.posexplode_outer(tokens_col).alias("pos", "token"))
-    v = _lookup_table(vocab, bounded)
+    v = vocab.select("token", "id")
     j = t.join(v, "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "id"))
     srt = F.array_sort(F.collect_list(item))
@@ -128,10 +131,10 @@ def encode_ids(
     )
 
 
-def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids", bounded: bool = True) -> DataFrame:
+def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids") -> DataFrame:
     """(key, tokens) by reverse lookup; unknown ids -> unk token."""
     t = df.select(key, F.posexplode_outer(ids_col).alias("pos", "id"))
-    v = _lookup_table(vocab, bounded)
+    v = vocab.select("token", "id")
     j = t.join(v, "id", "left").withColumn("token", F.coalesce("token", F.lit(UNK_TOKEN)))
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
     toks = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["token"])
@@ -139,21 +142,22 @@ def decode_ids(df: DataFrame, vocab: DataFrame, key: str, ids_col: str = "ids",
 
 
 def build_examples(
-    snippets: DataFrame, vocab: DataFrame, key: str = "row_id", block_size: int = BLOCK_SIZE
+    snippets: DataFrame, vocab: DataFrame, key: str = "row_id", block_size: int = BLOCK_SIZE, carry: tuple = (),
 ) -> DataFrame:
-    """(key, label, cwe, input_tokens, input_ids) like the training
+    """(key, *carry, label, cwe, input_tokens, input_ids) like the training
     examples: T5 clean, tokenize, truncate, markers, ids, pad."""
     src = snippets.select(
         key,
+        *carry,
         F.col("Target").alias("label"),
         F.col("CWE").alias("cwe"),
         with_markers(truncate_tokens(tokenize_code(clean_multi_line("Snippet")), block_size)).alias(
             "input_tokens"
         ),
     )
-    enc = encode_ids(src, vocab, key, "input_tokens", carry=("label", "cwe"))
+    enc = encode_ids(src, vocab, key, "input_tokens", carry=(*carry, "label", "cwe"))
     return enc.select(
-        key, "label", "cwe", F.col("tokens").alias("input_tokens"),
+        key, *carry, "label", "cwe", F.col("tokens").alias("input_tokens"),
         pad_ids("ids", block_size).alias("input_ids"),
     )
 

@@ -104,11 +104,12 @@ def quality_gate(rep: DataFrame, f1_col: str = "test_f1", min_f1: float = QUALIT
     return rep.select(F.col(f1_col), passes_gate(F.col(f1_col), min_f1).alias("passed"))
 
 
-def flag_count_gate(results: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Flagged methods per file and whether there is any."""
-    return results.groupBy(key).agg(
-        F.sum("vulnerable").cast("bigint").alias("n_flagged")
-    ).select(key, "n_flagged", (F.col("n_flagged") > 0).alias("has_vulnerable"))
+def flag_count_gate(files: DataFrame, results: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Flagged methods per file and whether there is any; files without methods
+    have none."""
+    flagged = results.groupBy(key).agg(F.sum("vulnerable").alias("n"))
+    n = F.coalesce("n", F.lit(0)).cast("bigint")
+    return files.select(key).join(flagged, key, "left").select(key, n.alias("n_flagged"), (n > 0).alias("has_vulnerable"))
 
 
 def join_preds_labels(preds: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

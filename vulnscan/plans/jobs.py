@@ -142,10 +142,12 @@ def score_texts(
 
 
 def score_snippets(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """E5: every distinct snippet scored: (row_id, p1, vulnerable)."""
-    uniq = drop_duplicates(project_snippets(snippets))
-    d = uniq.withColumn("row_id", row_hash(["Snippet", "Target", "CWE"]))
-    s = score_texts(d, ["row_id"], "Snippet", threshold=threshold)
+    """E5: every snippet row scored: (row_id, p1, vulnerable). Equal rows have equal ids
+    and scores, so each distinct row is scored once and stands as often as given."""
+    d = project_snippets(snippets).groupBy("Snippet", "Target", "CWE").agg(F.count(F.lit(1)).alias("_n"))
+    d = d.withColumn("row_id", row_hash(["Snippet", "Target", "CWE"]))
+    s = score_texts(d, ["row_id", "_n"], "Snippet", threshold=threshold)
+    s = s.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
     return s.select("row_id", F.round("p1", 6).alias("p1"), F.col("pred").alias("vulnerable"))
 
 

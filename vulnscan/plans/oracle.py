@@ -9,23 +9,23 @@ syntax is ``lambda x: ...``; ``('0x' || hex)::BIGINT`` parses hex.
 from __future__ import annotations
 
 from ..functions.constants import (
-    ATTRIBUTES_RE,
+    ATTRIBUTES_RE2,
     BLOCK_SIZE,
     CLS_TOKEN,
-    CODE_TOKEN_RE,
+    CODE_TOKEN_RE2,
     COMMENT_RE,
     FIRST_WORD_RE,
     FIXED_BIAS,
     FIXED_WEIGHTS,
     HOLD_FRACTION_VAL,
     LINE_SEPARATORS,
-    METHOD_SIG_RE,
+    METHOD_SIG_RE2,
     MODIFIERS_RE,
     NEWLINE_MARKER,
     NOT_METHOD_WORDS,
     OPERATOR_RE,
     PAD_ID,
-    PARSE_TOKEN_RE,
+    PARSE_TOKEN_RE2,
     PROSE_KEEP_RE,
     QUALITY_F1,
     SEED,
@@ -102,7 +102,7 @@ def add_line_delimiters(x: str) -> str:
 
 def tokenize_code(x: str) -> str:
     return (
-        f"list_transform(regexp_extract_all({x}, {q(CODE_TOKEN_RE)}, 0), "
+        f"list_transform(regexp_extract_all({x}, {q(CODE_TOKEN_RE2)}, 0), "
         f"lambda t: CASE WHEN t = chr(10) THEN {q(NEWLINE_MARKER)} ELSE t END)"
     )
 
@@ -183,20 +183,20 @@ def with_ctes(*ctes: str, body: str) -> str:
 
 
 def _sig(h: str) -> str:
-    return f"regexp_replace(regexp_replace({h}, {q(ATTRIBUTES_RE)}, ''), {q(MODIFIERS_RE)}, '')"
+    return f"regexp_replace(regexp_replace({h}, {q(ATTRIBUTES_RE2)}, ''), {q(MODIFIERS_RE)}, '')"
 
 
 def is_method_signature(h: str) -> str:
     s = _sig(h)
     words = ", ".join(q(w) for w in NOT_METHOD_WORDS)
     return (
-        f"(regexp_matches({s}, {q(METHOD_SIG_RE)}) AND regexp_extract({s}, {q(FIRST_WORD_RE)}, 1) NOT IN ({words})"
+        f"(regexp_matches({s}, {q(METHOD_SIG_RE2)}) AND regexp_extract({s}, {q(FIRST_WORD_RE)}, 1) NOT IN ({words})"
         f" AND NOT regexp_matches({s}, {q(OPERATOR_RE)}))"
     )
 
 
 def method_name(h: str) -> str:
-    return f"regexp_extract({_sig(h)}, {q(METHOD_SIG_RE)}, 1)"
+    return f"regexp_extract({_sig(h)}, {q(METHOD_SIG_RE2)}, 1)"
 
 
 PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -208,7 +208,7 @@ def method_ctes(src: str = "code_files", key: str = "doc_id", code: str = "code"
     header = f"trim(substring(text, 1, length(text) - 1), {WS_SQL})"
     arrow = f"trim(split_part({header}, '=>', 1), {WS_SQL})"
     return [
-        f"""mt_src AS (SELECT {key} AS k, regexp_extract_all({clean_single_line(code, True)}, {q(PARSE_TOKEN_RE)}, 0) AS toks FROM {src})""",
+        f"""mt_src AS (SELECT {key} AS k, regexp_extract_all({clean_single_line(code, True)}, {q(PARSE_TOKEN_RE2)}, 0) AS toks FROM {src})""",
         """mt_tok AS (SELECT k, unnest(toks) AS tok, unnest(range(0, len(toks))) AS i FROM mt_src)""",
         f"""mt_tok2 AS (SELECT *,
    coalesce(sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i {PREV}), 0) AS pdepth,
@@ -286,8 +286,8 @@ def attribution_ctes(src: str, keys: list[str], padding: bool, prefix: str = "la
 
 
 def row_hash(cols: list[str], seed: int = SEED) -> str:
-    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in cols)
-    return f"md5(concat_ws(chr(31), '{seed}', {parts}))"
+    parts = " || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols)
+    return f"md5('{seed};' || {parts})"
 
 
 def split_ctes() -> list[str]:

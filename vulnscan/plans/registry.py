@@ -22,6 +22,7 @@ from ..operators import features as FT
 from ..operators import methods as M
 from ..operators import metrics as G
 from ..operators import scoring as C
+from ..session import cut_lineage, scratch_path
 from . import fixtures as fx
 from . import oracle as O
 from . import jobs as P
@@ -278,7 +279,8 @@ def q_prepare_dataset(spark, sf):
 _TOK = O.tokenize_code(O.clean_multi_line("code"))
 _TOK_CTE = f"ft_tok AS (SELECT doc_id, {_TOK} AS toks FROM code_files)"
 _TRUNC = f"list_slice(toks, 1, {O.BLOCK - 2})"
-_SEQ = O.with_markers(_TRUNC)
+_SEQ = O.with_markers(_TRUNC)  # the 512 block of F7, F9 and P2
+_WHOLE = O.with_markers("toks")
 
 
 def _code_tokens(spark, sf) -> DataFrame:
@@ -305,21 +307,19 @@ def q_truncate_tokens(spark, sf):
 
 @register(
     "with_markers",
-    _sql(CF + [_TOK_CTE], f"SELECT doc_id, CAST(len({_SEQ}) AS BIGINT) AS n_tokens, array_to_string({_SEQ}, chr(31)) AS tokens FROM ft_tok"),
+    _sql(CF + [_TOK_CTE], f"SELECT doc_id, CAST(len({_WHOLE}) AS BIGINT) AS n_tokens, array_to_string({_WHOLE}, chr(31)) AS tokens FROM ft_tok"),
 )
 def q_with_markers(spark, sf):
-    t = _code_tokens(spark, sf).select("doc_id", FT.with_markers(FT.truncate_tokens("toks")).alias("toks"))
+    t = _code_tokens(spark, sf).select("doc_id", FT.with_markers("toks").alias("toks"))
     return t.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"), F.array_join("toks", US).alias("tokens"))
 
 
 def vocab_ctes(src_cte: str) -> list[str]:
     """vocab(token, id, cnt) from src_cte(toks)."""
     return [
-        f"""vc_cnt AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM {src_cte}) t
- WHERE length(token) <= {FT.VOCAB_MAX_TOKEN_CHARS} GROUP BY token)""",
-        f"""vc_top AS (SELECT token, cnt FROM vc_cnt ORDER BY cnt DESC, token ASC LIMIT {FT.VOCAB_MAX_SIZE})""",
+        f"""vc_cnt AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM {src_cte}) t GROUP BY token)""",
         f"""vocab AS (SELECT * FROM (VALUES ('<s>', 0, 0), ('<pad>', 1, 0), ('</s>', 2, 0), ('<unk>', 3, 0)) r(token, id, cnt)
- UNION ALL SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token ASC) - 1 + 4 AS INTEGER) AS id, cnt FROM vc_top)""",
+ UNION ALL SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token ASC) - 1 + 4 AS INTEGER) AS id, cnt FROM vc_cnt)""",
     ]
 
 
@@ -331,19 +331,25 @@ def q_build_vocab(spark, sf):
     return FT.build_vocab(_code_tokens(spark, sf), "toks")
 
 
-_ENC_CTES = _VOCAB_CF + [
-    f"en_seq AS (SELECT doc_id, {_SEQ} AS seq FROM ft_tok)",
-    "en_pos AS (SELECT doc_id, unnest(seq) AS token, unnest(range(0, len(seq))) AS pos FROM en_seq)",
-    f"en_ids AS (SELECT doc_id, list(coalesce(v.id, {O.UNK}) ORDER BY pos) AS ids FROM en_pos LEFT JOIN vocab v USING (token) GROUP BY doc_id)",
-]
+def _enc_ctes(seq: str) -> list[str]:
+    return _VOCAB_CF + [
+        f"en_seq AS (SELECT doc_id, {seq} AS seq FROM ft_tok)",
+        "en_pos AS (SELECT doc_id, unnest(seq) AS token, unnest(range(0, len(seq))) AS pos FROM en_seq)",
+        f"en_ids AS (SELECT doc_id, list(coalesce(v.id, {O.UNK}) ORDER BY pos) AS ids FROM en_pos LEFT JOIN vocab v USING (token) GROUP BY doc_id)",
+    ]
+
+
+_ENC_CTES, _BLOCK_CTES = _enc_ctes(_WHOLE), _enc_ctes(_SEQ)
 
 
-def _encoded(spark, sf) -> DataFrame:
+def _encoded(spark, sf, block: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Ids of the whole sequences, or of their first block, and the vocabulary."""
     # The tokens feed both the vocabulary and the encoding: written once to
     # the checkpoint folder instead of running the tokenizer twice.
     t = cut_lineage(_code_tokens(spark, sf))
     vocab = FT.build_vocab(t, "toks")
-    seq = t.select("doc_id", FT.with_markers(FT.truncate_tokens("toks")).alias("seq"))
+    toks = FT.truncate_tokens("toks") if block else F.col("toks")
+    seq = t.select("doc_id", FT.with_markers(toks).alias("seq"))
     return FT.encode_ids(seq, vocab, "doc_id", "seq"), vocab
 
 
@@ -382,10 +388,10 @@ _PAD = f"list_concat(ids, list_transform(range(0, greatest(0, {O.BLOCK} - len(id
 
 @register(
     "pad_ids",
-    _sql(_ENC_CTES, f"SELECT doc_id, CAST(len({_PAD}) AS BIGINT) AS n_ids, array_to_string({_PAD}, ' ') AS ids FROM en_ids"),
+    _sql(_BLOCK_CTES, f"SELECT doc_id, CAST(len({_PAD}) AS BIGINT) AS n_ids, array_to_string({_PAD}, ' ') AS ids FROM en_ids"),
 )
 def q_pad_ids(spark, sf):
-    enc, _ = _encoded(spark, sf)
+    enc, _ = _encoded(spark, sf, block=True)
     p = enc.select("doc_id", FT.pad_ids("ids").alias("ids"))
     return p.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), _ids_str().alias("ids"))
 
@@ -420,12 +426,14 @@ _EX_CTES = _DS + [
 ]
 
 
-def _examples(spark, sf) -> DataFrame:
-    ds = X.prepare_dataset(fx.snippets(spark, sf))
+def _examples(spark, sf, first: int | None = None) -> DataFrame:
+    """The examples of all rows, or of the first ``first`` rows of the train split."""
+    ds = cut_lineage(X.prepare_dataset(fx.snippets(spark, sf)))
     train_toks = X.select_split(ds, "train").select(FT.tokenize_code(T.clean_multi_line("Snippet")).alias("toks"))
     vocab = FT.build_vocab(train_toks, "toks")
-    ex = FT.build_examples(ds, vocab, "row_id")
-    return ex.join(ds.select("row_id", "rnk", "split"), "row_id")
+    if first is not None:
+        ds = X.select_split(ds, "train").orderBy("rnk").limit(first)
+    return FT.build_examples(ds, vocab, "row_id", carry=("rnk", "split"))
 
 
 @register(
@@ -452,9 +460,7 @@ def q_build_examples(spark, sf):
     ),
 )
 def q_preview_examples(spark, sf):
-    ex = _examples(spark, sf)
-    first3 = X.select_split(ex, "train").orderBy("rnk").limit(3)
-    return first3.select(
+    return _examples(spark, sf, first=3).select(
         "rnk", "label", F.array_join(FT.preview_tokens("input_tokens"), " ").alias("input_tokens"),
         _ids_str("input_ids").alias("input_ids"),
     )
@@ -807,11 +813,13 @@ def q_scan_result_flat(spark, sf):
     "flag_count_gate",
     _sql(
         _SCAN_CTES,
-        "SELECT doc_id, CAST(sum(vulnerable) AS BIGINT) AS n_flagged, sum(vulnerable) > 0 AS has_vulnerable FROM scan GROUP BY doc_id",
+        """SELECT c.doc_id, CAST(coalesce(sum(s.vulnerable), 0) AS BIGINT) AS n_flagged, coalesce(sum(s.vulnerable), 0) > 0 AS has_vulnerable
+FROM code_files c LEFT JOIN scan s ON s.doc_id = c.doc_id GROUP BY c.doc_id""",
     ),
 )
 def q_flag_count_gate(spark, sf):
-    return G.flag_count_gate(P.method_flags(fx.code_files(spark, sf)))
+    files = fx.code_files(spark, sf)
+    return G.flag_count_gate(files, P.method_flags(files))
 
 
 @register(
@@ -828,9 +836,10 @@ def q_evaluate_test(spark, sf):
 @register(
     "score_snippets",
     _sql(
-        SN + [O.WEIGHTS, f"su AS (SELECT *, {O.row_hash(['Snippet', 'Target', 'CWE'])} AS row_id FROM (SELECT DISTINCT Snippet, Target, CWE FROM snippets) u)"]
-        + O.score_texts_ctes("su", ["row_id"], "Snippet"),
-        "SELECT row_id, round(p1, 6) AS p1, pred AS vulnerable FROM st_scored",
+        SN + [O.WEIGHTS, f"su AS (SELECT *, {O.row_hash(['Snippet', 'Target', 'CWE'])} AS row_id FROM snippets)",
+                         "sd AS (SELECT DISTINCT row_id, Snippet FROM su)"]
+        + O.score_texts_ctes("sd", ["row_id"], "Snippet"),
+        "SELECT su.row_id, round(p1, 6) AS p1, pred AS vulnerable FROM su JOIN st_scored USING (row_id)",
     ),
 )
 def q_score_snippets(spark, sf):
@@ -855,7 +864,6 @@ def q_text_checksums(spark, sf):
 # These write to (and read back from) the shared checkpoint folder.
 # ---------------------------------------------------------------------------
 
-from ..session import cut_lineage, scratch_path  # noqa: E402
 from ..sources import io as S  # noqa: E402
 from ..streaming import scan_stream as ST  # noqa: E402
 
@@ -913,12 +921,13 @@ def q_src_csv_roundtrip(spark, sf):
 
 @register(
     "sink_splits",
-    _sql(_DS, "SELECT row_id, rnk, split, Snippet, Target, CWE FROM dataset WHERE split = 'test'"),
+    _sql(_DS, "SELECT row_id, rnk, split, Snippet, Target, CWE FROM dataset"),
 )
 def q_sink_splits(spark, sf):
     path = scratch_path(spark, "splits")
     S.write_splits(X.prepare_dataset(fx.snippets(spark, sf)), path)
-    return S.read_split(spark, path, "test").select("row_id", "rnk", "split", "Snippet", "Target", "CWE")
+    parts = [S.read_split(spark, path, p) for p in ("train", "test", "val")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("row_id", "rnk", "split", "Snippet", "Target", "CWE")
 
 
 def _train(spark, sf):

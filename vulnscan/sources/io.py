@@ -16,17 +16,25 @@ SNIPPET_SCHEMA = "Snippet string, Target int, CWE string"
 
 
 def read_snippets(spark: SparkSession, path: str, schema: str = SNIPPET_SCHEMA) -> DataFrame:
-    """Labelled snippet CSV. Snippets hold newlines and quotes, so the
-    reader needs ``multiLine`` and ``escape='"'`` (RFC 4180 doubling)."""
-    return (
+    """Labelled snippet CSV, columns taken by name (in any order; others are kept
+    as strings after them). Fails if a named column is missing or a value does not fit
+    its type. Snippets hold newlines and quotes, so the reader needs ``multiLine`` and
+    ``escape='"'`` (RFC 4180 doubling); such a file is read by one task, so convert
+    large ones to Parquet on ingest."""
+    df = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .schema(schema)
         .csv(path)
     )
+    named = [c.split() for c in schema.split(",")]
+    missing = [n for n, _ in named if n not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    extra = [F.col(f"`{c}`") for c in df.columns if c not in {n for n, _ in named}]
+    return df.select(*[F.col(n).cast(t).alias(n) for n, t in named], *extra)
 
 
 def write_snippets_csv(df: DataFrame, path: str) -> None:
