@@ -10,6 +10,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from vulnscan.plans import fixtures as fx
 from vulnscan.plans import jobs as P
+from vulnscan.plans.registry import QUERIES
 from vulnscan.session import TABLES, scratch_path
 from vulnscan.sources import io as S
 from vulnscan.streaming import scan_stream as ST
@@ -100,7 +101,7 @@ _EAGER = {
 
 def test_every_plan_stays_in_jvm_without_pair_joins(spark):
     python_nodes = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
-    for name, q in sorted(E.queries().items()):
+    for name, q in sorted(QUERIES.items()):
         if name in _EAGER:
             continue
         plan = _plan(q(spark, SF_SMALL))

@@ -1,4 +1,4 @@
-"""MLlib training, save/load round trip, batch UDF."""
+"""Training, the best model, save/load round trip, batch UDF."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -12,18 +12,30 @@ def _train_rows(spark):
     return spark.createDataFrame(rows, "row_id int, tokens array<string>, label int")
 
 
-def test_saved_model_scores_identically(spark):
+def test_training_keeps_the_best_model_and_saves_it(spark):
     df = _train_rows(spark)
-    model = C.train_classifier(df)
+    model, kept = C.train_classifier(df, df, ["row_id"])
+    assert kept.first().f1 == 1.0 and kept.first().alpha == model.alpha == min(C.ALPHAS)  # ties: the smallest
     path = scratch_path(spark, "model")
     C.save_model(model, path)
-    a = {r.row_id: r.p1 for r in C.apply_classifier(model, df).collect()}
-    b = {r.row_id: r.p1 for r in C.apply_classifier(C.load_model(path), df).collect()}
+    a = {r.row_id: r.p1 for r in C.apply_model(model, df, ["row_id"]).collect()}
+    b = {r.row_id: r.p1 for r in C.apply_model(C.load_model(spark, path), df, ["row_id"]).collect()}
     assert a == b
     # separable toy data: the classifier learns it
     assert all((p > 0.5) == (i % 2 == 1) for i, p in a.items())
 
 
+def test_weights_are_smoothed_log_ratios_of_every_token(spark):
+    import math
+
+    df = spark.createDataFrame([(1, ["a", "a", "b"], 1), (2, ["b", "c"], 0), (3, [], 0)], "row_id int, tokens array<string>, label int")
+    weights, biases = C.train_candidates(df, alphas=(1.0,))
+    got = {r.token: r.w[0] for r in weights.collect()}
+    want = {t: math.log((c1 + 1) / (3 + 3)) - math.log((c0 + 1) / (2 + 3)) for t, c1, c0 in (("a", 2, 0), ("b", 1, 1), ("c", 0, 1))}
+    assert got.keys() == want.keys() and all(math.isclose(got[t], want[t]) for t in want)
+    assert math.isclose(biases[0], math.log(2 / 3))
+
+
 def test_batch_udf_equals_linear_scorer(spark):
     df = spark.createDataFrame([(1, ["override", "null", "null"]), (2, []), (3, ["private", "z"])], "id int, toks array<string>")
     score = C.batch_scorer(C.make_fixed_linear_model(), n_features=len(C.FIXED_WEIGHTS))

@@ -1,49 +1,31 @@
 """Scoring (C1-C7, P3).
 
 C3-C6 are plain column arithmetic over a (token, w) table joined to token
-rows; C1 is an MLlib pipeline; C2 runs a caller-supplied batch model through
-``predict_batch_udf`` (Arrow batches, model built once per Python worker).
+rows; C1 learns such a table in closed form with group-bys (so it has every token
+of the training rows, and nothing but a few totals on the driver); C2 runs a
+caller-supplied batch model through ``predict_batch_udf`` (Arrow batches, model
+built once per Python worker).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import FIXED_BIAS, FIXED_WEIGHTS, THRESHOLD
-
-# A weight table larger than this is joined by shuffle, not broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the row count (one small job)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
+from ..session import cut_lineage
 
 def token_weights(tokens: DataFrame, weights: DataFrame, token_col: str = "token") -> DataFrame:
-    """Adds ``w`` (0 for tokens without a weight) by a size-checked join."""
-    w = broadcast_if_small(weights.select(F.col("token").alias(token_col), F.col("w")))
+    """Adds ``w`` (0 for tokens without a weight). The weight table may be of any size:
+    Spark broadcasts it if its measured size allows, else shuffles and splits hot tokens."""
+    w = weights.select(F.col("token").alias(token_col), F.col("w"))
     return tokens.join(w, token_col, "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
 
 
-def linear_logits(
-    items: DataFrame, keys: list[str], tokens_col: str, weights: DataFrame, bias: float = FIXED_BIAS
-) -> DataFrame:
-    """(keys, logit0, logit1) with ``logit1 = sum(w) + bias``, ``logit0 = 0``.
-
-    Items with no tokens keep ``logit1 = bias`` (outer explode).
-    """
-    t = items.select(*keys, F.explode_outer(tokens_col).alias("token"))
-    s = token_weights(t, weights).groupBy(*keys).agg(F.sum("w").alias("z"))
-    return s.select(*keys, F.lit(0.0).alias("logit0"), (F.col("z") + F.lit(bias)).alias("logit1"))
-
-
 def softmax_p1(l0: Column, l1: Column) -> Column:
     """C4: probability of class 1 by a max-shifted softmax over two logits."""
     m = F.greatest(l0, l1)
@@ -51,12 +33,6 @@ def softmax_p1(l0: Column, l1: Column) -> Column:
     return e1 / (e0 + e1)
 
 
-def softmax_p0(l0: Column, l1: Column) -> Column:
-    m = F.greatest(l0, l1)
-    e0, e1 = F.exp(l0 - m), F.exp(l1 - m)
-    return e0 / (e0 + e1)
-
-
 def row_log_loss(l0: Column, l1: Column, label: Column) -> Column:
     """Cross-entropy on the logits: log-sum-exp minus the label's logit."""
     m = F.greatest(l0, l1)
@@ -74,58 +50,86 @@ def fixed_weights(spark) -> DataFrame:
     return spark.createDataFrame(list(FIXED_WEIGHTS), "token string, w double")
 
 
-def best_by_f1(candidates: DataFrame, id_col: str, f1_col: str = "f1") -> DataFrame:
-    """The candidate with the highest F1; ties go to the smallest id."""
-    best = F.max(F.struct(F.col(f1_col), (-F.col(id_col)).alias("neg")))
-    return candidates.agg(best.alias("b")).select(
-        (-F.col("b.neg")).alias(id_col), F.col("b")[f1_col].alias(f1_col)
-    )
+# ---------------------------------------------------------------------------
+# Training (C1, C7, S6) and batch inference
+# ---------------------------------------------------------------------------
 
+#: Candidate models: naive Bayes smoothings.
+ALPHAS = (0.1, 1.0, 10.0)
 
-def keep_best_model(runs: DataFrame) -> DataFrame:
-    """C7 over stored runs (model_path, f1): the best F1; ties go to the
-    smallest path. ``runs`` has one row per candidate run (small)."""
-    top = runs.agg(F.max("f1").alias("f1"))
-    return runs.join(top, "f1").groupBy("f1").agg(F.min("model_path").alias("model_path"))
 
+class Model:
+    """A linear scorer: (token, w) table, bias, and the smoothing it came from."""
 
-# ---------------------------------------------------------------------------
-# MLlib (C1, S6) and batch inference
-# ---------------------------------------------------------------------------
+    def __init__(self, weights: DataFrame, bias: float, alpha: float):
+        self.weights, self.bias, self.alpha = weights, bias, alpha
 
 
-def train_classifier(train: DataFrame, tokens_col: str = "tokens", label_col: str = "label", seed: int = 42,
-                     reg_param: float = 0.01, vocab_size: int = 1 << 16):
-    """CountVectorizer -> IDF -> LogisticRegression fitted on ``train``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer
+def train_candidates(train: DataFrame, tokens_col: str = "tokens", label_col: str = "label", alphas=ALPHAS):
+    """((token, w) with one weight for each smoothing, biases). The weight of a token
+    is the difference of its smoothed log frequencies in the two classes."""
+    one = F.when(F.col(label_col) == 1, 1).otherwise(0)
+    tokens = train.select(one.alias("y"), F.explode_outer(tokens_col).alias("token")).filter(F.col("token").isNotNull())
+    counts = tokens.groupBy("token").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
+    n0, n1, v = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("c0", "c1")], F.count(F.lit(1))).first()
+    d1, d = train.agg(F.coalesce(F.sum(one), F.lit(0)), F.count(F.lit(1))).first()
 
-    cv = CountVectorizer(inputCol=tokens_col, outputCol="tf", vocabSize=vocab_size, minDF=1.0)
-    idf = IDF(inputCol="tf", outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol=label_col, regParam=reg_param, maxIter=50)
-    return Pipeline(stages=[cv, idf, lr]).fit(train.withColumn(label_col, F.col(label_col).cast("double")))
+    def weight(a: float) -> Column:
+        part = lambda c, n: F.log((F.col(c) + F.lit(a)) / F.lit(n + a * v))
+        return part("c1", n1) - part("c0", n0)
 
+    bias = math.log((d1 + 1) / (d - d1 + 1))
+    return counts.select("token", F.array(*[weight(a) for a in alphas]).alias("w")), [bias] * len(alphas)
 
-def apply_classifier(model, df: DataFrame) -> DataFrame:
-    """Score with a fitted pipeline: adds ``p1`` (probability of class 1)."""
-    from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df)
-    return out.withColumn("p1", vector_to_array("probability")[1]).drop(
-        "tf", "features", "rawPrediction", "probability", "prediction"
-    )
+def candidate_logits(rows: DataFrame, keys: list[str], weights: DataFrame, biases: list[float], tokens_col: str = "tokens") -> DataFrame:
+    """(keys, z0, z1, ...): the second class's logit by each candidate, in one pass."""
+    tokens = rows.select(*keys, F.explode_outer(tokens_col).alias("token"))
+    sums = [(F.coalesce(F.sum(F.get("w", F.lit(i))), F.lit(0.0)) + F.lit(b)).alias(f"z{i}") for i, b in enumerate(biases)]
+    return tokens.join(weights, "token", "left").groupBy(*keys).agg(*sums)
+
+
+def candidate_f1(logits: DataFrame, n: int, label_col: str = "label", threshold: float = THRESHOLD) -> list[float]:
+    """F1 of each candidate (n numbers)."""
+    from .metrics import f1
+
+    columns = []
+    for i in range(n):
+        p, y = threshold_flag(softmax_p1(F.lit(0.0), F.col(f"z{i}")), threshold), F.col(label_col)
+        tp, fp, fn = (F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)) for c in ((y == 1) & (p == 1), (y != 1) & (p == 1), (y == 1) & (p != 1)))
+        columns.append(f1(tp, fp, fn).alias(f"f{i}"))
+    return list(logits.agg(*columns).first())
+
+
+def train_classifier(train: DataFrame, val: DataFrame, keys: list[str], label_col: str = "label", alphas=ALPHAS) -> tuple[Model, DataFrame]:
+    """Trains the candidates, keeps the one with the best F1 on ``val`` (ties:
+    the smallest smoothing). Returns it and (alpha, f1) of the kept one."""
+    weights, biases = train_candidates(train, label_col=label_col, alphas=alphas)
+    weights = cut_lineage(weights)
+    scores = candidate_f1(candidate_logits(val, [*keys, label_col], weights, biases), len(alphas), label_col)
+    best = max(range(len(alphas)), key=lambda i: (scores[i], -alphas[i]))
+    kept = train.sparkSession.createDataFrame([(float(alphas[best]), float(scores[best]))], "alpha double, f1 double")
+    return Model(weights.select("token", F.get("w", F.lit(best)).alias("w")), biases[best], alphas[best]), kept
+
 
+def apply_model(model: Model, rows: DataFrame, keys: list[str], tokens_col: str = "tokens") -> DataFrame:
+    """(keys, logit0, logit1, p1)."""
+    tokens = rows.select(*keys, F.explode_outer(tokens_col).alias("token"))
+    z = token_weights(tokens, model.weights).groupBy(*keys).agg((F.sum("w") + F.lit(model.bias)).alias("logit1"))
+    return z.select(*keys, F.lit(0.0).alias("logit0"), "logit1", softmax_p1(F.lit(0.0), F.col("logit1")).alias("p1"))
 
-def save_model(model, path: str) -> None:
-    """Persist a fitted pipeline (overwrite)."""
-    model.write().overwrite().save(path)
 
+def save_model(model: Model, path: str) -> None:
+    """One table; the row without token holds the bias."""
+    spark = model.weights.sparkSession
+    bias = spark.createDataFrame([(None, float(model.bias))], "token string, w double")
+    model.weights.unionByName(bias).withColumn("alpha", F.lit(float(model.alpha))).write.mode("overwrite").parquet(path)
 
-def load_model(path: str):
-    from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> Model:
+    table = spark.read.parquet(path)
+    bias, alpha = table.filter("token is null").select("w", "alpha").first()
+    return Model(table.filter("token is not null").select("token", "w"), bias, alpha)
 
 
 def batch_scorer(make_predict_fn: Callable, n_features: int, batch_size: int = 1024):

@@ -21,7 +21,7 @@ from ..operators.features import tokenize_code, with_markers
 from ..operators.methods import extract_methods
 from ..operators.metrics import passes_gate, report
 from ..operators.scoring import (
-    apply_classifier,
+    apply_model,
     fixed_weights,
     row_log_loss,
     softmax_p1,
@@ -175,18 +175,27 @@ def evaluate_test(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFram
     return rep.withColumn("passed", passes_gate(F.col("test_f1")))
 
 
-def train_and_eval(snippets: DataFrame, reg_param: float = 0.01, threshold: float = THRESHOLD):
-    """Fit the MLlib pipeline on 'train', report on 'val'. Returns
-    (model, report DataFrame)."""
+def labelled_tokens(snippets: DataFrame) -> DataFrame:
+    """(row_id, split, label, tokens) of the prepared data set, written once."""
     ds = prepare_dataset(snippets)
-    feats = ds.select(
+    return cut_lineage(ds.select(
         "row_id", "split", F.col("Target").alias("label"),
         tokenize_code(clean_multi_line("Snippet")).alias("tokens"),
-    )
-    feats = cut_lineage(feats)
-    model = train_classifier(select_split(feats, "train"), reg_param=reg_param)
-    val = apply_classifier(model, select_split(feats, "val"))
+    ))
+
+
+def train_best(rows: DataFrame):
+    """C1 + C7 on the train split, the best by the val split: (model, (alpha, f1))."""
+    return train_classifier(select_split(rows, "train"), select_split(rows, "val"), ["row_id"])
+
+
+def train_and_eval(snippets: DataFrame, threshold: float = THRESHOLD):
+    """Train on 'train', keep the best model, report on 'val'. Returns
+    (model, report DataFrame)."""
+    rows = labelled_tokens(snippets)
+    model, _ = train_best(rows)
+    val = apply_model(model, select_split(rows, "val"), ["row_id", "label"])
     val = val.withColumn("pred", threshold_flag(F.col("p1"), threshold)).withColumn(
-        "loss", -F.log(F.when(F.col("label") == 1, F.col("p1")).otherwise(1 - F.col("p1")))
+        "loss", row_log_loss(F.col("logit0"), F.col("logit1"), F.col("label"))
     )
     return model, report(val, "eval", threshold=threshold)

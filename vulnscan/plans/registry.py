@@ -517,34 +517,34 @@ def q_eval_loss(spark, sf):
     )
 
 
-_GRID = (0.3, 0.4, 0.5, 0.6, 0.7)
-_GRID_SQL = ", ".join(f"({t}::DOUBLE)" for t in _GRID)
+_NB_CTES = _DS + [
+    f"ex_tok AS (SELECT row_id, split, Target, {O.tokenize_code(O.clean_multi_line('Snippet'))} AS toks FROM dataset)",
+    """nb_cnt AS (SELECT token, sum(CASE WHEN Target = 1 THEN 1 ELSE 0 END) AS c1, sum(CASE WHEN Target = 1 THEN 0 ELSE 1 END) AS c0
+ FROM (SELECT Target, unnest(toks) AS token FROM ex_tok WHERE split = 'train') t GROUP BY token)""",
+    "nb_tot AS (SELECT sum(c0) AS n0, sum(c1) AS n1, count(*) AS v FROM nb_cnt)",
+    "nb_doc AS (SELECT sum(CASE WHEN Target = 1 THEN 1 ELSE 0 END) AS d1, count(*) AS d FROM ex_tok WHERE split = 'train')",
+    "nb_grid AS (SELECT * FROM (VALUES " + ", ".join(f"({a}::DOUBLE)" for a in C.ALPHAS) + ") g(alpha))",
+    """nb_w AS (SELECT alpha, token, ln((c1 + alpha) / (n1 + alpha * v)) - ln((c0 + alpha) / (n0 + alpha * v)) AS w
+ FROM nb_cnt, nb_tot, nb_grid)""",
+    """nb_z AS (SELECT row_id, alpha, sum(w) AS z FROM (SELECT row_id, unnest(toks) AS token FROM ex_tok WHERE split = 'val') t
+ JOIN nb_w USING (token) GROUP BY row_id, alpha)""",
+    """nb_val AS (SELECT e.row_id, e.Target AS label, g.alpha, 0.0::DOUBLE AS logit0, ln((d1 + 1) / (d - d1 + 1)) + coalesce(z, 0) AS logit1
+ FROM (SELECT row_id, Target FROM ex_tok WHERE split = 'val') e CROSS JOIN nb_grid g CROSS JOIN nb_doc
+ LEFT JOIN nb_z z ON z.row_id = e.row_id AND z.alpha = g.alpha)""",
+    f"""nb_p AS (SELECT *, {O.softmax_p1('logit0', 'logit1')} AS p1, {O.threshold_flag(O.softmax_p1('logit0', 'logit1'))} AS pred,
+   {O.row_log_loss('logit0', 'logit1', 'label')} AS loss FROM nb_val)""",
+    f"""nb_best AS (SELECT alpha, {O.div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM (
+   SELECT alpha, sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN label <> 1 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
+     sum(CASE WHEN label = 1 AND pred <> 1 THEN 1 ELSE 0 END) AS fn FROM nb_p GROUP BY alpha) c
+ ORDER BY f1 DESC, alpha ASC LIMIT 1)""",
+    "nb_kept AS (SELECT p.* FROM nb_p p JOIN nb_best b ON p.alpha = b.alpha)",
+]
 
 
-@register(
-    "best_model",
-    _sql(
-        [O.PREDS],
-        f"""SELECT threshold, f1 FROM (
-  SELECT g.threshold,
-         {O.div('2 * sum(CASE WHEN label = 1 AND p1 > g.threshold THEN 1 ELSE 0 END)', '2 * sum(CASE WHEN label = 1 AND p1 > g.threshold THEN 1 ELSE 0 END) + sum(CASE WHEN label <> 1 AND p1 > g.threshold THEN 1 ELSE 0 END) + sum(CASE WHEN label = 1 AND NOT p1 > g.threshold THEN 1 ELSE 0 END)')} AS f1
-  FROM preds, (VALUES {_GRID_SQL}) g(threshold) GROUP BY g.threshold) c
-ORDER BY f1 DESC, threshold ASC LIMIT 1""",
-    ),
-)
+@register("best_model", _sql(_NB_CTES, "SELECT alpha, round(f1, 6) AS f1 FROM nb_best"))
 def q_best_model(spark, sf):
-    pr = fx.preds(spark, sf)
-    grid_cols = []
-    for t in _GRID:
-        p = C.threshold_flag(F.col("p1"), t)
-        y = F.col("label")
-        tp = F.sum(F.when((y == 1) & (p == 1), 1).otherwise(0))
-        fp = F.sum(F.when((y != 1) & (p == 1), 1).otherwise(0))
-        fn = F.sum(F.when((y == 1) & (p != 1), 1).otherwise(0))
-        grid_cols.append(F.struct(F.lit(t).alias("threshold"), G.f1(tp, fp, fn).alias("f1")))
-    # One pass over the predictions computes every candidate's F1.
-    cands = pr.agg(F.array(*grid_cols).alias("c")).select(F.explode("c").alias("c")).select("c.*")
-    return C.best_by_f1(cands, "threshold").select("threshold", "f1")
+    _, kept = P.train_best(P.labelled_tokens(fx.snippets(spark, sf)))
+    return kept.select("alpha", F.round("f1", 6).alias("f1"))
 
 
 @register("threshold_flag", _sql([O.PREDS], f"SELECT doc_id, {O.threshold_flag('p1')} AS pred FROM preds"))
@@ -860,7 +860,7 @@ def q_text_checksums(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Rows-only queries: sources and sinks (S1-S7), MLlib (C1, S6), batch UDF
+# Sources and sinks (S1-S7), training (C1, S6), batch UDF
 # These write to (and read back from) the shared checkpoint folder.
 # ---------------------------------------------------------------------------
 
@@ -930,38 +930,28 @@ def q_sink_splits(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("row_id", "rnk", "split", "Snippet", "Target", "CWE")
 
 
-def _train(spark, sf):
-    ds = X.prepare_dataset(fx.snippets(spark, sf))
-    feats = ds.select(
-        "row_id", "split", F.col("Target").alias("label"),
-        FT.tokenize_code(T.clean_multi_line("Snippet")).alias("tokens"),
-    )
-    feats = cut_lineage(feats)
-    model = C.train_classifier(X.select_split(feats, "train"))
-    return model, feats
-
-
-@register("train_classifier")
+@register("train_classifier", _sql(_NB_CTES, "SELECT row_id, label, round(p1, 6) AS p1, pred FROM nb_kept"))
 def q_train_classifier(spark, sf):
-    model, feats = _train(spark, sf)
-    val = C.apply_classifier(model, X.select_split(feats, "val"))
+    rows = P.labelled_tokens(fx.snippets(spark, sf))
+    model, _ = P.train_best(rows)
+    val = C.apply_model(model, X.select_split(rows, "val"), ["row_id", "label"])
     return val.select("row_id", "label", F.round("p1", 6).alias("p1"), C.threshold_flag(F.col("p1")).alias("pred"))
 
 
-@register("train_and_eval")
+@register("train_and_eval", _sql(_NB_CTES, O.report_select("nb_kept", "eval", False)))
 def q_train_and_eval(spark, sf):
     return P.train_and_eval(fx.snippets(spark, sf))[1]
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", _sql(_NB_CTES, "SELECT row_id, round(p1, 6) AS p1_fitted, round(p1, 6) AS p1_loaded FROM nb_kept"))
 def q_model_roundtrip(spark, sf):
-    model, feats = _train(spark, sf)
+    rows = P.labelled_tokens(fx.snippets(spark, sf))
+    model, _ = P.train_best(rows)
     path = scratch_path(spark, "model")
     C.save_model(model, path)
-    loaded = C.load_model(path)
-    val = X.select_split(feats, "val")
-    a = C.apply_classifier(model, val).select("row_id", F.col("p1").alias("p1_fitted"))
-    b = C.apply_classifier(loaded, val).select("row_id", F.col("p1").alias("p1_loaded"))
+    val = X.select_split(rows, "val")
+    a = C.apply_model(model, val, ["row_id"]).select("row_id", F.round("p1", 6).alias("p1_fitted"))
+    b = C.apply_model(C.load_model(spark, path), val, ["row_id"]).select("row_id", F.round("p1", 6).alias("p1_loaded"))
     return a.join(b, "row_id")
 
 
