@@ -40,6 +40,22 @@ CASES = [
     ("class D { [Obsolete] internal static async Task<int> Run() { return 1; } }", ["Run"]),
     ("class C { void M() { if (x) { y(); }", []),
     ("class C { void M() { } } } }", ["M"]),
+    ("class C { IEnumerator<T> IEnumerable<T>.GetEnumerator() { return null; } }", ["GetEnumerator"]),
+    ("class C { Task<(int a, int b)> Run() { return null; } void N() { } }", ["Run", "N"]),
+    ("class C { int F(int x) => x switch { 0 => 1, _ => 2 }; int G() { return 1; } }", ["F", "G"]),
+    ("class C { Foo F() => new Foo { A = 1 }; void G() { } }", ["F", "G"]),
+    ('class C { [HttpGet("[action]/{id}")] public int Get(int id) { return id; } }', ["Get"]),
+    ("class C { [InlineData(new[] { 1, 2 })] public void T(int[] a) { } }", ["T"]),
+    ("class C { Dictionary<K, V>.Enumerator GetE() { return e; } }", ["GetE"]),
+    ("class C { unsafe byte* P(byte* a) { return a; } }", ["P"]),
+    ('class C { void M(string s = ")") { } void N() { } }', ["M", "N"]),
+    ("class C { global::System.Int32 M() { return 1; } }", ["M"]),
+    ('class C { void M() { var t = $"{(x ? "{" : "b")}"; } void N() { } }', ["M", "N"]),
+    ("class C { public C() { int Local(int y) { return y; } } void M() { } }", ["M"]),
+    ("int Top(int x) { return x; } class C { void M() { } }", ["M"]),
+    ("interface I { void A(); int B(int x); } struct S { int C() => 1; } record R(int X) { int D() { return X; } }", ["A", "B", "C", "D"]),
+    ("enum E { A = F(1), B } namespace N { class C { (int, int)? Pair((int, int) p) { return p; } } }", ["Pair"]),
+    ("class C { Dictionary<string, List<(int, Foo<Bar>)>> Deep() { return null; } }", ["Deep"]),
 ]
 
 
@@ -52,6 +68,19 @@ def test_method_cases(spark):
     assert got == {i: e for i, (_, e) in enumerate(CASES)}
 
 
+def test_literal_safe_keeps_comment_marks_in_literals(spark):
+    code = 'class C { void M() {\n var u = "http://x"; } void N() {\n } // } \n }'
+    files = spark.createDataFrame([(1, code)], "doc_id bigint, code string")
+    assert [r.name for r in M.extract_methods(files, literal_safe=True).orderBy("method_idx").collect()] == ["M", "N"]
+
+
+def test_long_literals_in_files_do_not_recurse(spark):
+    escapes, doubled = "\\\\u0041" * 1_000_000, '""k"": 1, ' * 100_000
+    code = f'class C {{ void M() {{ var a = "{escapes}"; var b = @"{doubled}"; Call({"F(1), " * 20000}0); }} int N() {{ return 1; }} }}'
+    files = spark.createDataFrame([(1, code)], "doc_id bigint, code string")
+    assert [r.name for r in M.extract_methods(files).orderBy("method_idx").collect()] == ["M", "N"]
+
+
 def test_method_text_gets_line_delimiters(spark):
     files = spark.createDataFrame([(1, "class C { int F() { a(); return 1; } }")], "doc_id bigint, code string")
     m = M.extract_methods(files).first()

@@ -60,6 +60,10 @@ FIXED_BIAS = -1.0
 _STR = r'"(?:[^"\\]|\\[^\n])*P"'  # "..." with backslash escapes
 _VSTR = r'@"(?:[^"]|"")*P"'  # @"..." with "" escapes
 _CHR = r"'(?:[^'\\]|\\[^\n])*P'"  # '.'
+# $"..." and $@"...": doubled braces, and holes {...} that may hold plain string literals
+_HOLE = r'\{(?:[^{}"]|"(?:[^"\\]|\\[^\n])*P")*P\}'
+_ISTR = r'\$"(?:[^"\\{]|\\[^\n]|\{\{|' + _HOLE + r')*P"'
+_IVSTR = r'(?:\$@|@\$)"(?:[^"{]|""|\{\{|' + _HOLE + r')*P"'
 
 
 def java(pattern: str) -> str:
@@ -74,23 +78,35 @@ def re2(pattern: str) -> str:
 # the input back: literals, single structural characters, maximal plain runs,
 # and any other single character.
 _PARSE_TOKEN = "|".join(
-    [_VSTR, _STR, _CHR, r"[{};()]", r"""[^{};()"'@]+""", r"(?s:.)"]
+    [_IVSTR, _ISTR, _VSTR, _STR, _CHR, r"[{};()]", r"""[^{};()"'@$]+""", r"(?s:.)"]
 )
+LITERAL_TOKEN_RE = r"""^[@$]*["'].+"""  # a token of more than the quote is a literal
+
+# A comment, or a literal that may hold what looks like one (group 1, kept).
+_LITERAL_OR_COMMENT = "(" + "|".join([_IVSTR, _ISTR, _VSTR, _STR, _CHR]) + ")|" + COMMENT_RE
 PARSE_TOKEN_RE, PARSE_TOKEN_RE2 = java(_PARSE_TOKEN), re2(_PARSE_TOKEN)
+LITERAL_OR_COMMENT_RE = java(_LITERAL_OR_COMMENT)
 
 _ID = r"[\p{L}_][\p{L}\p{N}_]*"
 _QID = _ID + r"(?:\." + _ID + r")*"
-_TYPE = r"(?:\([^()]*\)|" + _QID + r"(?: *<[^()]*>)?(?:\?|\[[ ,]*\])*)"
+_TYPE = r"(?:\([^()]*\)|" + _QID + ")"
 _PARAMS = r"\((?:[^()]|\([^()]*\))*P\)"
 
-# A method signature after attributes and modifiers are removed:
-# <return type> <name>[<type params>](<params>) [where ...]
-_METHOD_SIG = (
-    "^" + _TYPE + " +(" + _QID + r")(?: *<[^()]*>)? *" + _PARAMS + "(?: +where .*)?$"
-)
+# What a header is reduced to before it is read as a signature: (pattern, replacement)
+# in this order. Literals are masked before. Bracket groups (attributes, array ranks)
+# and type arguments go from the inside out, NESTING levels deep.
+NESTING = 4
+BRACKETS_RE = r"\[[^\[\]]*\]"
+TUPLE_ARGUMENT_RE = r"([<,] *)\([^()<>]*\)"
+TYPE_ARGUMENTS_RE = r"<[^<>()]*>"
+POINTER_RE = r"[*?]"
+
+# A method signature of a reduced header without modifiers:
+# <return type> [<interface>.]<name>(<params>) [where ...]
+_METHOD_SIG = "^" + _TYPE + " +(?:" + _ID + r"\.)*(" + _ID + ") *" + _PARAMS + "(?: +where .*)?$"
 METHOD_SIG_RE, METHOD_SIG_RE2 = java(_METHOD_SIG), re2(_METHOD_SIG)
-_ATTRIBUTES = r"^(?:\[[^\]]*\] *)+P"
-ATTRIBUTES_RE, ATTRIBUTES_RE2 = java(_ATTRIBUTES), re2(_ATTRIBUTES)
+# A reduced header that opens a type body.
+TYPE_HEADER_RE = r"^(?:class|struct|interface|record)(?:[^\p{L}\p{N}_]|$)"
 MODIFIERS = (
     "public private protected internal static virtual override abstract sealed "
     "async extern unsafe new readonly partial volatile const implicit explicit ref"

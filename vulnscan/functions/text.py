@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .constants import (
     COMMENT_RE,
+    LITERAL_OR_COMMENT_RE,
     NEWLINE_MARKER,
     SPACE_MARKER,
     TAB_MARKER,
@@ -22,13 +23,15 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def strip_comments(c: Column | str) -> Column:
+def strip_comments(c: Column | str, literal_safe: bool = False) -> Column:
     """Remove ``/*...*/`` (to the first ``*/``) and ``//`` to end of line.
 
     Leftmost match wins and string literals are not recognised, so
-    ``"http://x"`` is cut, as in the behaviour reproduced. An unterminated
-    ``/*`` stays.
+    ``"http://x"`` is cut, as in the behaviour reproduced; ``literal_safe``
+    keeps literals (Q1). An unterminated ``/*`` stays.
     """
+    if literal_safe:
+        return F.regexp_replace(_c(c), LITERAL_OR_COMMENT_RE, "$1")
     return F.regexp_replace(_c(c), COMMENT_RE, "")
 
 
@@ -54,13 +57,13 @@ def nonblank_lines(c: Column | str, drop_directives: bool = False) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def clean_lines(c: Column | str, drop_directives: bool = False) -> Column:
-    return nonblank_lines(drop_cr_tab(strip_comments(c)), drop_directives)
+def clean_lines(c: Column | str, drop_directives: bool = False, literal_safe: bool = False) -> Column:
+    return nonblank_lines(drop_cr_tab(strip_comments(c, literal_safe)), drop_directives)
 
 
-def clean_single_line(c: Column | str, drop_directives: bool = False) -> Column:
+def clean_single_line(c: Column | str, drop_directives: bool = False, literal_safe: bool = False) -> Column:
     """T4: T1..T3, lines joined with one space."""
-    return F.array_join(clean_lines(c, drop_directives), " ")
+    return F.array_join(clean_lines(c, drop_directives, literal_safe), " ")
 
 
 def clean_multi_line(c: Column | str) -> Column:

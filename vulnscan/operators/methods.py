@@ -5,8 +5,11 @@ plain runs). Running sums over the tokens of a file give the parenthesis
 depth and the segment number (a segment ends at a ``{``, ``}`` or ``;``
 outside parentheses). Running sums over segments give the brace level, and
 ``lead`` inside (file, level) gives each ``{`` its partner ``}``. A segment
-whose text before the delimiter reads as a method signature is a candidate;
+whose text before the delimiter reads as a method signature, and which stands
+in the body of a type, is a candidate (so local functions are none);
 candidates inside an earlier candidate are dropped (outermost match, M2).
+Headers are read with literals masked. An expression body runs to the ``;`` of
+its own brace level.
 Segments are then assigned to the method that contains them and glued back.
 
 Every window is partitioned by the file key. ``extract_methods`` hash-
@@ -22,13 +25,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
-    ATTRIBUTES_RE,
+    BRACKETS_RE,
     FIRST_WORD_RE,
+    LITERAL_TOKEN_RE,
     METHOD_SIG_RE,
     MODIFIERS_RE,
+    NESTING,
     NOT_METHOD_WORDS,
     OPERATOR_RE,
     PARSE_TOKEN_RE,
+    POINTER_RE,
+    TUPLE_ARGUMENT_RE,
+    TYPE_ARGUMENTS_RE,
+    TYPE_HEADER_RE,
     WS,
 )
 from ..functions.text import add_line_delimiters, clean_single_line
@@ -48,14 +57,21 @@ def _ordered_concat(order_col: str, text_col: str) -> Column:
     )
 
 
-def is_method_signature(header: Column) -> Column:
-    """True iff ``header`` (text before ``{``/``;``/``=>``) declares a method.
+def reduced(header: Column) -> Column:
+    """A masked header without attributes, array ranks, type arguments, pointer and
+    nullable marks, and modifiers."""
+    for _ in range(NESTING):
+        header = F.regexp_replace(header, BRACKETS_RE, "")
+    for _ in range(NESTING):
+        header = F.regexp_replace(F.regexp_replace(header, TUPLE_ARGUMENT_RE, "$1T"), TYPE_ARGUMENTS_RE, "")
+    header = F.replace(F.regexp_replace(header, POINTER_RE, ""), F.lit("::"), F.lit("."))
+    return F.regexp_replace(F.btrim(header, F.lit(WS)), MODIFIERS_RE, "")
 
-    Attributes and modifiers are removed first; then the rest must read
-    ``<type> <name>(<params>)`` with both a type and a name (so constructors,
-    accessors, operators and statements are not methods).
-    """
-    sig = F.regexp_replace(F.regexp_replace(header, ATTRIBUTES_RE, ""), MODIFIERS_RE, "")
+
+def is_method_signature(sig: Column) -> Column:
+    """True iff a reduced header declares a method: ``<type> <name>(<params>)`` with
+    both a type and a name (so constructors, accessors, operators and statements are
+    not methods)."""
     first = F.regexp_extract(sig, FIRST_WORD_RE, 1)
     return (
         sig.rlike(METHOD_SIG_RE)
@@ -64,14 +80,13 @@ def is_method_signature(header: Column) -> Column:
     )
 
 
-def method_name(header: Column) -> Column:
-    sig = F.regexp_replace(F.regexp_replace(header, ATTRIBUTES_RE, ""), MODIFIERS_RE, "")
+def method_name(sig: Column) -> Column:
     return F.regexp_extract(sig, METHOD_SIG_RE, 1)
 
 
-def parse_tokens(files: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
+def parse_tokens(files: DataFrame, key: str = "doc_id", code: str = "code", literal_safe: bool = False) -> DataFrame:
     """(key, i, tok, off, pdepth, is_delim, seg) for every structural token."""
-    clean = clean_single_line(F.col(code), drop_directives=True)
+    clean = clean_single_line(F.col(code), drop_directives=True, literal_safe=literal_safe)
     # The outer form: a plain explode makes Catalyst infer a ``size(...) > 0``
     # filter that repeats the whole cleaning and tokenizing expression.
     t = files.select(
@@ -93,12 +108,18 @@ def parse_tokens(files: DataFrame, key: str = "doc_id", code: str = "code") -> D
 
 
 def segments(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per segment: text (delimiter included), delimiter, offset."""
-    return tokens.groupBy(key, "seg").agg(
-        _ordered_concat("i", "tok").alias("text"),
+    """One row per segment: text (delimiter included), the same with literals as ``0``,
+    delimiter, offset."""
+    masked = F.when(F.col("tok").rlike(LITERAL_TOKEN_RE), "0").otherwise(F.col("tok"))
+    g = tokens.groupBy(key, "seg").agg(
+        F.array_sort(F.collect_list(F.struct("i", "tok", masked.alias("mtok")))).alias("_t"),
         F.min("off").alias("off"),
         F.max(F.when(F.col("is_delim"), F.col("tok"))).alias("delim"),
     )
+    return g.select(
+        key, "seg", F.array_join(F.transform("_t", lambda x: x["tok"]), "").alias("text"),
+        F.array_join(F.transform("_t", lambda x: x["mtok"]), "").alias("mtext"), "off", "delim",
+    )
 
 
 def brace_levels(segs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -123,26 +144,38 @@ def brace_levels(segs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def method_candidates(levels: DataFrame) -> DataFrame:
-    """Adds ``header``, ``cand`` and ``cand_end`` (last segment of the candidate)."""
-    body = F.expr("substring(text, 1, length(text) - 1)")
-    header = F.btrim(body, F.lit(WS))
-    arrow_head = F.btrim(F.split_part(header, F.lit("=>"), F.lit(1)), F.lit(WS))
-    brace_form = (
-        (F.col("delim") == "{")
-        & F.col("partner").isNotNull()
-        & ~header.contains("=>")
-        & is_method_signature(header)
-    )
-    semi_form = (F.col("delim") == ";") & (F.col("bd_before") >= 1) & is_method_signature(arrow_head)
-    s = levels.withColumn("header", F.when(F.col("delim") == ";", arrow_head).otherwise(header))
-    s = s.withColumn("cand", F.coalesce(brace_form | semi_form, F.lit(False)))
-    return s.withColumn(
-        "cand_end",
-        F.when(F.col("cand") & (F.col("delim") == "{"), F.col("partner")).when(
-            F.col("cand"), F.col("seg")
-        ),
-    )
+def in_type_bodies(levels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds ``sig`` (reduced header), ``arrow_sig`` (of the part before ``=>``),
+    ``in_type`` (the innermost open brace is a type's), and ``semi_end`` (the next
+    ``;`` of the same brace level). A ``{`` stands twice in its window: as a part of
+    the level it is in, and as the opener of the level below."""
+    header = F.btrim(F.expr("substring(mtext, 1, length(mtext) - 1)"), F.lit(WS))
+    s = levels.withColumn("_header", header)
+    s = s.withColumn("sig", reduced(F.col("_header"))).withColumn("has_arrow", F.col("_header").contains("=>"))
+    s = s.withColumn("arrow_sig", reduced(F.split_part("_header", F.lit("=>"), F.lit(1)))).drop("_header")
+    is_type = F.col("sig").rlike(TYPE_HEADER_RE)
+    part = F.struct(F.col("bd_before").alias("d"), F.lit(None).cast("boolean").alias("type"))
+    opener = F.struct(F.col("level").alias("d"), is_type.alias("type"))
+    roles = F.when(F.col("delim") == "{", F.array(part, opener)).otherwise(F.array(part))
+    s = s.select("*", F.explode(roles).alias("_r")).select("*", "_r.d", "_r.type").drop("_r")
+    w = Window.partitionBy(key, "d").orderBy("seg")
+    semi = F.when((F.col("delim") == ";") & F.col("type").isNull(), F.col("seg"))
+    s = s.withColumn("in_type", F.coalesce(F.last("type", ignorenulls=True).over(w.rowsBetween(*_UNBOUNDED_TO_CUR)), F.lit(False)))
+    s = s.withColumn("semi_end", F.min(semi).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    return s.filter(F.col("type").isNull()).drop("d", "type")
+
+
+def method_candidates(levels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds ``header`` (reduced), ``cand`` and ``cand_end`` (last segment of the candidate)."""
+    s = in_type_bodies(levels, key)
+    block = (F.col("delim") == "{") & ~F.col("has_arrow") & F.col("partner").isNotNull() & is_method_signature(F.col("sig"))
+    arrow = is_method_signature(F.col("arrow_sig"))
+    open_arrow = (F.col("delim") == "{") & F.col("has_arrow") & F.col("semi_end").isNotNull() & arrow
+    semi = (F.col("delim") == ";") & arrow
+    s = s.withColumn("header", F.when((F.col("delim") == ";") | F.col("has_arrow"), F.col("arrow_sig")).otherwise(F.col("sig")))
+    s = s.withColumn("cand", F.coalesce(F.col("in_type") & (block | open_arrow | semi), F.lit(False)))
+    end = F.when(semi, F.col("seg")).when(open_arrow, F.col("semi_end")).otherwise(F.col("partner"))
+    return s.withColumn("cand_end", F.when(F.col("cand"), end)).drop("sig", "arrow_sig", "has_arrow", "in_type", "semi_end", "mtext")
 
 
 def outermost(cands: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -193,16 +226,17 @@ def co_partition(files: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def extract_methods(
-    files: DataFrame, key: str = "doc_id", code: str = "code", partition: bool = True
+    files: DataFrame, key: str = "doc_id", code: str = "code", partition: bool = True, literal_safe: bool = False,
 ) -> DataFrame:
-    """M1: every outermost method of every file, in document order.
+    """M1: every outermost method of every file, in document order. With
+    ``literal_safe`` (Q1) comment marks inside literals are left alone.
 
     Output: (key, method_idx, name, start_pos, end_pos, method) where
     ``method`` has line delimiters inserted (T6).
     """
     src = co_partition(files.select(key, code), key) if partition else files.select(key, code)
-    segs = brace_levels(segments(parse_tokens(src, key, code), key), key)
-    m = assemble_methods(outermost(method_candidates(segs), key), key)
+    segs = brace_levels(segments(parse_tokens(src, key, code, literal_safe), key), key)
+    m = assemble_methods(outermost(method_candidates(segs, key), key), key)
     return m.select(
         key, "method_idx", "name", "start_pos", "end_pos",
         add_line_delimiters(F.col("method_raw")).alias("method"),
@@ -226,7 +260,7 @@ def outermost_methods(files: DataFrame, key: str = "doc_id", code: str = "code")
     """M2 view: every candidate with its span and whether it was kept."""
     src = co_partition(files.select(key, code), key)
     segs = brace_levels(segments(parse_tokens(src, key, code), key), key)
-    t = outermost(method_candidates(segs), key).filter("cand")
+    t = outermost(method_candidates(segs, key), key).filter("cand")
     return t.select(
         key,
         F.col("seg").alias("start_seg"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import FIXED_BIAS, FIXED_WEIGHTS, NEWLINE_MARKER, PROSE_KEEP_RE
 from ..session import read_table
+from .oracle import EXTRA_MEMBERS
 
 CRLF = "\r\n"
 
@@ -29,9 +30,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "labels")
 
 
+def _extra_member() -> Column:
+    out = F.lit(None).cast("string")
+    for i, (text, _) in enumerate(EXTRA_MEMBERS):
+        out = F.when(F.col("doc_id") % len(EXTRA_MEMBERS) == i, text).otherwise(out)
+    return out
+
+
 def code_files_from(docs: DataFrame) -> DataFrame:
     """One C# file per document: CRLF, TAB, both comment kinds, a ``//``
-    inside ``/* */``, a URL comment; methods ``Bad`` and ``Good``."""
+    inside ``/* */``, a URL comment; methods ``Bad`` and ``Good``, and one more member
+    of varying form (``EXTRA_MEMBERS``)."""
     did = F.col("doc_id").cast("string")
     body = F.replace(
         F.regexp_replace("text", PROSE_KEEP_RE, ""), F.lit("\n"), F.lit(";" + CRLF + "\t")
@@ -46,6 +55,7 @@ def code_files_from(docs: DataFrame) -> DataFrame:
         body,
         F.lit("; }" + CRLF + "\t}" + CRLF),
         F.lit("private int Good() { return "), F.col("n_chars").cast("string"), F.lit("; }" + CRLF),
+        _extra_member(), F.lit(CRLF),
         F.lit("}" + CRLF + "}" + CRLF),
     )
     return docs.select("doc_id", code.alias("code"))

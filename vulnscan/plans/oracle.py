@@ -9,8 +9,8 @@ syntax is ``lambda x: ...``; ``('0x' || hex)::BIGINT`` parses hex.
 from __future__ import annotations
 
 from ..functions.constants import (
-    ATTRIBUTES_RE2,
     BLOCK_SIZE,
+    BRACKETS_RE,
     CLS_TOKEN,
     CODE_TOKEN_RE2,
     COMMENT_RE,
@@ -18,14 +18,17 @@ from ..functions.constants import (
     FIXED_BIAS,
     FIXED_WEIGHTS,
     HOLD_FRACTION_VAL,
+    LITERAL_TOKEN_RE,
     LINE_SEPARATORS,
     METHOD_SIG_RE2,
     MODIFIERS_RE,
+    NESTING,
     NEWLINE_MARKER,
     NOT_METHOD_WORDS,
     OPERATOR_RE,
     PAD_ID,
     PARSE_TOKEN_RE2,
+    POINTER_RE,
     PROSE_KEEP_RE,
     QUALITY_F1,
     SEED,
@@ -35,6 +38,9 @@ from ..functions.constants import (
     THRESHOLD,
     TOP_LINES,
     TRAIN_FRACTION_HOLD,
+    TUPLE_ARGUMENT_RE,
+    TYPE_ARGUMENTS_RE,
+    TYPE_HEADER_RE,
     UNK_ID,
     WS,
 )
@@ -120,6 +126,15 @@ def hex_int(x: str, n: int) -> str:
 # ---------------------------------------------------------------------------
 
 _BODY = f"replace(regexp_replace(text, {q(PROSE_KEEP_RE)}, '', 'g'), chr(10), ';' || {CRLF} || chr(9))"
+# one more member in four files of five: (text, method names)
+EXTRA_MEMBERS = (
+    ("", ()),
+    ("int Sq(int x) => x switch { 0 => 1, _ => x };", ("Sq",)),
+    ('[Route("[a]/{id}")] Task<(int a, int b)> Pair(string s = ")") { int Loc(int y) { return y; } return Loc(1); }', ("Pair",)),
+    ('byte* Ptr(byte* a) { var t = $"{(a == null ? "{" : "b")}"; return a; }', ("Ptr",)),
+    ("IEnumerator<int> IEnumerable<int>.GetEnumerator() => new Foo { A = 1 };", ("GetEnumerator",)),
+)
+_EXTRA = "CASE " + " ".join(f"WHEN doc_id % {len(EXTRA_MEMBERS)} = {i} THEN {q(t)}" for i, (t, _) in enumerate(EXTRA_MEMBERS)) + " END"
 CODE_FILES = f"""code_files AS (
   SELECT doc_id, concat(
     '/* ', source, {CRLF}, ' * // ', lang, ' */', {CRLF},
@@ -131,6 +146,7 @@ CODE_FILES = f"""code_files AS (
     {_BODY},
     '; }}', {CRLF}, chr(9), '}}', {CRLF},
     'private int Good() {{ return ', CAST(n_chars AS VARCHAR), '; }}', {CRLF},
+    {_EXTRA}, {CRLF},
     '}}', {CRLF}, '}}', {CRLF}) AS code
   FROM documents)"""
 
@@ -182,21 +198,25 @@ def with_ctes(*ctes: str, body: str) -> str:
 # ---------------------------------------------------------------------------
 
 
-def _sig(h: str) -> str:
-    return f"regexp_replace(regexp_replace({h}, {q(ATTRIBUTES_RE2)}, ''), {q(MODIFIERS_RE)}, '')"
+def reduced(h: str) -> str:
+    for _ in range(NESTING):
+        h = f"regexp_replace({h}, {q(BRACKETS_RE)}, '', 'g')"
+    for _ in range(NESTING):
+        h = f"regexp_replace(regexp_replace({h}, {q(TUPLE_ARGUMENT_RE)}, '\\1T', 'g'), {q(TYPE_ARGUMENTS_RE)}, '', 'g')"
+    h = f"replace(regexp_replace({h}, {q(POINTER_RE)}, '', 'g'), '::', '.')"
+    return f"regexp_replace(trim({h}, {WS_SQL}), {q(MODIFIERS_RE)}, '')"
 
 
-def is_method_signature(h: str) -> str:
-    s = _sig(h)
+def is_method_signature(sig: str) -> str:
     words = ", ".join(q(w) for w in NOT_METHOD_WORDS)
     return (
-        f"(regexp_matches({s}, {q(METHOD_SIG_RE2)}) AND regexp_extract({s}, {q(FIRST_WORD_RE)}, 1) NOT IN ({words})"
-        f" AND NOT regexp_matches({s}, {q(OPERATOR_RE)}))"
+        f"(regexp_matches({sig}, {q(METHOD_SIG_RE2)}) AND regexp_extract({sig}, {q(FIRST_WORD_RE)}, 1) NOT IN ({words})"
+        f" AND NOT regexp_matches({sig}, {q(OPERATOR_RE)}))"
     )
 
 
-def method_name(h: str) -> str:
-    return f"regexp_extract({_sig(h)}, {q(METHOD_SIG_RE2)}, 1)"
+def method_name(sig: str) -> str:
+    return f"regexp_extract({sig}, {q(METHOD_SIG_RE2)}, 1)"
 
 
 PREV = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -205,8 +225,8 @@ CUR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 def method_ctes(src: str = "code_files", key: str = "doc_id", code: str = "code") -> list[str]:
     """CTEs mt_tok .. mt_methods mirroring vulnscan.operators.methods."""
-    header = f"trim(substring(text, 1, length(text) - 1), {WS_SQL})"
-    arrow = f"trim(split_part({header}, '=>', 1), {WS_SQL})"
+    header = f"trim(substring(mtext, 1, length(mtext) - 1), {WS_SQL})"
+    masked = f"CASE WHEN regexp_matches(tok, {q(LITERAL_TOKEN_RE)}) THEN '0' ELSE tok END"
     return [
         f"""mt_src AS (SELECT {key} AS k, regexp_extract_all({clean_single_line(code, True)}, {q(PARSE_TOKEN_RE2)}, 0) AS toks FROM {src})""",
         """mt_tok AS (SELECT k, unnest(toks) AS tok, unnest(range(0, len(toks))) AS i FROM mt_src)""",
@@ -216,7 +236,7 @@ def method_ctes(src: str = "code_files", key: str = "doc_id", code: str = "code"
  FROM mt_tok)""",
         """mt_tok3 AS (SELECT *, (tok IN ('{', '}', ';') AND pdepth <= 0) AS is_delim FROM mt_tok2)""",
         f"""mt_tok4 AS (SELECT *, coalesce(sum(CASE WHEN is_delim THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i {PREV}), 0) AS seg FROM mt_tok3)""",
-        """mt_seg AS (SELECT k, seg, string_agg(tok, '' ORDER BY i) AS text, min(off) AS off,
+        f"""mt_seg AS (SELECT k, seg, string_agg(tok, '' ORDER BY i) AS text, string_agg({masked}, '' ORDER BY i) AS mtext, min(off) AS off,
    max(CASE WHEN is_delim THEN tok END) AS delim FROM mt_tok4 GROUP BY k, seg)""",
         f"""mt_lv AS (SELECT *, coalesce(sum(CASE WHEN delim = '{{' THEN 1 WHEN delim = '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seg {PREV}), 0) AS bd_before FROM mt_seg)""",
         """mt_lv2 AS (SELECT *, CASE WHEN delim = '{' THEN bd_before + 1 WHEN delim = '}' THEN bd_before END AS level FROM mt_lv)""",
@@ -224,12 +244,21 @@ def method_ctes(src: str = "code_files", key: str = "doc_id", code: str = "code"
    CASE WHEN delim = '{' AND lead(delim) OVER (PARTITION BY k, level ORDER BY seg) = '}' THEN lead(seg) OVER (PARTITION BY k, level ORDER BY seg) END AS partner,
    CASE WHEN delim = '{' AND lead(delim) OVER (PARTITION BY k, level ORDER BY seg) = '}' THEN lead(off + length(text)) OVER (PARTITION BY k, level ORDER BY seg) END AS partner_stop
  FROM mt_lv2)""",
-        f"""mt_cand0 AS (SELECT *,
-   CASE WHEN delim = ';' THEN {arrow} ELSE {header} END AS header,
-   coalesce((delim = '{{' AND partner IS NOT NULL AND NOT contains({header}, '=>') AND {is_method_signature(header)})
-            OR (delim = ';' AND bd_before >= 1 AND {is_method_signature(arrow)}), false) AS cand
- FROM mt_pair)""",
-        """mt_cand AS (SELECT *, CASE WHEN cand AND delim = '{' THEN partner WHEN cand THEN seg END AS cand_end FROM mt_cand0)""",
+        f"""mt_head AS (SELECT *, {header} AS h0 FROM mt_pair)""",
+        f"""mt_sig AS (SELECT * EXCLUDE (h0), contains(h0, '=>') AS has_arrow, {reduced('h0')} AS sig, {reduced("split_part(h0, '=>', 1)")} AS arrow_sig FROM mt_head)""",
+        f"""mt_role AS (SELECT k, seg, bd_before AS d, NULL::BOOLEAN AS ty, delim FROM mt_sig
+ UNION ALL SELECT k, seg, level, regexp_matches(sig, {q(TYPE_HEADER_RE)}), delim FROM mt_sig WHERE delim = '{{')""",
+        f"""mt_ctx0 AS (SELECT *, coalesce(last_value(ty IGNORE NULLS) OVER (PARTITION BY k, d ORDER BY seg {CUR}), false) AS in_type,
+   min(CASE WHEN delim = ';' AND ty IS NULL THEN seg END) OVER (PARTITION BY k, d ORDER BY seg ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS semi_end
+ FROM mt_role)""",
+        """mt_ctx AS (SELECT s.*, c.in_type, c.semi_end FROM mt_sig s JOIN mt_ctx0 c ON s.k = c.k AND s.seg = c.seg AND c.ty IS NULL)""",
+        f"""mt_form AS (SELECT *,
+   coalesce(delim = '{{' AND NOT has_arrow AND partner IS NOT NULL AND {is_method_signature('sig')}, false) AS f_block,
+   coalesce(delim = '{{' AND has_arrow AND semi_end IS NOT NULL AND {is_method_signature('arrow_sig')}, false) AS f_open,
+   coalesce(delim = ';' AND {is_method_signature('arrow_sig')}, false) AS f_semi,
+   CASE WHEN delim = ';' OR has_arrow THEN arrow_sig ELSE sig END AS header FROM mt_ctx)""",
+        """mt_cand AS (SELECT *, in_type AND (f_block OR f_open OR f_semi) AS cand,
+   CASE WHEN NOT in_type THEN NULL WHEN f_semi THEN seg WHEN f_open THEN semi_end WHEN f_block THEN partner END AS cand_end FROM mt_form)""",
         f"""mt_kept AS (SELECT *, cand AND (max(cand_end) OVER (PARTITION BY k ORDER BY seg {PREV}) IS NULL
                          OR seg > max(cand_end) OVER (PARTITION BY k ORDER BY seg {PREV})) AS kept FROM mt_cand)""",
         f"""mt_tag AS (SELECT *,
