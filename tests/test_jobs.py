@@ -113,6 +113,13 @@ def test_every_plan_stays_in_jvm_without_pair_joins(spark):
             assert not any(p in plan for p in python_nodes), name
 
 
+def test_text_functions_are_map_only(spark):
+    names = ["strip_comments", "drop_cr_tab", "nonblank_lines", "clean_single_line", "clean_multi_line", "add_line_delimiters",
+             "tokenize_code", "truncate_tokens", "with_markers", "score_batch_udf"]
+    for name in names:
+        assert "Exchange" not in _plan(E.queries()[name](spark, SF_SMALL)), name
+
+
 def test_row_level_queries_have_no_single_partition_exchange(spark):
     for name in ("extract_methods", "file_verdict", "line_scores", "top_lines", "line_scores_split", "top_lines_split"):
         plan = _plan(E.queries()[name](spark, SF_SMALL))

@@ -61,18 +61,19 @@ def code_files_from(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", code.alias("code"))
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash-partitioned by ``doc_id`` right after the scan: the text work
-    (regex cleaning, tokenizing, brace matching) is CPU-bound, a scan split
-    of few large row groups would leave cores idle, and every per-file
-    window or ``groupBy(doc_id)`` downstream reuses this partitioning."""
-    return code_files_from(documents(spark, sf_dir).repartition("doc_id"))
+def code_files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """The derived files, as they come from the scan. ``spread`` deals the documents
+    over all cores first: only for CPU-heavy steps that shuffle anyway, where the
+    input is one Parquet row group (as the small test tables are), which a scan
+    cannot split. Corpora have many row groups and do not need it."""
+    docs = documents(spark, sf_dir)
+    return code_files_from(docs.repartition("doc_id") if spread else docs)
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled snippet table with planted exact duplicates and NULL CWEs."""
     base = (
-        code_files(spark, sf_dir)
+        code_files(spark, sf_dir, spread=True)
         .join(labels(spark, sf_dir).select("doc_id", "toxic"), "doc_id")
         .select(
             "doc_id",

@@ -280,8 +280,8 @@ _SEQ = O.with_markers(_TRUNC)  # the 512 block of F7, F9 and P2
 _WHOLE = O.with_markers("toks")
 
 
-def _code_tokens(spark, sf) -> DataFrame:
-    return fx.code_files(spark, sf).select("doc_id", FT.tokenize_code(T.clean_multi_line("code")).alias("toks"))
+def _code_tokens(spark, sf, spread: bool = False) -> DataFrame:
+    return fx.code_files(spark, sf, spread).select("doc_id", FT.tokenize_code(T.clean_multi_line("code")).alias("toks"))
 
 
 @register(
@@ -325,7 +325,7 @@ _VOCAB_CF = CF + [_TOK_CTE] + vocab_ctes("ft_tok")
 
 @register("build_vocab", _sql(_VOCAB_CF, "SELECT token, CAST(id AS INTEGER) AS id, CAST(cnt AS BIGINT) AS cnt FROM vocab"))
 def q_build_vocab(spark, sf):
-    return FT.build_vocab(_code_tokens(spark, sf), "toks")
+    return FT.build_vocab(_code_tokens(spark, sf, spread=True), "toks")
 
 
 def _enc_ctes(seq: str) -> list[str]:
@@ -343,7 +343,7 @@ def _encoded(spark, sf, block: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ids of the whole sequences, or of their first block, and the vocabulary."""
     # The tokens feed both the vocabulary and the encoding: written once to
     # the checkpoint folder instead of running the tokenizer twice.
-    t = cut_lineage(_code_tokens(spark, sf))
+    t = cut_lineage(_code_tokens(spark, sf, spread=True))
     vocab = FT.build_vocab(t, "toks")
     toks = FT.truncate_tokens("toks") if block else F.col("toks")
     seq = t.select("doc_id", FT.with_markers(toks).alias("seq"))
@@ -471,7 +471,7 @@ _SC_CTES = CF + [O.WEIGHTS] + O.score_texts_ctes("code_files", ["doc_id"], "code
 
 
 def _scored_files(spark, sf) -> DataFrame:
-    return P.score_texts(fx.code_files(spark, sf), ["doc_id"], "code")
+    return P.score_texts(fx.code_files(spark, sf, spread=True), ["doc_id"], "code")
 
 
 @register(
