@@ -73,11 +73,16 @@ def test_stream_equals_batch(spark):
     cols = ["doc_id", "method_idx", "name", "p1", "vulnerable", "vul_lines"]
     # the text sink appends one "\n" to each file; it falls outside every method
     batch = P.scan_files(files)
-    a = sorted(tuple(r) for r in streamed.select(*cols).collect())
+    a = sorted(tuple(r) for r in _by_doc(streamed).select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert a == b
 
 
+def _by_doc(streamed):
+    """The stream's key is the file's path; here its folder names the document."""
+    return streamed.withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint"))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -126,6 +131,12 @@ def test_row_level_queries_have_no_single_partition_exchange(spark):
         assert "SinglePartition" not in plan, name
 
 
+def test_stream_takes_any_path(spark, tmp_path):
+    (tmp_path / "Foo.cs").write_text("class C { int F() { return 1; } }")
+    out = ST.run_scan_stream(spark, str(tmp_path), scratch_path(spark, "any"), scratch_path(spark, "any-ckpt")).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.name) for r in out] == [("Foo.cs", "F")]
+
+
 def test_stream_in_several_batches_equals_batch(spark):
     files = fx.code_files(spark, SF_SMALL)
     src = scratch_path(spark, "stream-src-multi")
@@ -135,6 +146,6 @@ def test_stream_in_several_batches_equals_batch(spark):
     n_batches = streamed.select("batch_id").distinct().count()
     assert n_batches >= 4
     cols = ["doc_id", "method_idx", "name", "p1", "vulnerable", "vul_lines"]
-    a = sorted(tuple(r) for r in streamed.select(*cols).collect())
+    a = sorted(tuple(r) for r in _by_doc(streamed).select(*cols).collect())
     b = sorted(tuple(r) for r in P.scan_files(files).select(*cols).collect())
     assert a == b

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import LINE_SEPARATORS, TOP_LINES
+from .features import global_rank
 from .scoring import token_weights
 
 
@@ -187,6 +188,15 @@ def rank_lines(lines: DataFrame, keys=("doc_id",), score: str = "score") -> Data
     return lines.withColumn("rnk", F.row_number().over(w).cast("bigint"))
 
 
+def rank_lines_split(lines: DataFrame, keys=("doc_id",), score: str = "score") -> DataFrame:
+    """A5 like ``rank_lines``, without a window over all lines of an item: the rows'
+    ranks in one range-partitioned sort by item and order, less the item's first."""
+    keys = list(keys)
+    ranked = global_rank(lines, [*[F.asc(k) for k in keys], F.desc(score), F.asc("line_idx")], "_rank")
+    first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
+    return ranked.join(first, keys).withColumn("rnk", F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first")
+
+
 def top_lines(ranked: DataFrame, keys=("doc_id",), k: int = TOP_LINES) -> DataFrame:
     """(keys, vul_lines): the first ``k`` line indices in rank order,
     comma-joined (a string column, so results hash alike everywhere)."""

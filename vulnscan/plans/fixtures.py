@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import FIXED_BIAS, FIXED_WEIGHTS, NEWLINE_MARKER, PROSE_KEEP_RE
+from ..functions.constants import NEWLINE_MARKER, PROSE_KEEP_RE
 from ..session import read_table
-from .oracle import EXTRA_MEMBERS
+from .oracle import EXTRA_MEMBERS, HEADS, PROBES
 
 CRLF = "\r\n"
 
@@ -110,18 +110,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: 2 heads x 16 query x 16 key positions of integer weights."""
-    d = documents(spark, sf_dir).select("doc_id")
-    d = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("head"))
-    d = d.select("doc_id", "head", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("q"))
-    d = d.select("doc_id", "head", "q", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    """Integer attention weights of every token position (key) from 2 heads and 2 query
+    probes: the input grows with the tokens, not with their pairs."""
+    t = tokens(spark, sf_dir).select("doc_id", F.col("pos").alias("k"))
+    probes = F.array(*[F.struct(F.lit(h).alias("head"), F.lit(q).alias("q")) for h in range(HEADS) for q in range(PROBES)])
+    t = t.select("doc_id", F.explode(probes).alias("p"), "k").select("doc_id", "p.head", "p.q", "k")
     h = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in ("doc_id", "head", "q", "k")]))
-    return d.select("doc_id", "head", "q", "k", _hex_int(h, 2).alias("w"))
-
-
-def weights(spark: SparkSession) -> DataFrame:
-    """The fixed linear scorer as a (token, w) table."""
-    return spark.createDataFrame(list(FIXED_WEIGHTS), "token string, w double")
-
-
-BIAS = FIXED_BIAS
+    return t.select("doc_id", "head", "q", "k", _hex_int(h, 2).alias("w"))

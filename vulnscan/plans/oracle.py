@@ -175,12 +175,12 @@ tokens AS (
          {hex_int("md5(concat(CAST(doc_id AS VARCHAR), '-', CAST(pos AS VARCHAR)))", 2)} % 4 AS score
   FROM tk_pos WHERE token <> '')"""
 
+HEADS, PROBES = 2, 2
+# stands after TOKENS
 ATTENTION = f"""attention AS (
-  SELECT doc_id, head, q, k,
-         {hex_int("md5(concat_ws('-', CAST(doc_id AS VARCHAR), CAST(head AS VARCHAR), CAST(q AS VARCHAR), CAST(k AS VARCHAR)))", 2)} AS w
-  FROM (SELECT doc_id, unnest(range(0, 2)) AS head FROM documents) h,
-       LATERAL (SELECT unnest(range(0, 16)) AS q) qq,
-       LATERAL (SELECT unnest(range(0, 16)) AS k) kk)"""
+  SELECT doc_id, head, q, pos AS k,
+         {hex_int("md5(concat_ws('-', CAST(doc_id AS VARCHAR), CAST(head AS VARCHAR), CAST(q AS VARCHAR), CAST(pos AS VARCHAR)))", 2)} AS w
+  FROM tokens, (SELECT unnest(range(0, {HEADS})) AS head) h, (SELECT unnest(range(0, {PROBES})) AS q) p)"""
 
 WEIGHTS = "weights AS (SELECT * FROM (VALUES " + ", ".join(
     f"({q(t)}, {w!r}::DOUBLE)" for t, w in FIXED_WEIGHTS

@@ -105,12 +105,19 @@ _NORM = (
 )
 
 
+# the markers of a subword tokenizer, before a third of the tokens and behind another
+_MARKED = f"""marked AS (SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN {O.q(O.MARKERS[0])} || token
+  WHEN 1 THEN token || {O.q(O.MARKERS[1])} ELSE token END AS token FROM tokens)"""
+
+
 @register(
     "normalise_tokens",
-    _sql([O.TOKENS], f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_NORM} AS token FROM tokens"),
+    _sql([O.TOKENS, _MARKED], f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, {_NORM} AS token FROM marked"),
 )
 def q_normalise_tokens(spark, sf):
-    t = fx.tokens(spark, sf)
+    marked = F.when(F.col("pos") % 3 == 0, F.concat(F.lit(O.MARKERS[0]), "token")).otherwise(
+        F.when(F.col("pos") % 3 == 1, F.concat("token", F.lit(O.MARKERS[1]))).otherwise(F.col("token")))
+    t = fx.tokens(spark, sf).withColumn("token", marked)
     return t.select("doc_id", F.col("pos").cast("bigint").alias("pos"), T.normalise_token(F.col("token")).alias("token"))
 
 
@@ -556,7 +563,7 @@ def q_threshold_flag(spark, sf):
 _ATT_SUM = "att_sum AS (SELECT doc_id, k AS pos, CAST(sum(w) AS BIGINT) AS score FROM attention GROUP BY doc_id, k)"
 
 
-@register("token_attention", _sql([O.ATTENTION, _ATT_SUM], "SELECT doc_id, CAST(pos AS BIGINT) AS pos, score FROM att_sum"))
+@register("token_attention", _sql([O.TOKENS, O.ATTENTION, _ATT_SUM], "SELECT doc_id, CAST(pos AS BIGINT) AS pos, score FROM att_sum"))
 def q_token_attention(spark, sf):
     a = A.token_attention(fx.attention(spark, sf))
     return a.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "score")
@@ -595,20 +602,32 @@ def q_line_scores(spark, sf):
     return A.line_scores(t).select("doc_id", "line_idx", F.col("score").cast("bigint").alias("score"))
 
 
+# Far below the longest documents (thousands of tokens), so that they span many chunks.
+CHUNK_ROWS, CHUNK_LINES = 256, 16
+
+
 @register("line_scores_split", _sql(_LA, "SELECT doc_id, line_idx, CAST(score AS BIGINT) AS score FROM la_lines"))
 def q_line_scores_split(spark, sf):
     """A2 + A4 in the split form (no window or join keyed by the document
     alone), for token tables where one document can hold a large share."""
-    t = A.mask_special_split(_tokens_b(spark, sf))
-    return A.line_scores_split(t).select("doc_id", "line_idx", F.col("score").cast("bigint").alias("score"))
+    t = A.mask_special_split(_tokens_b(spark, sf), chunk_rows=CHUNK_ROWS)
+    return A.line_scores_split(t, chunk_rows=CHUNK_ROWS).select("doc_id", "line_idx", F.col("score").cast("bigint").alias("score"))
 
 
 @register("top_lines_split", _sql(_LA, "SELECT doc_id, vul_lines FROM la_top"))
 def q_top_lines_split(spark, sf):
     """A2-A6 in the split forms (no window or join keyed by the document alone
     over all of its tokens or lines)."""
-    t = A.mask_special_split(_tokens_b(spark, sf))
-    return A.top_lines_split(A.line_scores_split(t))
+    t = A.mask_special_split(_tokens_b(spark, sf), chunk_rows=CHUNK_ROWS)
+    return A.top_lines_split(A.line_scores_split(t, chunk_rows=CHUNK_ROWS), chunk_rows=CHUNK_LINES)
+
+
+@register("rank_lines_split", _sql(_LA, "SELECT doc_id, line_idx, CAST(score AS BIGINT) AS score, rnk FROM la_rank"))
+def q_rank_lines_split(spark, sf):
+    """A5 without a window over all lines of a document."""
+    t = A.mask_special_split(_tokens_b(spark, sf), chunk_rows=CHUNK_ROWS)
+    r = A.rank_lines_split(A.line_scores_split(t, chunk_rows=CHUNK_ROWS))
+    return r.select("doc_id", "line_idx", F.col("score").cast("bigint").alias("score"), "rnk")
 
 
 @register("rank_lines", _sql(_LA, "SELECT doc_id, line_idx, CAST(score AS BIGINT) AS score, rnk FROM la_rank"))
@@ -903,6 +922,26 @@ def q_file_manifest(spark, sf):
     return S.file_manifest(raw).select(_doc_key(), "md5", "size")
 
 
+@register("manifest_compare", "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
+def q_manifest_compare(spark, sf):
+    """An expected manifest in which every 7th checksum differs, against files of
+    which every 11th is missing."""
+    actual = S.file_manifest(S.read_code_bytes(spark, _materialised_code_files(spark, sf))).select(_doc_key(), "md5", "size")
+    expected = actual.withColumn("md5", F.when(F.col("doc_id") % 7 == 0, F.lit("0" * 32)).otherwise(F.col("md5")))
+    return S.manifest_mismatches(actual.filter("doc_id % 11 <> 0"), expected, "doc_id").select("doc_id")
+
+
+@register("quarantine_invalid", "SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS n_bytes FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL")
+def q_quarantine_invalid(spark, sf):
+    """Files that are not UTF-8 go to the quarantine output; here every 5th text
+    with half a character behind it."""
+    text = F.encode("text", "UTF-8")
+    raw = fx.documents(spark, sf).filter("text is not null").select(
+        "doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.unhex(F.lit("C3")))).otherwise(text).alias("content"))
+    bad = S.decode_files(raw).filter(~F.col("valid"))
+    return bad.select("doc_id", F.octet_length("content").cast("bigint").alias("n_bytes"))
+
+
 @register("decode_utf8", _sql(CF, f"SELECT doc_id, true AS valid, {_WRITTEN} AS code FROM code_files"))
 def q_decode_utf8(spark, sf):
     raw = S.read_code_bytes(spark, _materialised_code_files(spark, sf))
@@ -968,4 +1007,5 @@ def q_stream_scan(spark, sf):
     out = ST.run_scan_stream(
         spark, src, scratch_path(spark, "scan-sink"), scratch_path(spark, "scan-stream-ckpt")
     )
-    return out.select("doc_id", "method_idx", "name", "method", "p1", "vulnerable", "vul_lines")
+    key = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id")  # of the folder
+    return out.select(key, "method_idx", "name", "method", "p1", "vulnerable", "vul_lines")

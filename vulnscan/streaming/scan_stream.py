@@ -15,15 +15,12 @@ from pyspark.sql import functions as F
 
 from ..plans.jobs import scan_files
 
-KEY_FROM_PATH_RE = r"doc_id=(\d+)"
+KEY = "path"
 
 
 def _with_key(df: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    return df.select(
-        F.regexp_extract(path, KEY_FROM_PATH_RE, 1).cast("bigint").alias("doc_id"),
-        F.col("value").alias("code"),
-    )
+    """The key of a file is its path, whatever its folder is called."""
+    return df.select(F.col("_metadata.file_path").alias(KEY), F.col("value").alias("code"))
 
 
 def start_scan_stream(
@@ -43,7 +40,7 @@ def start_scan_stream(
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch's methods are written to the checkpoint folder once and
         # read by the scoring and ranking branches (no recomputation)
-        out = scan_files(batch, checkpoint=True)
+        out = scan_files(batch, key=KEY, checkpoint=True)
         out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
