@@ -42,10 +42,12 @@ from . import common as C
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 CHUNK = 512
+#: Characters of a chunk that are run from all states before looking whether these have met.
+SETTLING = 32
 #: Characters that are worked on at a time.
 STRETCH = 1 << 20
-MAX_STATES = 200_000
-MAX_WORDS = 300_000
+MAX_STATES = 300_000
+MAX_WORDS = 600_000
 
 #: Character classes. ``END`` closes a text, ``PAD`` changes nothing.
 LETTER, S, R, V, L, E, NUMBER, SPACE, BLANK, QUOTE, OTHER, END, PAD = range(13)
@@ -138,8 +140,16 @@ class SplitTransducer:
         grid[:n] = classes
         grid = np.ascontiguousarray(grid.reshape(chunks, chunk).T).astype(np.intp)
         maps = np.tile(np.arange(len(STATES), dtype=np.uint8), (chunks, 1))
-        for column in grid:
+        for column in grid[:SETTLING]:
             maps = self.move[maps * np.intp(13) + column[:, None]]
+        # in most chunks all entry states have met by now, and one of them stands for all
+        met = (maps == maps[:, :1]).all(axis=1)
+        one, several = maps[met, 0], maps[~met]
+        for column in grid[SETTLING:]:
+            one = self.move[one * np.intp(13) + column[met]]
+            if len(several):
+                several = self.move[several * np.intp(13) + column[~met, None]]
+        maps[met], maps[~met] = one[:, None], several
         state = np.zeros(chunks, np.uint8)
         state[1:] = compose_scan(maps)[:-1, _ID["START"]]
         out = np.empty((chunk, chunks), bool)
@@ -157,13 +167,15 @@ class MergeTransducer:
         self.ranks = {pair: i for i, pair in enumerate(merges)}
         made = {a + b for a, b in merges}
         self.tokens = {t for t in vocabulary if len(t) == 1 or t in made}
-        self.prefixes = {t[:i] for t in self.tokens for i in range(len(t) + 1)}
+        #: What a longer token starts with: only there can a later token begin.
+        self.prefixes = {t[:i] for t in self.tokens for i in range(len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.moves: dict[int, tuple[int, int]] = {}
-        # a state: the suffix, and for each of its positions the last token before it and the count there
+        # a state: the suffix, and for each of its positions where a later token can begin
+        # the last token before it and the count there
         start = (b"", ((None, 0),))
         self.states, self.ids = [start], {start: 0}
 
@@ -196,16 +208,17 @@ class MergeTransducer:
     def _move(self, state: int, byte: int) -> tuple[int, int]:
         suffix, places = self.states[state]
         suffix += bytes((byte,))
-        for k, (left, count) in enumerate(places):
+        for k, place in enumerate(places):
             token = suffix[k:]
-            if token in self.tokens and self.compatible(left, token):
+            if place and token in self.tokens and self.compatible(place[0], token):
                 break
         else:
             raise ValueError("no token ends here")
-        change = count + 1
-        places = (*((t, c - change) for t, c in places), (token, 0))
-        while suffix not in self.prefixes:
+        change = place[1] + 1
+        prefixes = self.prefixes
+        while suffix not in prefixes:
             suffix, places = suffix[1:], places[1:]
+        places = (*((p[0], p[1] - change) if p and suffix[i:] in prefixes else None for i, p in enumerate(places)), (token, 0))
         made = (suffix, places)
         if made not in self.ids:
             self.ids[made] = len(self.states)
@@ -296,14 +309,19 @@ class TokenCounter:
         classes = self.split.classes[every]
         classes[ends] = END
         starts = self.split.starts(classes) & inside
-        wide = (1 + (every >= 0x80) + (every >= 0x800).astype(np.int64) + (every >= 0x10000)) * inside
-        place = np.cumsum(wide) - wide  # byte offset of each character
-        cuts = place[starts].tolist()
         data = "".join(parts).encode()
+        at = np.flatnonzero(starts)
+        cuts = at - np.searchsorted(ends, at)  # characters before, without the END marks
+        if len(data) > int(inside.sum()):  # bytes beyond the first of each character
+            more = (every >= 0x80).astype(np.uint8)
+            more += every >= 0x800
+            more += every >= 0x10000
+            cuts += np.cumsum(more, dtype=np.int64)[at] - more[at]
+        cuts = cuts.tolist()
         cuts.append(len(data))
         words = self.words
         n = np.fromiter((words[data[a:b]] for a, b in zip(cuts, cuts[1:])), np.int64, len(cuts) - 1)
-        owner = np.asarray(owners)[np.searchsorted(ends, np.flatnonzero(starts))]
+        owner = np.asarray(owners)[np.searchsorted(ends, at)]
         out += np.bincount(owner, weights=n, minlength=len(out)).astype(np.int64)
 
 
