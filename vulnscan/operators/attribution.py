@@ -56,8 +56,9 @@ def is_separator(token: Column) -> Column:
     return token.isin(*LINE_SEPARATORS)
 
 
-def line_scores(tokens: DataFrame, keys=("doc_id",), score: str = "score") -> DataFrame:
-    """A4: (keys, line_idx, score) for every emitted line."""
+def numbered_lines(tokens: DataFrame, keys=("doc_id",), score: str = "score") -> DataFrame:
+    """(keys, line_no, score) for every line whose content scores: ``line_no`` counts
+    the lines of the text from 1, those without a score included."""
     w = Window.partitionBy(*keys).orderBy("pos")
     sep = is_separator(F.col("token"))
     t = tokens.select(
@@ -69,11 +70,14 @@ def line_scores(tokens: DataFrame, keys=("doc_id",), score: str = "score") -> Da
     )
     content = F.sum(F.when(~is_separator(F.col("token")) & ~F.col("is_last"), F.col("_s")).otherwise(F.lit(0)))
     g = t.groupBy(*keys, "g").agg(content.alias("content"), F.sum("_s").alias("total"))
-    wl = Window.partitionBy(*keys).orderBy("g")
-    return g.filter(F.col("content") != 0).select(
-        *keys,
-        (F.row_number().over(wl) - 1).cast("bigint").alias("line_idx"),
-        F.col("total").alias(score),
+    return g.filter(F.col("content") != 0).select(*keys, (F.col("g") + 1).alias("line_no"), F.col("total").alias(score))
+
+
+def line_scores(tokens: DataFrame, keys=("doc_id",), score: str = "score") -> DataFrame:
+    """A4: (keys, line_idx, score) for every emitted line; ``line_idx`` counts the emitted ones."""
+    wl = Window.partitionBy(*keys).orderBy("line_no")
+    return numbered_lines(tokens, keys, score).select(
+        *keys, (F.row_number().over(wl) - 1).cast("bigint").alias("line_idx"), score
     )
 
 

@@ -10,13 +10,13 @@ runs only on tokens of flagged methods, with windows per method.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import FIXED_BIAS, THRESHOLD, TOP_LINES
 from ..functions.text import clean_multi_line
-from ..operators.attribution import ranked_top_lines
-from ..operators.dataset import prepare_dataset, row_hash, select_split, drop_duplicates, project_snippets
+from ..operators.attribution import mask_special, numbered_lines, ranked_top_lines
+from ..operators.dataset import prepare_dataset, project_snippets, row_hash, select_split
 from ..operators.features import tokenize_code, with_markers
 from ..operators.methods import extract_methods
 from ..operators.metrics import passes_gate, report
@@ -55,39 +55,65 @@ def scan_files(
     methods are exploded from that result, so the ranking windows and the
     final join need no further exchange.
     """
-    spark = files.sparkSession
-    weights = weights if weights is not None else fixed_weights(spark)
+    keys = [key, "method_idx"]
+    weights = weights if weights is not None else fixed_weights(files.sparkSession)
+    scored = _scored_methods(files, key, weights, bias, threshold, checkpoint)
+    out_cols = [*keys, "name", "method", "p1", "vulnerable"]
+    if not line_level:
+        return scored.select(*out_cols)
+
+    flagged = _flagged_tokens(scored, keys, weights)
+    top = ranked_top_lines(flagged, keys, padding=False, k=top_k)
+    return scored.join(top, keys, "left").select(
+        *out_cols,
+        F.when(F.col("vulnerable") == 1, F.coalesce("vul_lines", F.lit(""))).alias("vul_lines"),
+    )
+
+
+def _scored_methods(files, key, weights, bias, threshold, checkpoint) -> DataFrame:
+    """Methods with their tokens (``_toks``), p1 and verdict."""
     keys = [key, "method_idx"]
     seq = with_markers(tokenize_code(clean_multi_line("method")))
     methods = extract_methods(files, key).select(*keys, "name", "method", seq.alias("_toks"))
     if checkpoint:
         methods = cut_lineage(methods)
-
     # outer forms: every method has its two markers, and a plain explode would
     # repeat the tokenizing expression in an inferred filter (no checkpoint)
     tok = token_weights(methods.select(*keys, F.explode_outer("_toks").alias("token")), weights)
     scores = tok.groupBy(*keys).agg((F.sum("w") + F.lit(bias)).alias("_logit1"))
     p1 = softmax_p1(F.lit(0.0), F.col("_logit1"))
-    scored = methods.join(scores, keys).select(
+    return methods.join(scores, keys).select(
         *keys, "name", "method", "_toks",
         F.round(p1, 6).alias("p1"),
         threshold_flag(p1, threshold).alias("vulnerable"),
     )
-    out_cols = [*keys, "name", "method", "p1", "vulnerable"]
-    if not line_level:
-        return scored.select(*out_cols)
 
-    # Gate before ranking: only tokens of flagged methods are exploded.
-    flagged = scored.filter(F.col("vulnerable") == 1).select(
-        *keys, F.posexplode_outer("_toks").alias("pos", "token")
-    )
-    flagged = token_weights(flagged, weights).select(
+
+def _flagged_tokens(scored: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
+    """Gate before ranking: only tokens of flagged methods are exploded and scored."""
+    flagged = scored.filter(F.col("vulnerable") == 1).select(*keys, F.posexplode_outer("_toks").alias("pos", "token"))
+    return token_weights(flagged, weights).select(
         *keys, "pos", "token", F.greatest(F.col("w"), F.lit(0.0)).alias("score")
     )
-    top = ranked_top_lines(flagged, keys, padding=False, k=top_k)
-    return scored.join(top, keys, "left").select(
-        *out_cols,
-        F.when(F.col("vulnerable") == 1, F.coalesce("vul_lines", F.lit(""))).alias("vul_lines"),
+
+
+def scan_lines(
+    files: DataFrame, key: str = "doc_id", weights: DataFrame | None = None, bias: float = FIXED_BIAS,
+    threshold: float = THRESHOLD, top_k: int = TOP_LINES, checkpoint: bool = True,
+) -> DataFrame:
+    """E1 by line (Q6, Q11): one row for each of the ``top_k`` lines of a flagged method:
+    (key, method_idx, rank, line_no, line, score), ``line_no`` counting the lines of the
+    cleaned method from 1."""
+    keys = [key, "method_idx"]
+    weights = weights if weights is not None else fixed_weights(files.sparkSession)
+    scored = _scored_methods(files, key, weights, bias, threshold, checkpoint)
+    lines = numbered_lines(mask_special(_flagged_tokens(scored, keys, weights), keys, padding=False), keys)
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("line_no"))
+    ranked = lines.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top_k)
+    text = scored.filter(F.col("vulnerable") == 1).select(*keys, F.split(clean_multi_line("method"), "\n").alias("_lines"))
+    return ranked.join(text, keys).select(
+        *keys, "rank", F.col("line_no").cast("bigint").alias("line_no"),
+        F.get("_lines", F.col("line_no").cast("int") - 1).alias("line"), "score",
     )
 
 

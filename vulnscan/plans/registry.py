@@ -796,6 +796,22 @@ def q_scan_files(spark, sf):
     return _scan(spark, sf)
 
 
+_CLEAN_LINES = O.clean_multi_line("m.method")
+
+
+@register(
+    "scan_lines",
+    _sql(_SCAN_CTES + [
+        f"""sl AS (SELECT doc_id, method_idx, g, total, row_number() OVER (PARTITION BY doc_id, method_idx ORDER BY total DESC, g ASC) AS rnk
+ FROM la_grp WHERE content <> 0)"""],
+        f"""SELECT s.doc_id, s.method_idx, CAST(s.rnk AS BIGINT) AS rank, CAST(s.g + 1 AS BIGINT) AS line_no,
+   string_split({_CLEAN_LINES}, chr(10))[CAST(s.g + 1 AS BIGINT)] AS line, s.total AS score
+FROM sl s JOIN mt_methods m ON m.doc_id = s.doc_id AND m.method_idx = s.method_idx WHERE s.rnk <= {O.TOP_LINES}"""),
+)
+def q_scan_lines(spark, sf):
+    return P.scan_lines(fx.code_files(spark, sf))
+
+
 @register(
     "vulnerable_rows",
     _sql(_SCAN_CTES, "SELECT doc_id, method_idx, name, p1, vul_lines FROM scan WHERE vulnerable = 1"),
