@@ -8,6 +8,8 @@ classes of the contracts.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -106,7 +108,7 @@ class WordIds:
     """Ids of whole texts by words: each word is encoded once by ``encode_many`` and its
     ids are kept in one flat array. Bounded; dropped and refilled when full."""
 
-    def __init__(self, encode_many, limit: int = 100_000):
+    def __init__(self, encode_many, limit: int = 400_000):
         self.encode_many, self.limit = encode_many, limit
         self._clear()
 
@@ -117,12 +119,12 @@ class WordIds:
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        got = self.encode_many([w.decode() for w in words])
+        got = self.encode_many(words)
         n = np.fromiter(map(len, got), np.int64, len(got))
         total = int(n.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
         self.places.update(zip(words, range(len(self.places), len(self.places) + len(words)), strict=True))
         self.first = np.concatenate([self.first, self.used + np.cumsum(n) - n])
         self.count = np.concatenate([self.count, n])
@@ -130,12 +132,13 @@ class WordIds:
 
     def ids(self, texts: list[list[bytes]], end: list[int]) -> list[np.ndarray]:
         """The ids of each list of words, followed by ``end``."""
-        new = {w for words in texts for w in words if w not in self.places}
+        every = set().union(*texts)
+        new = every.difference(self.places)
         if len(self.places) + len(new) > self.limit and self.places:
             self._clear()
-            new = {w for words in texts for w in words}
+            new = every
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         out = []
         for words in texts:
             at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))

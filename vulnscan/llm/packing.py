@@ -24,6 +24,8 @@ kept; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -46,21 +48,52 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "context int, step_group long")
 
 
+#: Letters (a-z and the Latin-1 ones, which normalisation leaves apart from their case),
+#: and marks after them, at which the tokenizer always splits.
+_WORD = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%$&#*|]*)")
+
+
 class Encoder:
     """Ids of whole texts. The tokenizer splits at white space before anything else
-    acts across it, so texts are looked up word by word and the library encodes
-    each word once."""
+    acts across it, so texts are looked up word by word, and each word is encoded
+    once: words of letters together in one call, where the end-of-word tokens tell
+    them apart, the marks after them and all other words one by one."""
 
     def __init__(self, name: str = VOCABULARY):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.words = C.WordIds(lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = C.WordIds(self._encode)
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        found = [_WORD.fullmatch(w) for w in words]
+        letters = list(dict.fromkeys(m[1] for m in found if m))
+        flat = np.array(self._ids([b" ".join(letters)])[0], np.int64)
+        ends = (np.flatnonzero(self.is_end[flat]) + 1).tolist()
+        flat = flat.tolist()
+        known = {w: flat[a:b] for w, a, b in zip(letters, [0, *ends], ends, strict=False)}
+        assert len(ends) == len(letters)
+        rest = list({m[2] for m in found if m and m[2]} | {w for w, m in zip(words, found, strict=True) if not m})
+        alone = dict(zip(rest, self._ids(rest), strict=True))
+        return [alone[w] if not m else known[m[1]] + alone[m[2]] if m[2] else known[m[1]] for w, m in zip(words, found, strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        return self.words.ids([C.space_words(t) for t in texts], [END_ID])
+        return self.words.ids([_words(t) for t in texts], [END_ID])
+
+
+def _words(text: str | None) -> list[bytes]:
+    data = (text or "").encode()
+    # the tokenizer ignores case, but for its special tokens
+    return (data if b"<|" in data else data.translate(C.FOLD_TABLE)).split()
 
 
 class Packer:

@@ -80,7 +80,7 @@ class Meter:
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
         self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        self.words = C.WordIds(lambda words: model.encode(words, num_threads=1))
+        self.words = C.WordIds(lambda words: model.encode([w.decode() for w in words], num_threads=1))
         self.hasher = C.WordHash()
 
     def measure(self, texts: list[str | None]) -> list[tuple]:
