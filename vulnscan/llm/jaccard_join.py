@@ -47,11 +47,13 @@ from . import common as C
 
 WIDTH = 5
 #: Postings of a bucket (about 12 bytes each), and of a task before it hands them on.
-BUCKET_POSTINGS = 1_000_000
-FLUSH = 1_000_000
+BUCKET_POSTINGS = 400_000
+FLUSH = 400_000
 BANDS = (4, 8)
 BLOCK_NODES = 256
-QUERY_CHUNK = 1024
+QUERY_CHUNK = 512
+#: Postings up to which the short lists go through a heap.
+HEAP_MERGE = 64
 #: Bits of the filter that spares the second reading of the texts most work.
 FILTER_BITS = 1 << 22
 SET = "n long, node binary, s long, prefix binary"
@@ -166,14 +168,19 @@ def shared_counts(rows: DataFrame, values: str, group: str, postings: int) -> Da
         join = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
         low, runs = join("low", np.uint32), join("runs", np.uint32)
         node, owner = np.repeat(join("s", np.int64), runs), np.repeat(join("g", np.int64), runs)
-        order = np.lexsort((owner, low))
+        order = np.lexsort((node, owner, low))
         low, node, owner = low[order], node[order], owner[order]
-        first = np.r_[True, low[1:] != low[:-1]] if len(low) else np.zeros(0, bool)
-        other = first | np.r_[True, owner[1:] != owner[:-1]] if len(low) else first
-        value = np.cumsum(first) - 1
-        several = np.bincount(value[other], minlength=int(first.sum())) > 1
-        pairs = np.unique(np.column_stack([node[several[value]], value[several[value]]]), axis=0) if several.any() else np.zeros((0, 2), np.int64)
-        names, n = np.unique(pairs[:, 0], return_counts=True)
+        del order
+        first = np.ones(len(low), bool)  # of its value
+        first[1:] = low[1:] != low[:-1]
+        other = first.copy()  # of its group in its value
+        other[1:] |= owner[1:] != owner[:-1]
+        again = np.zeros(len(low), bool)  # a copy's posting from another task
+        again[1:] = ~first[1:] & (node[1:] == node[:-1])
+        starts = np.flatnonzero(first)
+        several = np.add.reduceat(other, starts, dtype=np.int32) > 1 if len(starts) else np.zeros(0, bool)
+        counted = np.repeat(several, np.diff(np.append(starts, len(low)))) & ~again
+        names, n = np.unique(node[counted], return_counts=True)
         return pd.DataFrame({"s": names, "shared": n.astype(np.int64)})
 
     packed = _posted(rows, values, group, buckets)
@@ -270,14 +277,7 @@ class Block:
         lists = [self.owner[self.first[i] : self.first[i] + self.count[i]] for i in at]
         short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
         # merge of the short lists: candidates reach the threshold less the long lists
-        found, counts = [], []
-        for doc in heapq.merge(*[s.tolist() for s in short]):
-            if found and found[-1] == doc:
-                counts[-1] += 1
-            else:
-                found.append(doc)
-                counts.append(1)
-        docs, seen = np.array(found, np.int64), np.array(counts, np.int64)
+        docs, seen = _merged(short)
         keep = seen >= least - n_long
         docs, seen = docs[keep], seen[keep]
         for i, s in enumerate(long):  # binary probes; hopeless candidates are dropped on the way
@@ -290,6 +290,21 @@ class Block:
         return docs[seen >= overlap(len(query), self.sizes[docs])]
 
 
+def _merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of sorted lists and how many lists hold each: a heap merge, or,
+    where that would take long, one sort of the lists' runs."""
+    if sum(map(len, lists)) > HEAP_MERGE:
+        return np.unique(np.concatenate(lists), return_counts=True)
+    found, counts = [], []
+    for doc in heapq.merge(*[s.tolist() for s in lists]):
+        if found and found[-1] == doc:
+            counts[-1] += 1
+        else:
+            found.append(doc)
+            counts.append(1)
+    return np.array(found, np.int64), np.array(counts, np.int64)
+
+
 def _search(frame: pd.DataFrame) -> pd.DataFrame:
     """Links of one block's queries, one for each query and component."""
     index, queries = frame[frame.role == 0], frame[frame.role == 1]
