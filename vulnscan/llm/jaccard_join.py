@@ -241,6 +241,8 @@ def _contracted(sets: DataFrame, comps: DataFrame | None, first: int, last: int,
     keys = C.stored(keys, f"{name}-keys")
     seed = F.struct("node", "n", "comp")
     seeds = keys.groupBy("band", "key").agg(F.min(seed).alias("low"), F.max(seed).alias("high")).filter("low.node <> high.node")
+    # a table of its own: joined to the aggregate in place, a hot group could not be split
+    seeds = C.stored(seeds, f"{name}-seeds")
     met = keys.join(seeds, ["band", "key"])
     pairs = met.select("node", "n", "comp", F.explode(F.array("low", "high")).alias("z"))
     near = 4 * F.least("n", "z.n") >= 3 * F.greatest("n", "z.n")
