@@ -44,6 +44,7 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 POOL_TOKENS = 1 << 19
 GROUP_TOKENS = 1 << 16
+MAX_LETTERS = 400_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "context int, step_group long")
 
@@ -68,6 +69,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.letters: dict[bytes, list[int]] = {}
         self.words = C.WordIds(self._encode)
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
@@ -75,23 +77,28 @@ class Encoder:
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         found = [_WORD.fullmatch(w) for w in words]
-        letters = list(dict.fromkeys(m[1] for m in found if m))
+        if len(self.letters) > MAX_LETTERS:
+            self.letters.clear()
+        known = self.letters  # words of letters alone, which stand with many marks behind them
+        letters = list({m[1] for m in found if m}.difference(known))
         flat = np.array(self._ids([b" ".join(letters)])[0], np.int64)
         ends = (np.flatnonzero(self.is_end[flat]) + 1).tolist()
-        flat = flat.tolist()
-        known = {w: flat[a:b] for w, a, b in zip(letters, [0, *ends], ends, strict=False)}
         assert len(ends) == len(letters)
+        flat = flat.tolist()
+        known.update(zip(letters, (flat[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         rest = list({m[2] for m in found if m and m[2]} | {w for w, m in zip(words, found, strict=True) if not m})
         alone = dict(zip(rest, self._ids(rest), strict=True))
         return [alone[w] if not m else known[m[1]] + alone[m[2]] if m[2] else known[m[1]] for w, m in zip(words, found, strict=True)]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, with the end id."""
+    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
+        """Ids of each text (as such or in UTF-8), with the end id."""
         return self.words.ids([_words(t) for t in texts], [END_ID])
 
 
-def _words(text: str | None) -> list[bytes]:
-    data = (text or "").encode()
+def _words(text: str | bytes | None) -> list[bytes]:
+    data = text or b""
+    if isinstance(data, str):
+        data = data.encode()
     # the tokenizer ignores case, but for its special tokens
     return (data if b"<|" in data else data.translate(C.FOLD_TABLE)).split()
 
@@ -198,14 +205,14 @@ def pack(docs: DataFrame, name: str = VOCABULARY, doc_id: str = "doc_id", text:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
                     packer.add(key, ids)
                 if len(packer.rows) >= 4096:
                     yield _batch(packer.drain())
         packer.close()
         yield _batch(packer.drain())
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(lambda batches: C.trimmed(run(batches)), SCHEMA)
 
 
 _TYPES = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
