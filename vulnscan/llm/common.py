@@ -8,6 +8,8 @@ classes of the contracts.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from itertools import chain
 
 import numpy as np
@@ -69,7 +71,7 @@ def space_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words. A cache of bounded size, safe to lose."""
 
-    def __init__(self, seed: int = 0, limit: int = 200_000):
+    def __init__(self, seed: int = 0, limit: int = 100_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
@@ -104,6 +106,21 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def trim() -> None:
+    """Hands freed memory back to the system. Python workers live on between tasks, and
+    what they hold counts against the executor."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if release is not None:
+        release(0)
+
+
+def trimmed(batches):
+    """The batches of a task's generator, and a ``trim`` when it has ended."""
+    yield from batches
+    gc.collect()
+    trim()
+
+
 class WordIds:
     """Ids of whole texts by words: each word is encoded once by ``encode_many`` and its
     ids are kept in one flat array. Bounded; dropped and refilled when full."""

@@ -103,6 +103,9 @@ def _digest(items) -> str:
 def _annotator(index):
     @F.pandas_udf(HITS)
     def annotate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from C.trimmed(found(batches))
+
+    def found(batches):
         known, hasher = index.value, C.WordHash()
         for texts in batches:
             rows = []

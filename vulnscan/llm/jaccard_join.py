@@ -101,6 +101,9 @@ def _node(found: np.ndarray) -> bytes:
 def _sets():
     @F.pandas_udf(SET)
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from C.trimmed(made(batches))
+
+    def made(batches):
         hasher = C.WordHash()
         for texts in batches:
             rows = []
@@ -137,7 +140,7 @@ def _posted(rows: DataFrame, values: str, group: str, buckets: int) -> DataFrame
         if pending:
             yield _packed(pending, buckets)
 
-    return rows.select("s", F.col(group).alias("g"), values).mapInArrow(pack, "bucket int, low binary, s binary, g binary, runs binary")
+    return rows.select("s", F.col(group).alias("g"), values).mapInArrow(lambda batches: C.trimmed(pack(batches)), "bucket int, low binary, s binary, g binary, runs binary")
 
 
 def _packed(pending, buckets: int) -> pa.RecordBatch:
@@ -181,6 +184,8 @@ def shared_counts(rows: DataFrame, values: str, group: str, postings: int) -> Da
         several = np.add.reduceat(other, starts, dtype=np.int32) > 1 if len(starts) else np.zeros(0, bool)
         counted = np.repeat(several, np.diff(np.append(starts, len(low)))) & ~again
         names, n = np.unique(node[counted], return_counts=True)
+        del low, runs, node, owner, first, other, again, counted
+        C.trim()
         return pd.DataFrame({"s": names, "shared": n.astype(np.int64)})
 
     packed = _posted(rows, values, group, buckets)
@@ -318,6 +323,8 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
             if comps[i] != comp and comps[i] not in met:
                 met.add(comps[i])
                 out.append((node, nodes[i], comp, comps[i]))
+    del block, index, queries
+    C.trim()
     return pd.DataFrame(out, columns=["a", "b", "ca", "cb"])
 
 
@@ -384,6 +391,9 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
 
     @F.pandas_udf("n long, node binary, s long, found binary")
     def make(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from C.trimmed(made(batches))
+
+    def made(batches):
         hasher, bits = C.WordHash(), shared.value
         for places, texts in batches:
             rows = []

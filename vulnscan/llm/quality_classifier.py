@@ -54,7 +54,7 @@ class Types(dict):
             shape = pattern.sub(mark, shape)
         shape = _RUN.sub(rb"\1+", shape)[:16]
         value = (xxhash.xxh3_64_intdigest(word.translate(C.FOLD_TABLE)) % BUCKETS) * SHAPES + xxhash.xxh3_64_intdigest(shape) % SHAPES
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value
         return value
@@ -91,7 +91,7 @@ def context_table(docs: DataFrame, text: str = "text") -> np.ndarray:
                 for d in range(1, SPAN + 1):
                     pending += [slots[d:] * SHAPES + shapes[:-d], slots[:-d] * SHAPES + shapes[d:]]
                 held += 2 * SPAN * len(slots)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     settle()
                     pending, held = [], 0
         settle()
@@ -99,7 +99,7 @@ def context_table(docs: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(near.reshape(BUCKETS, SHAPES).any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(table[used, i]) for i in range(DIMENSIONS))], names=["slot", *names])
 
-    made = docs.select(text).mapInArrow(count, "slot long, " + ", ".join(f"{n} long" for n in names))
+    made = docs.select(text).mapInArrow(lambda batches: C.trimmed(count(batches)), "slot long, " + ", ".join(f"{n} long" for n in names))
     out = np.zeros((BUCKETS, DIMENSIONS))
     for row in made.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).collect():  # at most BUCKETS rows
         out[row[0]] = row[1:]
@@ -135,6 +135,9 @@ class Pooler:
 def _pooling(table):
     @F.pandas_udf("array<double>")
     def pooled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from C.trimmed(made(batches))
+
+    def made(batches):
         pooler = Pooler(table.value)
         for texts in batches:
             yield pd.Series([pooler.pool(t).tolist() for t in texts])
@@ -217,6 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def scorer(table, model):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from C.trimmed(made(batches))
+
+    def made(batches):
         pooler = Pooler(table.value)
         for texts in batches:
             x = np.array([pooler.pool(t) for t in texts]).reshape(-1, pooler.width)
