@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm_conftest import collected, edge_rows
+from llm_conftest import collected, edge_rows, prose
 from vulnscan.llm import decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, token_count, url_filter
 
 ROWS = edge_rows()
@@ -76,6 +76,17 @@ def test_jaccard_join(edge, nothing):
     assert jaccard_join.keep_one(nothing).count() == 0
 
 
+def test_keep_one_decides_by_row_where_an_id_repeats(spark):
+    a, b, c, d, e = (prose(i, 80) for i in range(20, 25))
+    near = a + " more"
+    rows = [(1, near), (5, a), (5, b), (6, c), (6, d), (6, d), (6, None), (7, e), (7, e + " more"), (7, ""), (8, e), (8, None), (9, b)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, r.text) for r in kept if r.doc_id != 7), key=repr)
+    assert got == sorted([(1, near), (5, b), (6, c), (6, d), (6, None), (8, None)], key=repr)
+    sevens = [r.text for r in kept if r.doc_id == 7]
+    assert len(sevens) == 2 and "" in sevens and set(sevens) & {e, e + " more"}
+
+
 def test_license_scan(edge, nothing):
     got = license_scan.scan(edge)
     cols = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")

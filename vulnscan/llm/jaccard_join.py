@@ -449,16 +449,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with its smallest id, with all columns. Rows
-    that repeat an id within a component count as one document; a row without id stays
-    only as the one row of a component without ids."""
+    """One document of each component, that with its smallest id, with all columns. The
+    decision is a row's own: one id may stand on rows of several components and of no
+    text. Rows that repeat an id within a component count as one document; a row without
+    id stays only as the one row of a component without ids."""
     found = C.stored(components(docs, doc_id, text), "jaccard-components")
-    gone = found.filter(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias(doc_id)).distinct()
-    kept = docs.join(gone, doc_id, "left_anti")
-    again = found.filter("n > 0 and id = component_id").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("id").alias(doc_id))
-    again = C.stored(again, "jaccard-again")
-    if not again.isEmpty():
-        kept = kept.join(again, doc_id, "left_anti").unionByName(kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
+    goes = F.col("id") != F.col("component_id")
+    by_id = found.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows"), F.count_if(goes).alias("gone"))
+    kept = docs.join(by_id.filter("gone = rows").select(F.col("id").alias(doc_id)), doc_id, "left_anti")
+    several = C.stored(by_id.filter("rows > 1 and gone < rows").select("id"), "jaccard-several")
+    if not several.isEmpty():  # ids that do not decide: by id and set
+        heads = found.filter(~goes & (F.col("n") > 0)).join(several, "id", "left_semi")
+        heads = heads.groupBy("id", "comp").agg(F.min("node").alias("_node")).select(F.col("id").alias("_id"), "_node", F.col("comp").alias("_comp"))
+        ids = several.select(F.col("id").alias(doc_id))
+        unsure = kept.join(ids, doc_id, "left_semi").withColumn("_set", _sets()(F.col(text)))
+        empty = unsure.filter("_set.n = 0").select(*kept.columns)
+        one = unsure.join(heads, (F.col(doc_id) == F.col("_id")) & (F.col("_set.node") == F.col("_node"))).dropDuplicates([doc_id, "_comp"]).select(*kept.columns)
+        kept = kept.join(ids, doc_id, "left_anti").unionByName(empty).unionByName(one)
     loose = found.filter("id is null and n > 0")
     if not loose.isEmpty():
         held = loose.filter("component_id is null").select("node", "comp").distinct()
