@@ -105,6 +105,32 @@ def test_quality_rules(edge, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+HINDI = "नदी के किनारे एक पुराना पुल है जहाँ सुबह की रोशनी ठंडे पत्थर पर गिरती है और लोग धीरे चलते हैं".split()
+THAI = "แม่น้ำ สาย ยาว ไหล ผ่าน เมือง เก่า ใน ตอนเช้า ผู้คน เดิน ช้า ๆ บน สะพาน หิน และ ฟัง เพลง จาก สวน".split()
+
+
+def test_quality_rules_never_judge_by_another_script(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, prose(100 + i, 150), "en") for i in range(60)]
+    thai = [(1000 + i, " ".join(rng.choices(THAI, k=150)), "th") for i in range(40)]
+    rare = [(2000 + i, " ".join(rng.choices(HINDI, k=150)), ("hi", None)[i % 2]) for i in range(6)]
+    rare += [(3000, " ".join(rng.choices("город река мост зима сад письмо музыка бумага окно утро камень свет дорога тихий старый".split(), k=150)), "ru")]
+    for table in (rows + rare, thai + rare, rows + rare + thai[:5]):
+        judged = quality_rules.judge(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()
+        assert all(r.kept for r in judged if r.doc_id >= 1000)
+    # a rare language of a common script is judged by that script
+    odd = spark.createDataFrame([*rows, (4000, " ".join(f"{c}q{c}z#{i}" for i, c in enumerate("zxqjkvwp" * 20)), "xx")], "doc_id long, text string, lang string")
+    assert [(r.base_failed, r.kept) for r in quality_rules.judge(odd).filter("doc_id = 4000").collect()] == [(False, False)]
+
+
+def test_scripts():
+    texts = {"Hello": "latin", "123 !": "none", "": "none", "Ñandú Üß": "latin", "Привет": "cyrillic", "Γειά": "greek", "שלום": "hebrew", "سلام": "arabic",
+             "नदी": "devanagari", "น้ำ": "thai", "河水很长": "han", "川の水は長い": "kana", "강물": "hangul", "tiếng Việt": "latin"}
+    assert {t: quality_rules.script_of(t) for t in texts} == texts
+
+
 def test_pii(edge, nothing):
     got = pii.find(edge)
     base = got.select("doc_id", F.sha2(pii.listed("_base"), 256).alias("digest"), "_all")

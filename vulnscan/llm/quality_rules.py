@@ -36,7 +36,8 @@ MAX_REPEAT_PERCENT = 30
 WIDTH = 5.0
 LEAST_WIDTH = {"chars_per_token": 0.15, "byte_share": 0.1, "entropy": 0.2}
 MIN_TOKENS = 100
-#: Languages with fewer documents are judged by the band of all documents.
+#: Languages with fewer documents are judged by the band of the document's script;
+#: scripts with fewer have no band.
 MIN_GROUP = 30
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -59,18 +60,37 @@ def repeated(hashes: np.ndarray, width: int = WINDOW) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
-def script_of(data: bytes) -> str:
-    """Script of most letters, by lead bytes of UTF-8."""
-    lead = np.frombuffer(data, np.uint8)
-    counts = {
-        "latin": int(((lead >= 0x61) & (lead <= 0x7A)).sum() + ((lead >= 0x41) & (lead <= 0x5A)).sum() + ((lead >= 0xC3) & (lead <= 0xCD)).sum()),
-        "greek_cyrillic": int(((lead >= 0xCE) & (lead <= 0xD3)).sum()),
-        "semitic": int(((lead >= 0xD6) & (lead <= 0xDD)).sum()),
-        "indic": int((lead == 0xE0).sum()),
-        "cjk": int(((lead >= 0xE3) & (lead <= 0xED)).sum()),
-    }
-    best = max(counts, key=lambda k: counts[k])
-    return best if counts[best] else "none"
+#: First code points of runs of one script; "" where characters belong to none.
+SCRIPTS = (
+    (0x00, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0x2B0, ""), (0x370, "greek"), (0x400, "cyrillic"),
+    (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x750, "arabic"), (0x780, "thaana"), (0x7C0, "nko"),
+    (0x800, "other"), (0x860, "syriac"), (0x870, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "gurmukhi"), (0xA80, "gujarati"),
+    (0xB00, "oriya"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "kannada"), (0xD00, "malayalam"), (0xD80, "sinhala"), (0xE00, "thai"),
+    (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, "cherokee"),
+    (0x1400, "canadian"), (0x1680, "other"), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"),
+    (0x1CC0, "other"), (0x1D00, ""), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x2C00, "other"), (0x2DE0, "cyrillic"), (0x2E00, ""),
+    (0x3040, "kana"), (0x3100, "han"), (0x3130, "hangul"), (0x3190, ""), (0x31A0, "han"), (0x31F0, "kana"), (0x3200, ""), (0x3400, "han"),
+    (0x4DC0, ""), (0x4E00, "han"), (0xA000, "yi"), (0xA4D0, "other"), (0xAC00, "hangul"), (0xD7FC, ""), (0xF900, "han"), (0xFB00, "latin"),
+    (0xFB13, "armenian"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, ""), (0xFE70, "arabic"), (0xFEFF, ""), (0xFF21, "latin"), (0xFF3B, ""),
+    (0xFF41, "latin"), (0xFF5B, ""), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFDD, ""), (0x10000, "other"), (0x1F000, ""), (0x20000, "han"), (0x40000, ""),
+)
+_STARTS = np.array([a for a, _ in SCRIPTS], np.uint32)
+_NAMES = sorted({name for _, name in SCRIPTS} - {""})
+_RUN = np.array([_NAMES.index(name) if name else len(_NAMES) for _, name in SCRIPTS])
+
+
+def script_of(text: str) -> str:
+    """Script of most letters. Japanese mixes two: ``kana`` where at least a tenth of
+    its letters are. ``other`` stands for several rare scripts."""
+    if text.isascii():
+        return "latin" if any(c.isalpha() for c in text) else "none"
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    counts = np.bincount(_RUN[np.searchsorted(_STARTS, codes, "right") - 1], minlength=len(_NAMES) + 1)[:-1]
+    kana, han = _NAMES.index("kana"), _NAMES.index("han")
+    if 10 * counts[kana] >= counts[kana] + counts[han]:
+        counts[kana] += counts[han]
+        counts[han] = 0
+    return _NAMES[int(counts.argmax())] if counts.any() else "none"
 
 
 class Meter:
@@ -96,7 +116,7 @@ class Meter:
             entropy = float(-(share * np.log(share)).sum() / np.log(n)) if n > 1 else 0.0
             rows.append((len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
                          repeated(self.hasher.of(words)), n, chars / n if n else 0.0,
-                         float(self.is_byte[ids].mean()) if n else 0.0, entropy, script_of(data)))
+                         float(self.is_byte[ids].mean()) if n else 0.0, entropy, script_of(text)))
         return rows
 
 
@@ -120,32 +140,33 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """A row for each group: limits of each measure, from all documents that pass the base
-    rules; the row with a null group is that of all of them."""
+    """A row for each group of ``band`` (languages) and for each of ``script``: limits of
+    each measure, from all documents of the group that pass the base rules."""
     judged = measured.filter(~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS))
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in LEAST_WIDTH]
-    both = judged.rollup("band").agg(F.grouping("band").alias("every"), F.count("*").alias("n"), *quartiles)
+    groups = [judged.groupBy(F.col(g).alias("name")).agg(F.lit(g).alias("of"), F.count("*").alias("n"), *quartiles) for g in ("band", "script")]
     limits = []
     for m, least in LEAST_WIDTH.items():
         reach = F.greatest(F.lit(least), WIDTH * (F.col(m)[2] - F.col(m)[0]))
         limits += [(F.col(m)[1] - reach).alias(f"{m}_low"), (F.col(m)[1] + reach).alias(f"{m}_high")]
-    return both.select("band", "every", "n", *limits)
+    return groups[0].unionByName(groups[1]).select("name", "of", "n", *limits)
 
 
 def verdict(measured: DataFrame) -> DataFrame:
-    """Adds ``in_band`` and ``kept``."""
-    found = bands(measured)
-    names = [c for c in found.columns if c not in ("band", "every", "n")]
-    own = found.filter((F.col("every") == 0) & (F.col("n") >= MIN_GROUP)).select("band", *names)
-    rest = found.filter("every = 1").select(*[F.col(c).alias(f"all_{c}") for c in names])
-    rows = measured.join(own, "band", "left").join(F.broadcast(rest), how="left")  # one row
+    """Adds ``in_band`` and ``kept``. A document is judged by its language's band, else by
+    its script's, else (both small) by none."""
+    found = bands(measured).filter(F.col("n") >= MIN_GROUP)
+    names = [c for c in found.columns if c not in ("name", "of", "n")]
+    own = found.filter("of = 'band'").select(F.col("name").alias("band"), *names)
+    rest = found.filter("of = 'script' and name not in ('none', 'other')").select(F.col("name").alias("script"), *[F.col(c).alias(f"script_{c}") for c in names])
+    rows = measured.join(own, "band", "left").join(F.broadcast(rest), "script", "left")  # one row a script
     ok = F.lit(True)
     for m in LEAST_WIDTH:
-        low, high = (F.coalesce(F.col(f"{m}_{e}"), F.col(f"all_{m}_{e}")) for e in ("low", "high"))
+        low, high = (F.coalesce(F.col(f"{m}_{e}"), F.col(f"script_{m}_{e}")) for e in ("low", "high"))
         inside = (F.col(m) <= high) if m == "byte_share" else (F.col(m) >= low) if m == "entropy" else F.col(m).between(low, high)
         ok = ok & F.coalesce(inside, F.lit(True))
     rows = rows.withColumn("in_band", (F.col("n_tokens") < MIN_TOKENS) | ok)
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop(*names, *[f"all_{c}" for c in names])
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop(*names, *[f"script_{c}" for c in names])
 
 
 def judge(docs: DataFrame, name: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
