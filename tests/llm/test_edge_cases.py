@@ -125,6 +125,29 @@ def test_quality_rules_never_judge_by_another_script(spark):
     assert [(r.base_failed, r.kept) for r in quality_rules.judge(odd).filter("doc_id = 4000").collect()] == [(False, False)]
 
 
+def test_quality_rules_judge_entropy_at_any_length(spark):
+    import random
+
+    rows = [(i, prose(200 + i, (60, 150, 600, 2500)[i % 4]), "en") for i in range(80)]
+    rng = random.Random(6)
+
+    def poor(n):  # whole words, few of them; no window of 8 twice
+        few = rng.sample(prose(7, 400).split(), 5)
+        while True:
+            text = rng.choices(few, k=n)
+            if quality_rules.repeated(quality_rules.C.WordHash().of([w.encode() for w in text])) * 100 < 30 * n:
+                return " ".join(text)
+
+    bad = [(1000, poor(25), "en"), (1001, poor(150), "en"), (1002, poor(1500), "en")]
+    clean = [(2000 + n, prose(300 + n, n), "en") for n in (20, 22, 25, 30, 40)]
+    judged = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows + bad + clean, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in judged.values())
+    assert [k for k, r in judged.items() if not r.kept] == [k for k in judged if 1000 <= k < 2000]
+    ids = np.random.default_rng(1).integers(0, 300, 60_000)
+    assert abs(quality_rules.window_entropy(ids, 64) - quality_rules.window_entropy(ids[:6000], 64)) < 0.01
+    assert quality_rules.window_entropy(ids[:63], 64) is None and quality_rules.window_entropy(np.zeros(100, int), 64) == pytest.approx(0)
+
+
 def test_scripts():
     texts = {"Hello": "latin", "123 !": "none", "": "none", "Ñandú Üß": "latin", "Привет": "cyrillic", "Γειά": "greek", "שלום": "hebrew", "سلام": "arabic",
              "नदी": "devanagari", "น้ำ": "thai", "河水很长": "han", "川の水は長い": "kana", "강물": "hangul", "tiếng Việt": "latin"}

@@ -3,11 +3,14 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows. On
 top, a public vocabulary with byte fallback measures each text: characters per
 token, share of byte-fallback tokens, and entropy of the token distribution
-relative to its maximum. Rejection bands are learnt for each language (for rows
+relative to its maximum. The last is reported for the whole text, where it falls with
+length; judged is its mean over windows of 64 tokens that cover the text (of 16 tokens in
+texts shorter than 64), which has the same expectation for any length. Rejection bands are learnt for each language (for rows
 without one, for each script): around the median of all documents that pass the
 base rules, ``WIDTH`` times the spread between the quartiles on either side, and
-never narrower than ``LEAST_WIDTH``. Measures of texts with fewer than
-``MIN_TOKENS`` tokens are not judged. Only extreme texts fall outside, so plain
+never narrower than ``LEAST_WIDTH``. Bands are learnt from texts of at least
+``MIN_TOKENS`` tokens; for a shorter text of n they are wider by the root of
+``MIN_TOKENS`` / n, as its measures vary more. Only extreme texts fall outside, so plain
 ones are kept.
 
 The measures are one small row for each document, written once; the bands are
@@ -34,7 +37,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WIDTH = 5.0
-LEAST_WIDTH = {"chars_per_token": 0.15, "byte_share": 0.1, "entropy": 0.2}
+LEAST_WIDTH = {"chars_per_token": 0.15, "byte_share": 0.1, "entropy_64": 0.05, "entropy_16": 0.05}
 MIN_TOKENS = 100
 #: Languages with fewer documents are judged by the band of the document's script;
 #: scripts with fewer have no band.
@@ -42,7 +45,7 @@ MIN_GROUP = 30
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
-            "chars_per_token double, byte_share double, entropy double, script string")
+            "chars_per_token double, byte_share double, entropy double, entropy_64 double, entropy_16 double, script string")
 
 
 def repeated(hashes: np.ndarray, width: int = WINDOW) -> int:
@@ -93,6 +96,22 @@ def script_of(text: str) -> str:
     return _NAMES[int(counts.argmax())] if counts.any() else "none"
 
 
+def window_entropy(ids: np.ndarray, width: int) -> float | None:
+    """Mean entropy, relative to its maximum, of windows of ``width`` tokens: one after the
+    other, and the last ``width`` tokens if some are left. None for a shorter text."""
+    n = len(ids) // width
+    if not n:
+        return None
+    rows = ids[: n * width].reshape(n, width)
+    if n * width < len(ids):
+        rows = np.vstack([rows, ids[-width:]])
+    rows = np.sort(rows, axis=1)
+    new = np.ones(rows.shape, bool)
+    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    times = np.diff(np.append(np.flatnonzero(new), rows.size)).astype(float)
+    return float(1 - (times * np.log(times)).sum() / (rows.size * np.log(width)))
+
+
 class Meter:
     def __init__(self, name: str = VOCABULARY):
         import public_tokenizers
@@ -116,7 +135,8 @@ class Meter:
             entropy = float(-(share * np.log(share)).sum() / np.log(n)) if n > 1 else 0.0
             rows.append((len(words), chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)),
                          repeated(self.hasher.of(words)), n, chars / n if n else 0.0,
-                         float(self.is_byte[ids].mean()) if n else 0.0, entropy, script_of(text)))
+                         float(self.is_byte[ids].mean()) if n else 0.0, entropy,
+                         window_entropy(ids, 64), window_entropy(ids, 16), script_of(text)))
         return rows
 
 
@@ -140,15 +160,14 @@ def base_failed() -> Column:
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """A row for each group of ``band`` (languages) and for each of ``script``: limits of
-    each measure, from all documents of the group that pass the base rules."""
+    """A row for each group of ``band`` (languages) and for each of ``script``: middle and
+    reach of each measure, from all documents of the group that pass the base rules."""
     judged = measured.filter(~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS))
     quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(m) for m in LEAST_WIDTH]
     groups = [judged.groupBy(F.col(g).alias("name")).agg(F.lit(g).alias("of"), F.count("*").alias("n"), *quartiles) for g in ("band", "script")]
     limits = []
     for m, least in LEAST_WIDTH.items():
-        reach = F.greatest(F.lit(least), WIDTH * (F.col(m)[2] - F.col(m)[0]))
-        limits += [(F.col(m)[1] - reach).alias(f"{m}_low"), (F.col(m)[1] + reach).alias(f"{m}_high")]
+        limits += [F.col(m)[1].alias(f"{m}_mid"), F.greatest(F.lit(least), WIDTH * (F.col(m)[2] - F.col(m)[0])).alias(f"{m}_reach")]
     return groups[0].unionByName(groups[1]).select("name", "of", "n", *limits)
 
 
@@ -160,12 +179,19 @@ def verdict(measured: DataFrame) -> DataFrame:
     own = found.filter("of = 'band'").select(F.col("name").alias("band"), *names)
     rest = found.filter("of = 'script' and name not in ('none', 'other')").select(F.col("name").alias("script"), *[F.col(c).alias(f"script_{c}") for c in names])
     rows = measured.join(own, "band", "left").join(F.broadcast(rest), "script", "left")  # one row a script
+    wider = F.greatest(F.lit(1.0), F.sqrt(MIN_TOKENS / F.greatest(F.col("n_tokens"), F.lit(1))))
     ok = F.lit(True)
     for m in LEAST_WIDTH:
-        low, high = (F.coalesce(F.col(f"{m}_{e}"), F.col(f"script_{m}_{e}")) for e in ("low", "high"))
-        inside = (F.col(m) <= high) if m == "byte_share" else (F.col(m) >= low) if m == "entropy" else F.col(m).between(low, high)
+        mid, reach = (F.coalesce(F.col(f"{m}_{e}"), F.col(f"script_{m}_{e}")) for e in ("mid", "reach"))
+        low, high = mid - reach * wider, mid + reach * wider
+        if m == "byte_share":
+            inside = F.col(m) <= high
+        elif m == "chars_per_token":
+            inside = F.col(m).between(low, high)
+        else:  # the wider window, where the text has one
+            inside = (F.col(m) >= low) | ((F.col("n_tokens") >= 64) if m == "entropy_16" else F.lit(False))
         ok = ok & F.coalesce(inside, F.lit(True))
-    rows = rows.withColumn("in_band", (F.col("n_tokens") < MIN_TOKENS) | ok)
+    rows = rows.withColumn("in_band", ok)
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop(*names, *[f"script_{c}" for c in names])
 
 
