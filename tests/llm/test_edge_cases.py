@@ -167,6 +167,25 @@ def test_pii(edge, nothing):
     assert pii.find(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
 
+OPENED = {"phone: 555-123-4567 now": "555-123-4567", "Tel 0171 2345678 here": "0171 2345678", "call 555-123-4567 555-987-6543": "555-123-4567|555-987-6543",
+          "password: hunter2 ok": "hunter2", 'my Password = "letmein"': "letmein", "api_key=ab12-cd34-ef56-gh78.": "ab12-cd34-ef56-gh78",
+          "see 3f2a9c1e-77b0-4d55-9e1f-0a1b2c3d4e5f end": "3f2a9c1e-77b0-4d55-9e1f-0a1b2c3d4e5f", "Authorization: Bearer abc.DEF-9 x": "abc.DEF-9",
+          "fax: (030) 123 4567": "(030) 123 4567", "number 12 34 56 78 9 end": "12 34 56 78 9", "monkey: banana or key words": "",
+          "in 2024 and 1999, 12 34": "", "+1 555 12": "", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8": "", "abc1234567 x1234567": ""}
+
+
+def test_pii_lead_words_and_digit_groups_open_candidates(spark):
+    docs = spark.createDataFrame(list(enumerate(OPENED)), "doc_id long, text string")
+    rows = pii.candidates(pii.base(docs, "text", "doc_id")).select("doc_id", "_text", "_c").collect()
+    assert {r["_text"]: "|".join(r["_text"][c.start : c.end] for c in r["_c"]) for r in rows} == OPENED
+    lines = ["phone: 555-%03d-%04d" % (100 + i, 2000 + 37 * i) for i in range(30)] + ["Tel 0171 %07d" % (2345678 + 991 * i) for i in range(30)]
+    lines += [f"password: hunter{i}" for i in range(30)] + [f"on 2024-01-{10 + i} we met" for i in range(20)] + [f"the ratio was 100 200 {300 + i}" for i in range(30)]
+    clean = pii.redact(spark.createDataFrame([(i, f"{prose(i, 5)} {x}") for i, x in enumerate(lines)], "doc_id long, text string")).orderBy("doc_id").collect()
+    ends = [r.text.split(" ", 5)[-1] for r in clean]
+    assert ends[:90] == ["phone: [LOCAL_PHONE]"] * 30 + ["Tel [LOCAL_PHONE]"] * 30 + ["password: [SECRET]"] * 30
+    assert ends[90:] == lines[90:]
+
+
 def test_pii_many_matches_in_one_text(spark):
     text = " ".join(f"u{i}@h{i}.example.org 10.0.{i % 256}.1" for i in range(3000))
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

@@ -1,10 +1,12 @@
 """Operator 7 [native]: personal data by weak supervision.
 
 Base: four labelers with fixed patterns and checks (email, ip, card, phone); their
-spans are certain. Beyond them, candidate spans (long mixed strings such as keys,
-digit groups without a leading plus) are judged by voting labelers: a shape
-pattern, a gazetteer of lead words, the context before the span, and a
-dispersion test of the characters. The votes of all candidates are counted by
+spans are certain. Beyond them, candidate spans (long mixed strings such as keys, also
+in short runs joined by hyphens; the token that follows a lead word such as ``password``
+and its separator; bracketed or grouped phone numbers and any other 7 to 15 digits with
+separators, without a leading plus) are judged by voting labelers: a shape pattern, a
+gazetteer of lead words, the context before the span, and a dispersion test of the
+characters. The votes of all candidates are counted by
 pattern (at most 2^4 patterns a kind), expectation-maximisation over those counts
 estimates each labeler's reliability, and the resulting posteriors weigh the
 counts from which a final span classifier (naive Bayes over span features) is
@@ -44,20 +46,34 @@ PATTERNS = {
 }
 #: A text without this cannot match; spares most texts the pattern.
 SCREENS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Candidates that the labelers vote on, listed after the base kinds.
-CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+",
-    "local_phone": r"(?<![0-9+(])\([0-9]{2,4}\)\x20?[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])",
-}
-CANDIDATE_SCREENS = {"secret": r"[0-9]", "local_phone": r"\([0-9]{2,4}\)"}
-ORDER = {k: i for i, k in enumerate((*KINDS, *CANDIDATES))}
 #: Gazetteer of lead words, by kind.
 GAZETTEER = {
     "secret": ("token", "key", "secret", "password", "passwd", "apikey", "credential", "bearer"),
     "local_phone": ("phone", "tel", "telephone", "call", "mobile", "fax"),
 }
+_LEADS = "|".join(GAZETTEER["secret"])
+_LOCAL = (r"\([0-9]{2,5}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|[0-9]{3}(?:[\x20./-][0-9]{3})?[\x20./-][0-9]{4}"
+          r"|0[0-9]{2,4}[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,4}")
+#: Candidates that the labelers vote on, listed after the base kinds. Alternatives in
+#: order: for secrets the token after a lead word and its separator, one long run, runs
+#: joined by hyphens; for phones a bracketed area code, common groupings, any digits.
+CANDIDATES = {
+    "secret": r"(?<![A-Za-z0-9_])(?<=[=:][\x20\t]{0,3}[\"']?|[rR]\x20)"
+              rf"(?<=(?<![A-Za-z])(?i:{_LEADS})[\"']?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"']?|(?<![A-Za-z])(?i:bearer)\x20)"
+              r"[A-Za-z0-9_+/=.~!@#$%^&*:?-]{3,255}[A-Za-z0-9_+/=$%&*#-]"
+              r"|(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+"
+              r"|(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_]{1,15}+(?:-[A-Za-z0-9_]{1,15}+)++(?![A-Za-z0-9_-])",
+    "local_phone": r"(?<![0-9+(])\([0-9]{2,4}\)\x20?[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])"
+                   rf"|(?<![A-Za-z0-9_+.-])(?:{_LOCAL})(?![A-Za-z0-9_]|[.-][0-9])"
+                   r"|(?<![A-Za-z0-9_+])(?<![0-9+][\x20()./-]{1,2})(?![0-9]++(?:\.[0-9]++){3})\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}+(?![A-Za-z0-9_]|[\x20()./-]{1,2}[0-9])",
+}
+CANDIDATE_SCREENS = {"secret": rf"[0-9]|(?i:{_LEADS})[\"']?[\x20\t]{{0,3}}[=:\x20]", "local_phone": r"[0-9](?:[\x20()./-]{0,2}[0-9]){6}"}
+ORDER = {k: i for i, k in enumerate((*KINDS, *CANDIDATES))}
 CONTEXT = {"secret": r"[=:]\s*[\"']?$", "local_phone": r"(?:[:]|\+[0-9]{1,3})\s*$"}
 SECRET_SHAPE = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{12,}|gh[a-z]_[A-Za-z0-9]{20,}|sk_[A-Za-z0-9_]{16,})$"
+#: Tokens after a lead word may be short: letters and digits mixed.
+SHORT_SECRET_SHAPE = r"^(?=.*[A-Za-z])(?=.*[0-9])\S{6,15}$"
+LOCAL_SHAPE = rf"^(?:{_LOCAL})$"
 CONTEXT_CHARS = 24
 LABELERS = 4
 EM_ROUNDS = 50
@@ -160,10 +176,10 @@ def _voted(kind: str) -> Column:
         n = F.length(found)
         n_digits, n_kinds = F.length(_digits(found)), F.size(F.array_distinct(F.split(F.lower(found), "")))
         if kind == "secret":
-            shape = found.rlike(SECRET_SHAPE)
+            shape = found.rlike(SECRET_SHAPE) | found.rlike(SHORT_SECRET_SHAPE)
             dispersed = (n_kinds >= 8) & (n_digits * 5 >= n) & (n_digits * 10 <= n * 9)
         else:
-            shape, dispersed = n_digits.between(9, 12), n_kinds >= 6
+            shape, dispersed = found.rlike(LOCAL_SHAPE), n_kinds >= 6
         votes = (shape, lead.isin(*GAZETTEER[kind]), before.rlike(CONTEXT[kind]), dispersed)
         bits = reduce(lambda a, b: a + b, [F.when(v, 1 << j).otherwise(0) for j, v in enumerate(votes)])
         features = F.array(
