@@ -261,3 +261,24 @@ def test_quality_classifier(spark, edge, nothing):
     assert quality_classifier.judge(edge, labels.limit(0)).select("score").distinct().collect()[0][0] == 0.5
     assert quality_classifier.judge(nothing, labels).count() == 0
     assert quality_classifier.keep_good(edge, labels).columns == edge.columns
+
+
+def test_word_vectors_tell_plain_words_apart(spark):
+    import random
+
+    rng = random.Random(8)
+    makers = [sorted({w for w in prose(seed, 400).split() if len(w) > 3})[:80] for seed in (31, 32)]
+    first, second = (sorted(set(a) - set(b)) for a, b in (makers, makers[::-1]))
+    # both topics have the same shapes, lengths and shares of distinct words
+    rows, labels = [], []
+    for i in range(600):
+        topic = (first, second)[i % 2]
+        rows.append((i, " ".join(rng.choices(topic, k=60))))
+        labels += [(i, 1 - i % 2)] if i < 400 else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = quality_classifier.unit(quality_classifier.context_table(docs))
+    slots = [quality_classifier.Types().of(w)[0][0] for w in first[:20] + second[:20]]
+    cosine = table[slots] @ table[slots].T
+    assert np.median(cosine[:20, 20:]) < 0.3 < np.median(cosine[:20, :20])
+    judged = quality_classifier.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).filter("doc_id >= 400").collect()
+    assert sum((r.score > 0.5) == (r.doc_id % 2 == 0) for r in judged) >= 0.95 * len(judged)

@@ -1,13 +1,14 @@
 """Operator 6: quality classifier on random-indexing word vectors.
 
-Word vectors: every word type falls into one of ``BUCKETS`` slots by its hash and has
-a shape (its runs of upper case, lower case, digits and marks). Shapes have fixed
-random ternary index vectors; a slot's context vector is the sum of the index
-vectors of the shapes around its words, over the whole corpus. Tasks count and
-project, Spark adds the slots' integer vectors; their table has a fixed size.
-
-A document is pooled to the mean of its words' unit vectors, the mean and spread
-of its shapes' index vectors, its length and share of distinct words. A two-layer
+Word vectors: every word type falls into one of ``BUCKETS`` slots by its hash, and every
+slot has a fixed sparse ternary index vector. A first pass counts the slots; a second adds
+to each slot's context vector the index vectors of the words around it, frequent ones
+damped by the root of their share. Tasks project, Spark adds integer vectors in a table of
+fixed size; the mean context is taken off, so that what all words share does not count.
+
+A document is pooled to the damped mean and spread of its words' unit vectors, the mean
+and spread of the index vectors of its words' shapes (runs of upper case, lower case,
+digits and marks), its length and share of distinct words. A two-layer
 network in numpy is fitted on at most ``MAX_LABELLED`` labelled rows (lowest id
 hashes first), with early stopping and temperature scaling on a fifth of them.
 
@@ -34,10 +35,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BUCKETS = 4096
+BUCKETS = 1 << 17
 SHAPES = 512
 DIMENSIONS = 32
 SPAN = 2
+#: Share of all words from which a slot is damped, and the steps of a whole weight.
+FREQUENT = 1e-3
+STEPS = 64
+#: Words a task projects at a time.
+CHUNK = 50_000
 MAX_LABELLED = 20_000
 HIDDEN = 32
 KEEP_SCORE = 0.7
@@ -64,46 +70,91 @@ class Types(dict):
         return np.divmod(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), SHAPES)
 
 
-def index_vectors() -> np.ndarray:
-    """Ternary: four entries of +-1 a shape."""
+def index_vectors(rows: int = SHAPES) -> np.ndarray:
+    """Ternary: four entries of +-1 a row."""
     rng = np.random.default_rng(6)
-    out = np.zeros((SHAPES, DIMENSIONS), np.int64)
-    for row in out:
-        row[rng.choice(DIMENSIONS, 4, replace=False)] = rng.choice([-1, 1], 4)
+    places = rng.random((rows, DIMENSIONS), np.float32).argpartition(4, axis=1)[:, :4]
+    out = np.zeros((rows, DIMENSIONS), np.int64)
+    np.put_along_axis(out, places, rng.choice([-1, 1], (rows, 4)), axis=1)
     return out
 
 
-def context_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Context vectors of all slots, from all documents: BUCKETS x DIMENSIONS numbers."""
-    names = [f"c{i}" for i in range(DIMENSIONS)]
+def _rows(used: np.ndarray, columns, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, columns)], names=["slot", *names])
 
+
+def _summed(docs: DataFrame, text: str, task, names: list[str]) -> np.ndarray:
+    """Sums by slot of the whole numbers that tasks yield; at most BUCKETS rows."""
+    made = docs.select(text).mapInArrow(lambda batches: C.trimmed(task(batches)), "slot long, " + ", ".join(f"{n} long" for n in names))
+    got = made.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    out = np.zeros((BUCKETS, len(names)), np.int64)
+    for i, n in enumerate(names):
+        out[got.column("slot").to_numpy(), i] = got.column(n).to_numpy()
+    return out
+
+
+def slot_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Words of each slot in all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, near = Types(), np.zeros(BUCKETS * SHAPES, np.int64)
+        types, n = Types(), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                np.add.at(n, types.of(value.as_py())[0], 1)
+        used = np.flatnonzero(n)
+        yield _rows(used, [n[used]], ["n"])
+
+    return _summed(docs, text, count, ["n"])[:, 0]
+
+
+def weights(counts: np.ndarray) -> np.ndarray:
+    """min(1, root of FREQUENT / share), at least one step, in whole steps."""
+    share = counts / max(1, counts.sum())
+    return np.maximum(1, np.rint(STEPS * np.sqrt(FREQUENT / np.maximum(share, FREQUENT)))).astype(np.int64)
+
+
+def context_table(docs: DataFrame, text: str = "text", counts: np.ndarray | None = None) -> np.ndarray:
+    """Context vectors of all slots, from all documents, less the mean context."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights(slot_counts(docs, text) if counts is None else counts).astype(np.int32))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = Types()
+        index = index_vectors(BUCKETS).astype(np.int32) * shared.value[:, None]
+        near = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)  # the last column counts neighbours
         pending, held = [], 0
 
         def settle():
-            if pending:
-                near[:] += np.bincount(np.concatenate(pending), minlength=len(near))
+            slots = np.concatenate(pending)
+            order = np.argsort(slots[:, 0], kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(slots[order, 0]) != 0])
+            near[slots[order[starts], 0]] += np.add.reduceat(slots[order, 1:], starts, axis=0)
 
         for batch in batches:
             for value in batch.column(0):
-                slots, shapes = types.of(value.as_py())
-                for d in range(1, SPAN + 1):
-                    pending += [slots[d:] * SHAPES + shapes[:-d], slots[:-d] * SHAPES + shapes[d:]]
-                held += 2 * SPAN * len(slots)
-                if held > 1_000_000:
-                    settle()
-                    pending, held = [], 0
-        settle()
-        table = near.reshape(BUCKETS, SHAPES) @ index_vectors()
-        used = np.flatnonzero(near.reshape(BUCKETS, SHAPES).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(table[used, i]) for i in range(DIMENSIONS))], names=["slot", *names])
-
-    made = docs.select(text).mapInArrow(lambda batches: C.trimmed(count(batches)), "slot long, " + ", ".join(f"{n} long" for n in names))
-    out = np.zeros((BUCKETS, DIMENSIONS))
-    for row in made.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names]).collect():  # at most BUCKETS rows
-        out[row[0]] = row[1:]
-    return out
+                slots = types.of(value.as_py())[0]
+                for a in range(0, len(slots), CHUNK):
+                    part = slots[max(0, a - SPAN) : a + CHUNK + SPAN]
+                    around = np.zeros((len(part), DIMENSIONS + 2), np.int64)
+                    around[:, 0] = part
+                    vectors = index[part]
+                    for d in range(1, SPAN + 1):
+                        around[d:, 1:-1] += vectors[:-d]
+                        around[:-d, 1:-1] += vectors[d:]
+                        around[d:, -1] += 1
+                        around[:-d, -1] += 1
+                    first = min(a, SPAN)
+                    pending.append(around[first : first + min(CHUNK, len(slots) - a)])
+                    held += len(pending[-1])
+                    if held >= CHUNK:
+                        settle()
+                        pending, held = [], 0
+        if held:
+            settle()
+        used = np.flatnonzero(near[:, -1])
+        yield _rows(used, [near[used, i] for i in range(DIMENSIONS + 1)], names)
+
+    names = [*(f"c{i}" for i in range(DIMENSIONS)), "n"]
+    near = _summed(docs, text, project, names).astype(float)
+    return near[:, :-1] - near[:, -1:] * (near[:, :-1].sum(axis=0) / max(1.0, near[:, -1].sum()))
 
 
 def unit(table: np.ndarray) -> np.ndarray:
@@ -111,24 +162,29 @@ def unit(table: np.ndarray) -> np.ndarray:
 
 
 class Pooler:
-    """Document vectors. The mean over words equals counts of slots times the table."""
+    """Document vectors, from the slots' unit vectors and weights."""
 
-    width = 3 * DIMENSIONS + 2
+    width = 4 * DIMENSIONS + 2
 
-    def __init__(self, table: np.ndarray):
-        self.words, self.shapes, self.types = unit(table), index_vectors().astype(float), Types()
+    def __init__(self, table: tuple[np.ndarray, np.ndarray]):
+        (self.words, self.weights), self.shapes, self.types = table, index_vectors().astype(float), Types()
 
     def pool(self, text: str | None) -> np.ndarray:
         slots, shapes = self.types.of(text)
         out, n = np.zeros(self.width), len(slots)
         if n:
+            which, times = np.unique(slots, return_counts=True)
+            weight = times * self.weights[which]
+            weight = weight / weight.sum()
+            distinct = len(which)
+            parts = [(weight, self.words[which])]
             which, times = np.unique(shapes, return_counts=True)
-            share = times / n
-            mean = share @ self.shapes[which]
-            out[:DIMENSIONS] = self.words[slots].mean(axis=0)
-            out[DIMENSIONS : 2 * DIMENSIONS] = mean
-            out[2 * DIMENSIONS : 3 * DIMENSIONS] = np.sqrt(np.maximum(share @ self.shapes[which] ** 2 - mean**2, 0))
-            out[-2:] = np.log1p(n) / 10, len(np.unique(slots)) / min(n, BUCKETS)
+            parts.append((times / n, self.shapes[which]))
+            for i, (share, vectors) in enumerate(parts):
+                mean = share @ vectors
+                out[2 * i * DIMENSIONS : (2 * i + 1) * DIMENSIONS] = mean
+                out[(2 * i + 1) * DIMENSIONS : (2 * i + 2) * DIMENSIONS] = np.sqrt(np.maximum(share @ vectors**2 - mean**2, 0))
+            out[-2:] = np.log1p(n) / 10, distinct / min(n, BUCKETS)
         return out
 
 
@@ -203,8 +259,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_LABELLED):
-    """(context table, fitted model)."""
-    table = context_table(docs, text)
+    """(unit word vectors with the slots' weights, fitted model)."""
+    counts = slot_counts(docs, text)
+    table = unit(context_table(docs, text, counts)).astype(np.float32), (weights(counts) / STEPS).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
