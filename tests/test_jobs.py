@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from vulnscan.plans import fixtures as fx
 from vulnscan.plans import jobs as P
 from vulnscan.plans.registry import QUERIES
