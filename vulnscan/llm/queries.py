@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, sharding, token_count, url_filter
+from . import (
+    decontamination,
+    hard_negatives,
+    jaccard_join,
+    license_scan,
+    packing,
+    periodic_runs,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    token_count,
+    url_filter,
+)
 
 QUERIES = {
     "op1_token_count": token_count.query,
@@ -15,8 +29,12 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_sharding": sharding.query,
     "op10_url_filter": url_filter.query,
+    "op11_hard_negatives": hard_negatives.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_simhash": simhash.query,
 }
 ORACLE = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
