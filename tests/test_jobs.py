@@ -48,7 +48,7 @@ def test_entry_runs(spark):
     from vulnscan.plans.oracle import EXTRA_MEMBERS
 
     ids = [r.doc_id for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
-    want = sorted((i, n) for i in ids for n in ("Bad", "Good", *EXTRA_MEMBERS[i % len(EXTRA_MEMBERS)][1]))
+    want = sorted((i, n) for i in ids if i % 7 != 3 for n in ("Bad", "Good", *EXTRA_MEMBERS[i % len(EXTRA_MEMBERS)][1]))
     assert sorted((r.doc_id, r.name) for r in rows) == want
 
 

@@ -75,11 +75,14 @@ def re2(pattern: str) -> str:
 
 
 # Structural tokenizer for method extraction. Concatenating all matches gives
-# the input back: literals, single structural characters, maximal plain runs,
-# and any other single character.
+# the input back: literals, runs that end in an arrow, single structural characters,
+# maximal plain runs, and any other single character.
+_RUN = r"""[^{};()\[\]<>"'@$]"""
 _PARSE_TOKEN = "|".join(
-    [_IVSTR, _ISTR, _VSTR, _STR, _CHR, r"[{};()]", r"""[^{};()"'@$]+""", r"(?s:.)"]
+    [_IVSTR, _ISTR, _VSTR, _STR, _CHR, _RUN + r"*[=-]>", r"[{};()\[\]<>]", _RUN + "+", r"(?s:.)"]
 )
+ARROW = "=>"  # ends the token before an expression body
+BRACKETS = ("[", "]", "<", ">")
 LITERAL_TOKEN_RE = r"""^[@$]*["'].+"""  # a token of more than the quote is a literal
 
 # A comment, or a literal that may hold what looks like one (group 1, kept).
@@ -88,30 +91,25 @@ PARSE_TOKEN_RE, PARSE_TOKEN_RE2 = java(_PARSE_TOKEN), re2(_PARSE_TOKEN)
 LITERAL_OR_COMMENT_RE = java(_LITERAL_OR_COMMENT)
 
 _ID = r"[\p{L}_][\p{L}\p{N}_]*"
-_QID = _ID + r"(?:\." + _ID + r")*"
-_TYPE = r"(?:\([^()]*\)|" + _QID + ")"
-_PARAMS = r"\((?:[^()]|\([^()]*\))*P\)"
-
-# What a header is reduced to before it is read as a signature: (pattern, replacement)
-# in this order. Literals are masked before. Bracket groups (attributes, array ranks)
-# and type arguments go from the inside out, NESTING levels deep.
-NESTING = 4
-BRACKETS_RE = r"\[[^\[\]]*\]"
-TUPLE_ARGUMENT_RE = r"([<,] *)\([^()<>]*\)"
-TYPE_ARGUMENTS_RE = r"<[^<>()]*>"
-POINTER_RE = r"[*?]"
+_QID = _ID + r"(?:\." + _ID + r")*P"
+
+# A header is reduced to its tokens outside attributes, array ranks, type arguments and
+# parameter lists (the parentheses stay, empty); these marks go from what is left.
+HEADER_MARKS = "*?"
 
 # A method signature of a reduced header without modifiers:
-# <return type> [<interface>.]<name>(<params>) [where ...]
-_METHOD_SIG = "^" + _TYPE + " +(?:" + _ID + r"\.)*(" + _ID + ") *" + _PARAMS + "(?: +where .*)?$"
+# <return type> [<interface>.]<name>() [where ...]
+_METHOD_SIG = r"^(?:\(\)|" + _QID + ") +(?:" + _ID + r"\.)*P(" + _ID + r") *\(\)(?: +where .*)?$"
 METHOD_SIG_RE, METHOD_SIG_RE2 = java(_METHOD_SIG), re2(_METHOD_SIG)
 # A reduced header that opens a type body.
 TYPE_HEADER_RE = r"^(?:class|struct|interface|record)(?:[^\p{L}\p{N}_]|$)"
 MODIFIERS = (
     "public private protected internal static virtual override abstract sealed "
-    "async extern unsafe new readonly partial volatile const implicit explicit ref"
+    "async extern unsafe new readonly partial volatile const implicit explicit ref "
+    "file required"
 ).split()
-MODIFIERS_RE = "^(?:(?:" + "|".join(MODIFIERS) + ") +)*"
+_MODIFIERS = "^(?:(?:" + "|".join(MODIFIERS) + ") +)*P"
+MODIFIERS_RE, MODIFIERS_RE2 = java(_MODIFIERS), re2(_MODIFIERS)
 FIRST_WORD_RE = "^(" + _ID + ")"
 # A first word from this list means the header is a statement or a type.
 NOT_METHOD_WORDS = (
@@ -121,6 +119,17 @@ NOT_METHOD_WORDS = (
 ).split()
 OPERATOR_RE = r"(?:^|[^\p{L}\p{N}_])operator(?:[^\p{L}\p{N}_]|$)"
 
+# Conditional lines: the word and what follows it; the tokens of a condition, and the
+# steps that evaluate one written with 0, 1, ! = ^ & | and parentheses (equality, difference,
+# and, or as one character each): (pattern, groups before, value, groups behind).
+DIRECTIVE_RE = r"^# *(if|elif|else|endif)([^\p{L}\p{N}_].*)?$"
+CONDITION_TOKEN_RE = _ID + r"|&&|\|\||==|!=|[^ ]"
+CONDITION_OPERATORS = {"&&": "&", "||": "|", "==": "=", "!=": "^"}
+CONDITION_TEXTS = (("!0", "1"), ("!1", "0"), ("(0)", "0"), ("(1)", "1"), ("0=0", "1"), ("1=1", "1"), ("0=1", "0"), ("1=0", "0"),
+                   ("0^0", "0"), ("1^1", "0"), ("0^1", "1"), ("1^0", "1"))
+CONDITION_PAIRS = ((r"(^|[(&|])(?:0&[01]|1&0)($|[)&|])", "0"), (r"(^|[(&|])1&1($|[)&|])", "1"),
+                   (r"(^|[(|])(?:1\|[01]|0\|1)($|[)|])", "1"), (r"(^|[(|])0\|0($|[)|])", "0"))
+
 # Code tokenizer (features): newline, literals, identifiers, numbers,
 # two-character operators, any other non-space character.
 _CODE_TOKEN = "|".join(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import NEWLINE_MARKER, PROSE_KEEP_RE
 from ..session import read_table
-from .oracle import EXTRA_MEMBERS, HEADS, PROBES
+from .oracle import BRANCHES, EXTRA_MEMBERS, HEADS, METHODLESS, PROBES
 
 CRLF = "\r\n"
 
@@ -40,7 +40,8 @@ def _extra_member() -> Column:
 def code_files_from(docs: DataFrame) -> DataFrame:
     """One C# file per document: CRLF, TAB, both comment kinds, a ``//``
     inside ``/* */``, a URL comment; methods ``Bad`` and ``Good``, and one more member
-    of varying form (``EXTRA_MEMBERS``)."""
+    of varying form (``EXTRA_MEMBERS``). Every seventh file is a bare block without a
+    method, behind a byte order mark."""
     did = F.col("doc_id").cast("string")
     body = F.replace(
         F.regexp_replace("text", PROSE_KEEP_RE, ""), F.lit("\n"), F.lit(";" + CRLF + "\t")
@@ -58,7 +59,8 @@ def code_files_from(docs: DataFrame) -> DataFrame:
         _extra_member(), F.lit(CRLF),
         F.lit("}" + CRLF + "}" + CRLF),
     )
-    return docs.select("doc_id", code.alias("code"))
+    bare = F.concat(F.lit("\ufeff{" + CRLF), body, F.lit(CRLF + "}" + CRLF))
+    return docs.select("doc_id", F.when(F.expr(METHODLESS), bare).otherwise(code).alias("code"))
 
 
 def code_files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
@@ -70,6 +72,15 @@ def code_files(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFr
     return code_files_from(docs.repartition("doc_id") if spread else docs)
 
 
+def branch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived files with conditional lines of several forms before ``Good``."""
+    text = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(BRANCHES):
+        text = F.when(F.col("doc_id") % len(BRANCHES) == i, form).otherwise(text)
+    before = F.lit("private int Good()")
+    return code_files(spark, sf_dir).select("doc_id", F.replace("code", before, F.concat(text, before)).alias("code"))
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled snippet table with planted exact duplicates and NULL CWEs."""
     base = (

@@ -9,26 +9,31 @@ syntax is ``lambda x: ...``; ``('0x' || hex)::BIGINT`` parses hex.
 from __future__ import annotations
 
 from ..functions.constants import (
+    ARROW,
     BLOCK_SIZE,
-    BRACKETS_RE,
+    BRACKETS,
     CLS_TOKEN,
     CODE_TOKEN_RE2,
     COMMENT_RE,
+    CONDITION_OPERATORS,
+    CONDITION_PAIRS,
+    CONDITION_TEXTS,
+    CONDITION_TOKEN_RE,
+    DIRECTIVE_RE,
     FIRST_WORD_RE,
     FIXED_BIAS,
     FIXED_WEIGHTS,
+    HEADER_MARKS,
     HOLD_FRACTION_VAL,
     LITERAL_TOKEN_RE,
     LINE_SEPARATORS,
     METHOD_SIG_RE2,
-    MODIFIERS_RE,
-    NESTING,
+    MODIFIERS_RE2,
     NEWLINE_MARKER,
     NOT_METHOD_WORDS,
     OPERATOR_RE,
     PAD_ID,
     PARSE_TOKEN_RE2,
-    POINTER_RE,
     PROSE_KEEP_RE,
     QUALITY_F1,
     SEED,
@@ -38,8 +43,6 @@ from ..functions.constants import (
     THRESHOLD,
     TOP_LINES,
     TRAIN_FRACTION_HOLD,
-    TUPLE_ARGUMENT_RE,
-    TYPE_ARGUMENTS_RE,
     TYPE_HEADER_RE,
     UNK_ID,
     WS,
@@ -126,17 +129,22 @@ def hex_int(x: str, n: int) -> str:
 # ---------------------------------------------------------------------------
 
 _BODY = f"replace(regexp_replace(text, {q(PROSE_KEEP_RE)}, '', 'g'), chr(10), ';' || {CRLF} || chr(9))"
-# one more member in four files of five: (text, method names)
+# one more member in seven files of eight: (text, method names)
 EXTRA_MEMBERS = (
     ("", ()),
     ("int Sq(int x) => x switch { 0 => 1, _ => x };", ("Sq",)),
     ('[Route("[a]/{id}")] Task<(int a, int b)> Pair(string s = ")") { int Loc(int y) { return y; } return Loc(1); }', ("Pair",)),
     ('byte* Ptr(byte* a) { var t = $"{(a == null ? "{" : "b")}"; return a; }', ("Ptr",)),
     ("IEnumerator<int> IEnumerable<int>.GetEnumerator() => new Foo { A = 1 };", ("GetEnumerator",)),
+    ("file class In { Map<string, List<(int, Func<A<B<C<D<E[]>>>>, (int, int)>)>> Deep<T>(List<T> a) where T : new() { return null; } }", ("Deep",)),
+    ("void Host() { class In { int Held() { return 1; } } }", ("Host",)),  # a candidate inside another
+    ("bool Cmp(int a = 1 << 2, [In] int b = 3) { return a > b; } }", ("Cmp",)),  # one brace too many
 )
+# files without a method: a byte order mark and a bare block
+METHODLESS = "doc_id % 7 = 3"
 _EXTRA = "CASE " + " ".join(f"WHEN doc_id % {len(EXTRA_MEMBERS)} = {i} THEN {q(t)}" for i, (t, _) in enumerate(EXTRA_MEMBERS)) + " END"
 CODE_FILES = f"""code_files AS (
-  SELECT doc_id, concat(
+  SELECT doc_id, CASE WHEN {METHODLESS} THEN concat(chr(65279), '{{', {CRLF}, {_BODY}, {CRLF}, '}}', {CRLF}) ELSE concat(
     '/* ', source, {CRLF}, ' * // ', lang, ' */', {CRLF},
     'namespace N', {CRLF}, '{{', {CRLF},
     'class C', CAST(doc_id AS VARCHAR), {CRLF}, '{{', {CRLF},
@@ -147,9 +155,22 @@ CODE_FILES = f"""code_files AS (
     '; }}', {CRLF}, chr(9), '}}', {CRLF},
     'private int Good() {{ return ', CAST(n_chars AS VARCHAR), '; }}', {CRLF},
     {_EXTRA}, {CRLF},
-    '}}', {CRLF}, '}}', {CRLF}) AS code
+    '}}', {CRLF}, '}}', {CRLF}) END AS code
   FROM documents)"""
 
+# conditional lines before the method Good, by form; the symbols that are set; the names
+# of the methods that then stand
+BRANCHES = (
+    ("", ()),
+    ("#if DEBUG && !(LEGACY || TRACE == false)\nint Pick(int a) {\n#elif LEGACY\nint Pick(long a) {\n#else\nlong Other() {\n#endif\nreturn 1; }\n", ("Pick",)),
+    ("#if LEGACY\nvoid Old() { }\n#if DEBUG\nvoid OldDebug() { }\n#endif\n#else\n# if DEBUG != LEGACY\nvoid New() {\n# else\nvoid Plain() {\n# endif\n}\n#endif\n", ("New",)),
+    ("#region x\n#if (!OMIT) // y\nvoid Kept() { }\n#endif\n#endregion\n", ("Kept",)),
+)
+SYMBOLS = ("DEBUG", "TRACE")
+BRANCH_FILES = f"""branch_files AS (
+  SELECT doc_id, replace(code, 'private int Good()', CASE {" ".join(f"WHEN doc_id % {len(BRANCHES)} = {i} THEN {q(t)}" for i, (t, _) in enumerate(BRANCHES))} END || 'private int Good()') AS code
+  FROM code_files)"""
+
 SNIPPETS = """sn_base AS (
   SELECT c.doc_id, c.code AS Snippet, CAST(l.toxic AS INTEGER) AS Target,
          CASE WHEN c.doc_id % 3 = 0 THEN NULL
@@ -189,8 +210,8 @@ WEIGHTS = "weights AS (SELECT * FROM (VALUES " + ", ".join(
 SEPS_SQL = "(" + ", ".join(q(s) for s in LINE_SEPARATORS) + ")"
 
 
-def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+def with_ctes(*ctes: str, body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
 
 
 # ---------------------------------------------------------------------------
@@ -198,13 +219,9 @@ def with_ctes(*ctes: str, body: str) -> str:
 # ---------------------------------------------------------------------------
 
 
-def reduced(h: str) -> str:
-    for _ in range(NESTING):
-        h = f"regexp_replace({h}, {q(BRACKETS_RE)}, '', 'g')"
-    for _ in range(NESTING):
-        h = f"regexp_replace(regexp_replace({h}, {q(TUPLE_ARGUMENT_RE)}, '\\1T', 'g'), {q(TYPE_ARGUMENTS_RE)}, '', 'g')"
-    h = f"replace(regexp_replace({h}, {q(POINTER_RE)}, '', 'g'), '::', '.')"
-    return f"regexp_replace(trim({h}, {WS_SQL}), {q(MODIFIERS_RE)}, '')"
+def signature(h: str) -> str:
+    bare = f"replace(translate({h}, {q(HEADER_MARKS)}, ''), '::', '.')"
+    return f"regexp_replace(trim({bare}, {WS_SQL}), {q(MODIFIERS_RE2)}, '')"
 
 
 def is_method_signature(sig: str) -> str:
@@ -224,41 +241,44 @@ CUR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def method_ctes(src: str = "code_files", key: str = "doc_id", code: str = "code") -> list[str]:
-    """CTEs mt_tok .. mt_methods mirroring vulnscan.operators.methods."""
-    header = f"trim(substring(mtext, 1, length(mtext) - 1), {WS_SQL})"
-    masked = f"CASE WHEN regexp_matches(tok, {q(LITERAL_TOKEN_RE)}) THEN '0' ELSE tok END"
+    """CTEs mt_tok .. mt_methods; the depths are counted anew in each segment."""
+    delta = lambda a, b: f"CASE WHEN tok = '{a}' THEN 1 WHEN tok = '{b}' THEN -1 ELSE 0 END"
+    in_seg = f"OVER (PARTITION BY k, seg ORDER BY i {PREV})"
+    brackets = ", ".join(q(x) for x in BRACKETS)
+    n = len(ARROW)
     return [
         f"""mt_src AS (SELECT {key} AS k, regexp_extract_all({clean_single_line(code, True)}, {q(PARSE_TOKEN_RE2)}, 0) AS toks FROM {src})""",
         """mt_tok AS (SELECT k, unnest(toks) AS tok, unnest(range(0, len(toks))) AS i FROM mt_src)""",
         f"""mt_tok2 AS (SELECT *,
-   coalesce(sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i {PREV}), 0) AS pdepth,
+   coalesce(sum({delta('(', ')')}) OVER (PARTITION BY k ORDER BY i {PREV}), 0) AS pdepth,
    coalesce(sum(length(tok)) OVER (PARTITION BY k ORDER BY i {PREV}), 0) AS off
  FROM mt_tok)""",
         """mt_tok3 AS (SELECT *, (tok IN ('{', '}', ';') AND pdepth <= 0) AS is_delim FROM mt_tok2)""",
         f"""mt_tok4 AS (SELECT *, coalesce(sum(CASE WHEN is_delim THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i {PREV}), 0) AS seg FROM mt_tok3)""",
-        f"""mt_seg AS (SELECT k, seg, string_agg(tok, '' ORDER BY i) AS text, string_agg({masked}, '' ORDER BY i) AS mtext, min(off) AS off,
-   max(CASE WHEN is_delim THEN tok END) AS delim FROM mt_tok4 GROUP BY k, seg)""",
+        f"""mt_tok5 AS (SELECT *, coalesce(sum({delta('(', ')')}) {in_seg}, 0) AS rel FROM mt_tok4)""",
+        f"""mt_tok6 AS (SELECT *, coalesce(sum(CASE WHEN rel = 0 THEN {delta('[', ']')} END) {in_seg}, 0) AS sq,
+   coalesce(sum(CASE WHEN rel = 0 THEN {delta('<', '>')} END) {in_seg}, 0) AS ang,
+   rel = 0 AND ends_with(tok, {q(ARROW)}) AS is_arrow FROM mt_tok5)""",
+        """mt_tok7 AS (SELECT *, min(CASE WHEN is_arrow THEN i END) OVER (PARTITION BY k, seg) AS arrow FROM mt_tok6)""",
+        f"""mt_tok8 AS (SELECT *, CASE WHEN is_delim OR i > arrow OR sq <> 0 OR ang <> 0 OR tok IN ({brackets}) OR NOT (rel = 0 OR rel = 1 AND tok = ')') THEN ''
+   WHEN i = arrow THEN tok[:-{n + 1}] WHEN regexp_matches(tok, {q(LITERAL_TOKEN_RE)}) THEN '0' ELSE tok END AS piece FROM mt_tok7)""",
+        f"""mt_seg AS (SELECT k, seg, string_agg(tok, '' ORDER BY i) AS text, {signature("string_agg(piece, '' ORDER BY i)")} AS sig, min(off) AS off,
+   max(CASE WHEN is_delim THEN tok END) AS delim, max(arrow) IS NOT NULL AS has_arrow FROM mt_tok8 GROUP BY k, seg)""",
         f"""mt_lv AS (SELECT *, coalesce(sum(CASE WHEN delim = '{{' THEN 1 WHEN delim = '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seg {PREV}), 0) AS bd_before FROM mt_seg)""",
         """mt_lv2 AS (SELECT *, CASE WHEN delim = '{' THEN bd_before + 1 WHEN delim = '}' THEN bd_before END AS level FROM mt_lv)""",
         """mt_pair AS (SELECT *,
    CASE WHEN delim = '{' AND lead(delim) OVER (PARTITION BY k, level ORDER BY seg) = '}' THEN lead(seg) OVER (PARTITION BY k, level ORDER BY seg) END AS partner,
    CASE WHEN delim = '{' AND lead(delim) OVER (PARTITION BY k, level ORDER BY seg) = '}' THEN lead(off + length(text)) OVER (PARTITION BY k, level ORDER BY seg) END AS partner_stop
  FROM mt_lv2)""",
-        f"""mt_head AS (SELECT *, {header} AS h0 FROM mt_pair)""",
-        f"""mt_sig AS (SELECT * EXCLUDE (h0), contains(h0, '=>') AS has_arrow, {reduced('h0')} AS sig, {reduced("split_part(h0, '=>', 1)")} AS arrow_sig FROM mt_head)""",
-        f"""mt_role AS (SELECT k, seg, bd_before AS d, NULL::BOOLEAN AS ty, delim FROM mt_sig
- UNION ALL SELECT k, seg, level, regexp_matches(sig, {q(TYPE_HEADER_RE)}), delim FROM mt_sig WHERE delim = '{{')""",
+        f"""mt_role AS (SELECT k, seg, bd_before AS d, NULL::BOOLEAN AS ty, delim FROM mt_pair
+ UNION ALL SELECT k, seg, level, regexp_matches(sig, {q(TYPE_HEADER_RE)}), delim FROM mt_pair WHERE delim = '{{')""",
         f"""mt_ctx0 AS (SELECT *, coalesce(last_value(ty IGNORE NULLS) OVER (PARTITION BY k, d ORDER BY seg {CUR}), false) AS in_type,
    min(CASE WHEN delim = ';' AND ty IS NULL THEN seg END) OVER (PARTITION BY k, d ORDER BY seg ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS semi_end
  FROM mt_role)""",
-        """mt_ctx AS (SELECT s.*, c.in_type, c.semi_end FROM mt_sig s JOIN mt_ctx0 c ON s.k = c.k AND s.seg = c.seg AND c.ty IS NULL)""",
-        f"""mt_form AS (SELECT *,
-   coalesce(delim = '{{' AND NOT has_arrow AND partner IS NOT NULL AND {is_method_signature('sig')}, false) AS f_block,
-   coalesce(delim = '{{' AND has_arrow AND semi_end IS NOT NULL AND {is_method_signature('arrow_sig')}, false) AS f_open,
-   coalesce(delim = ';' AND {is_method_signature('arrow_sig')}, false) AS f_semi,
-   CASE WHEN delim = ';' OR has_arrow THEN arrow_sig ELSE sig END AS header FROM mt_ctx)""",
-        """mt_cand AS (SELECT *, in_type AND (f_block OR f_open OR f_semi) AS cand,
-   CASE WHEN NOT in_type THEN NULL WHEN f_semi THEN seg WHEN f_open THEN semi_end WHEN f_block THEN partner END AS cand_end FROM mt_form)""",
+        """mt_ctx AS (SELECT s.*, c.in_type, c.semi_end FROM mt_pair s JOIN mt_ctx0 c ON s.k = c.k AND s.seg = c.seg AND c.ty IS NULL)""",
+        """mt_end AS (SELECT *, CASE WHEN delim = ';' THEN seg WHEN delim = '{' AND has_arrow THEN semi_end WHEN delim = '{' THEN partner END AS stop_seg FROM mt_ctx)""",
+        f"""mt_form AS (SELECT *, sig AS header, coalesce(in_type AND stop_seg IS NOT NULL AND {is_method_signature('sig')}, false) AS cand FROM mt_end)""",
+        """mt_cand AS (SELECT *, CASE WHEN cand THEN stop_seg END AS cand_end FROM mt_form)""",
         f"""mt_kept AS (SELECT *, cand AND (max(cand_end) OVER (PARTITION BY k ORDER BY seg {PREV}) IS NULL
                          OR seg > max(cand_end) OVER (PARTITION BY k ORDER BY seg {PREV})) AS kept FROM mt_cand)""",
         f"""mt_tag AS (SELECT *,
@@ -277,6 +297,40 @@ def method_ctes(src: str = "code_files", key: str = "doc_id", code: str = "code"
     ]
 
 
+def _condition_step(e: str) -> str:
+    for text, value in CONDITION_TEXTS:
+        e = f"replace({e}, {q(text)}, {q(value)})"
+    for pattern, value in CONDITION_PAIRS:
+        e = f"regexp_replace({e}, {q(pattern)}, {q(chr(92) + '1' + value + chr(92) + '2')}, 'g')"
+    return e
+
+
+def branch_ctes(src: str, key: str = "doc_id", code: str = "code") -> list[str]:
+    """br_code(key, code): the lines that stand for SYMBOLS. Needs WITH RECURSIVE."""
+    known = ", ".join(q(x) for x in (*SYMBOLS, "true"))
+    marks = " ".join(f"WHEN t = {q(w)} THEN {q(m)}" for w, m in CONDITION_OPERATORS.items())
+    encoded = (
+        f"array_to_string(list_transform(regexp_extract_all(rest, {q(CONDITION_TOKEN_RE)}), lambda t: CASE WHEN t IN ({known}) THEN '1' "
+        f"{marks} WHEN regexp_matches(t, '^[\\p{{L}}_]') THEN '0' ELSE t END), '')"
+    )
+    return [
+        f"br_src AS (SELECT {key} AS k, {clean_lines(code)} AS ls FROM {src})",
+        "br_line AS (SELECT k, unnest(ls) AS l, unnest(range(0, len(ls))) AS i FROM br_src)",
+        f"br_word AS (SELECT *, regexp_extract(l, {q(DIRECTIVE_RE)}, 1) AS word, regexp_extract(l, {q(DIRECTIVE_RE)}, 2) AS rest FROM br_line)",
+        f"br_cond AS (SELECT DISTINCT rest, {encoded} AS e FROM br_word WHERE word IN ('if', 'elif'))",
+        f"br_eval AS (SELECT rest, e FROM br_cond UNION SELECT rest, {_condition_step('e')} FROM br_eval WHERE length(e) > 1)",
+        """br_level AS (SELECT b.*, word = 'else' OR coalesce(v.e = '1', false) AS holds, CASE WHEN word <> '' THEN
+   sum(CASE word WHEN 'if' THEN 1 WHEN 'endif' THEN -1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) + CASE WHEN word = 'endif' THEN 1 ELSE 0 END END AS lv
+ FROM br_word b LEFT JOIN (SELECT rest, e FROM br_eval WHERE e = '1') v ON b.word IN ('if', 'elif') AND v.rest = b.rest)""",
+        "br_which AS (SELECT *, sum(CASE WHEN word = 'if' THEN 1 ELSE 0 END) OVER (PARTITION BY k, lv ORDER BY i) AS wh FROM br_level)",
+        f"""br_dead AS (SELECT *, CASE WHEN word IN ('if', 'elif', 'else') AND (NOT holds
+   OR coalesce(bool_or(holds) OVER (PARTITION BY k, lv, wh ORDER BY i {PREV}), false)) THEN 1 ELSE 0 END AS dead FROM br_which)""",
+        "br_change AS (SELECT *, CASE WHEN word <> '' THEN dead - coalesce(lag(dead) OVER (PARTITION BY k, lv, wh ORDER BY i), 0) ELSE 0 END AS change FROM br_dead)",
+        "br_out AS (SELECT *, sum(change) OVER (PARTITION BY k ORDER BY i) AS out FROM br_change)",
+        f"br_code AS (SELECT k AS {key}, string_agg(l, chr(10) ORDER BY i) AS code FROM br_out WHERE out = 0 AND NOT starts_with(l, '#') GROUP BY k)",
+    ]
+
+
 # ---------------------------------------------------------------------------
 # Line attribution
 # ---------------------------------------------------------------------------

@@ -189,13 +189,23 @@ def q_brace_pairs(spark, sf):
 @register(
     "methods_per_file",
     # what the template holds, not what the rule finds
-    f"SELECT doc_id, CAST(2 + CASE WHEN doc_id % {len(O.EXTRA_MEMBERS)} > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_methods FROM documents",
+    f"SELECT doc_id, CAST(CASE WHEN {O.METHODLESS} THEN 0 WHEN doc_id % {len(O.EXTRA_MEMBERS)} > 0 THEN 3 ELSE 2 END AS BIGINT) AS n_methods FROM documents",
 )
 def q_methods_per_file(spark, sf):
     cf = fx.code_files(spark, sf)
     return M.methods_per_file(cf, M.extract_methods(cf))
 
 
+@register(
+    "active_methods",
+    O.with_ctes(*CF, O.BRANCH_FILES, *O.branch_ctes("branch_files"), *O.method_ctes("br_code"), recursive=True,
+                body="SELECT doc_id, method_idx, name, start_pos, end_pos, method FROM mt_methods"),
+)
+def q_active_methods(spark, sf):
+    """M1 with one branch of each ``#if`` (Q4), by a table of symbols."""
+    return M.extract_methods(fx.branch_files(spark, sf), symbols=O.SYMBOLS)
+
+
 # ---------------------------------------------------------------------------
 # Dataset (P1, P6, X1-X5, S4, E2)
 # ---------------------------------------------------------------------------
