@@ -4,6 +4,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from models import SEPARATORS, line_scores, mask_special, rank_lines
 from vulnscan.operators import attribution as A
@@ -111,3 +112,20 @@ def test_top_lines_split_matches_model(spark):
     got = {r.doc_id: r.vul_lines for r in A.top_lines_split(lines, chunk_rows=3).collect()}
     want = {d: ",".join(str(i) for i in rank_lines(vals)[:10]) for d, vals in enumerate(docs)}
     assert got == want
+
+
+def test_array_lines_equal_windows(spark):
+    import random
+
+    from vulnscan.functions.constants import NEWLINE_MARKER
+
+    rng = random.Random(3)
+    rows = [(k, [(rng.random() < 0.3, float(rng.randrange(4))) for _ in range(n)]) for k, n in enumerate([1, 2, 3, 5, 40, 400, 30, 7, 7, 7])]
+    arrays = spark.createDataFrame(rows, "doc_id long, t array<struct<sep:boolean,score:double>>")
+    tokens = spark.createDataFrame([(k, i, NEWLINE_MARKER if sep else "x", s) for k, t in rows for i, (sep, s) in enumerate(t)], "doc_id long, pos long, token string, score double")
+    want = {r.doc_id: r.vul_lines for r in A.ranked_top_lines(tokens, padding=False).collect()}
+    top = F.transform(A.array_top_lines(F.col("t")), lambda x: x["line_idx"].cast("string"))
+    got = {r.doc_id: r.v for r in arrays.select("doc_id", F.array_join(top, ",").alias("v")).collect()}
+    assert got == {k: want.get(k, "") for k, _ in rows}
+    nothing = spark.createDataFrame([([],), (None,)], "t array<struct<sep:boolean,score:double>>")
+    assert [r[0] for r in nothing.select(A.array_top_lines(F.col("t"))).collect()] == [None, None]

@@ -88,7 +88,8 @@ def _plan(df):
 
 
 def test_scan_plan_stays_in_jvm_and_partitioned(spark):
-    plan = _plan(P.scan_files(fx.code_files(spark, SF_SMALL), checkpoint=False))
+    plan = _plan(P.scan_files(fx.code_files(spark, SF_SMALL)))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Join") == plan.count("BroadcastHashJoin") == 1
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "SinglePartition" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -114,7 +115,7 @@ def test_every_plan_stays_in_jvm_without_pair_joins(spark):
             continue
         plan = _plan(q(spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-        if name != "score_batch_udf":
+        if name not in ("score_batch_udf", "scan_model"):
             assert not any(p in plan for p in python_nodes), name
 
 

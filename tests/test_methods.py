@@ -1,9 +1,11 @@
 """M1-M5 on hand-written C# files; S3 reading keeps BOM and CR."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
+from vulnscan.operators import directives as D
 from vulnscan.operators import methods as M
 from vulnscan.sources import io as S
 
@@ -56,6 +58,16 @@ CASES = [
     ("interface I { void A(); int B(int x); } struct S { int C() => 1; } record R(int X) { int D() { return X; } }", ["A", "B", "C", "D"]),
     ("enum E { A = F(1), B } namespace N { class C { (int, int)? Pair((int, int) p) { return p; } } }", ["Pair"]),
     ("class C { Dictionary<string, List<(int, Foo<Bar>)>> Deep() { return null; } }", ["Deep"]),
+    ("class C { " + "A<" * 50 + "int" + ">" * 50 + " Deep() { return null; } }", ["Deep"]),
+    ("class C { List<" + "(" * 40 + "int, int" + ", int)" * 40 + "> Tup(Dictionary<" + "List<" * 30 + "int" + ">" * 30 + ", (int, (int, int))> x) { } }", ["Tup"]),
+    ("public file class A { void M() { } }", ["M"]),
+    ("class C { bool Cmp(int a = 1 << 2, [In] int b = 3) { return a > b; } void N() { } }", ["Cmp", "N"]),
+    ("class C { Func<int, int> f = x => { return x; }; int[] a = { 1, 2 }; void N() { } }", ["N"]),
+    ("class C { public C(int x) : base(x) { } ~C() { } void N() { } }", ["N"]),
+    ("class C { bool operator <(C a, C b) { return true; } bool operator >(C a, C b) => false; public static implicit operator int(C c) => 1; void N() { } }", ["N"]),
+    ('class C { [A([B(1)], "]")] [C] void M() => x(y => z); }', ["M"]),
+    ("class C { int this[int i] { get { return 1; } } int P => 3; event Action E; void N() { } }", ["N"]),
+    ("class C { void M() { } } } class D { void N() { } }", ["M", "N"]),
 ]
 
 
@@ -146,3 +158,62 @@ def test_brace_pairs_match_stack_model(spark):
     for r in M.brace_pairs(files).orderBy("doc_id", "open_pos").collect():
         got[r.doc_id].append((r.level, r.open_pos, r.close_pos))
     assert got == {i: _stack_pairs(c) for i, c in enumerate(codes)}
+
+
+CONDITIONS = ["A", "!A", "A && B", "A || !B", "(A == true) && !(B || C)", "A != B", "!(A) == B", "true && false || A", "A || B && C", "!!A", "((((B))))||A",
+              "A &&", "A B", "", "A && B || C == A", "!(A && (B || !C))", "(A || B) && (C || A)", "!" * 60 + "A", "(" * 40 + "A" + ")" * 40, "&&".join("A" * 50)]
+
+
+def _truth(condition, symbols):
+    e = re.sub(r"\b[A-Za-z]+\b", lambda m: str(m[0] in symbols or m[0] == "true"), condition).replace("&&", " and ").replace("||", " or ")
+    try:
+        return bool(e.strip()) and bool(eval(re.sub(r"!(?!=)", " not ", e)))
+    except SyntaxError:
+        return False
+
+
+def test_conditions_equal_python(spark):
+    df = spark.createDataFrame([(c,) for c in CONDITIONS], "c string")
+    for symbols in ({"A"}, {"B", "C"}, set()):
+        got = {r.c: r.v for r in df.select("c", D.condition_value(F.col("c"), symbols).alias("v")).collect()}
+        assert got == {c: _truth(c, symbols) for c in CONDITIONS}
+
+
+BRANCHY = """class C {
+#if A && !(B)
+ int One(int x) {
+#elif B
+ int Two(int x) {
+#else
+ int Three(int x) {
+# if A
+ foo {
+# endif
+#endif
+ return 1; }
+ #if (!OMIT) // y
+ void Four() { }
+ #if B
+   void Five() { }
+ #else
+   void Six() { }
+ #endif
+ #endif
+ #else
+ void Seven() { }
+ string s = "a"; /* #if NEVER */
+}"""
+
+
+def test_one_branch_of_each_conditional(spark):
+    files = spark.createDataFrame(
+        [(1, BRANCHY), (2, None), (3, "class C { void M() { } }"), (4, "#if X\nclass A { void N() { } }\n"), (5, "")], "doc_id bigint, code string")
+    for symbols, want in [
+        (set(), ["Three", "Four", "Six", "Seven"]), ({"A"}, ["One", "Four", "Six", "Seven"]), ({"B"}, ["Two", "Four", "Five", "Seven"]),
+        ({"A", "B"}, ["Two", "Four", "Five", "Seven"]), ({"OMIT"}, ["Three", "Seven"]), ({"X"}, ["Three", "Four", "Six", "Seven"]),
+    ]:
+        rows = M.extract_methods(files, symbols=symbols).orderBy("doc_id", "method_idx").collect()
+        assert [r.name for r in rows if r.doc_id == 1] == want
+        assert [(r.doc_id, r.name) for r in rows if r.doc_id > 1] == [(3, "M")] + [(4, "N")] * ("X" in symbols)
+    plan = M.extract_methods(files, symbols={"A"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1

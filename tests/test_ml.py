@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vulnscan.operators import scoring as C
+from vulnscan.plans import jobs as P
 from vulnscan.session import scratch_path
 
 
@@ -56,3 +57,61 @@ def test_eval_report_keys(spark):
     r = rep.first()
     assert 0.0 <= r.eval_f1 <= 1.0 and r.eval_threshold == 0.5
     assert rep.select(F.col("eval_loss") >= 0).first()[0]
+
+
+def test_sequence_model_gives_p1_and_line_ranks(spark):
+    """A model whose scores depend on the place of a token, over files of uneven methods."""
+    def make():
+        def predict(sequences):
+            p1 = [0.9 if "bad" in s else 0.1 for s in sequences]
+            return p1, [[float(i % 3) if t != "<s>" else 9.0 for i, t in enumerate(s)] for s in sequences]
+
+        return predict
+
+    code = "class C { int Bad() { return bad; } void Ok() { } long Worse(int a, int b) { bad(); if (a > b) { b = bad; } return 1; } }"
+    files = spark.createDataFrame([(i, code) for i in range(40)] + [(99, "{ }")], "doc_id long, code string")
+    rows = P.scan_files(files, model=C.sequence_scorer(make, batch_rows=7)).collect()
+    assert {(r.name, r.vulnerable, r.p1) for r in rows} == {("Bad", 1, 0.9), ("Ok", 0, 0.1), ("Worse", 1, 0.9)}
+    assert len(rows) == 120 and all((r.vul_lines is None) == (r.vulnerable == 0) for r in rows)
+
+    tokens = {r.name: r.t for r in rows_with_tokens(spark, files)}
+    for r in rows:
+        if r.vulnerable:
+            scores = make()([tokens[r.name]])[1][0]
+            assert r.vul_lines == line_fold_of(tokens[r.name], scores)
+
+
+def line_fold_of(tokens, scores, k=10):
+    from vulnscan.functions.constants import LINE_SEPARATORS
+
+    scores = [0.0, *scores[1:-1], 0.0]
+    lines, content, total = [], 0.0, 0.0
+    for i, (t, s) in enumerate(zip(tokens, scores, strict=True)):
+        total += s
+        if t in LINE_SEPARATORS or i + 1 == len(tokens):
+            if content:
+                lines.append(total)
+            content = total = 0.0
+        else:
+            content += s
+    order = sorted(range(len(lines)), key=lambda i: (-lines[i], i))[:k]
+    return ",".join(map(str, order))
+
+
+def rows_with_tokens(spark, files):
+    from vulnscan.functions.text import clean_multi_line
+    from vulnscan.operators.features import tokenize_code, with_markers
+    from vulnscan.operators.methods import extract_methods
+
+    return extract_methods(files.filter("doc_id = 0")).select("name", with_markers(tokenize_code(clean_multi_line("method"))).alias("t")).collect()
+
+
+def test_sequence_model_must_score_every_token(spark):
+    import pytest
+
+    def make():
+        return lambda sequences: ([0.5] * len(sequences), [[0.0]] * len(sequences))
+
+    df = spark.createDataFrame([(["a", "b"],)], "t array<string>")
+    with pytest.raises(Exception, match="one score a token"):
+        df.select(C.sequence_scorer(make)(F.col("t"))).collect()

@@ -211,6 +211,46 @@ def top_lines(ranked: DataFrame, keys=("doc_id",), k: int = TOP_LINES) -> DataFr
     return top.groupBy(*keys).agg(F.array_join(lst, ",").alias("vul_lines"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, wherever a lambda refers to it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def array_top_lines(tokens: Column, k: int = TOP_LINES) -> Column:
+    """A2 (without padding), A4, A5 and A6 inside one row: ``tokens`` is an array of
+    (sep, score) in order; gives the first ``k`` lines as (line_no, line_idx, score) in
+    rank order. Lines are slices between separators, so the work is linear in the tokens
+    and needs neither a window nor a join."""
+    def masked(t: Column, n: Column) -> Column:
+        return F.transform(t, lambda x, i: F.struct(x["sep"].alias("sep"), F.when((i == 0) | (i == n - 1), 0.0).otherwise(x["score"]).alias("score")))
+
+    def bounds(t: Column, n: Column) -> Column:
+        ends = F.filter(F.transform(t, lambda x, i: F.when(x["sep"] & (i < n - 1), i)), lambda i: i.isNotNull())
+        return F.concat(F.array(F.lit(-1)), ends, F.array(n - 1))
+
+    def lines(m: Column, b: Column) -> Column:
+        def line(end: Column, j: Column) -> Column:
+            start = F.get(b, j)
+            zero = F.struct(F.lit(0.0).alias("content"), F.lit(0.0).alias("score"))
+
+            def add(a: Column, x: Column) -> Column:
+                return F.struct((a["content"] + F.when(x["sep"], 0.0).otherwise(x["score"])).alias("content"), (a["score"] + x["score"]).alias("score"))
+
+            total = F.aggregate(F.slice(m, start + 2, end - start), zero, add)
+            return _let(total, lambda s: F.struct(s["content"].alias("content"), (j + 1).cast("bigint").alias("line_no"), s["score"].alias("score")))
+
+        return F.filter(F.transform(F.slice(b, 2, F.size(b)), line), lambda x: x["content"] != 0)
+
+    def top(found: Column) -> Column:
+        order = F.array_sort(F.transform(found, lambda x, i: F.struct((-x["score"]).alias("o"), x["line_no"], i.cast("bigint").alias("line_idx"), x["score"])))
+        return F.transform(F.slice(order, 1, k), lambda x: F.struct(x["line_no"], x["line_idx"], x["score"]))
+
+    def of(t: Column) -> Column:
+        return _let(F.size(t), lambda n: _let(masked(t, n), lambda m: _let(bounds(t, n), lambda b: _let(lines(m, b), top))))
+
+    return F.when(F.size(tokens) > 0, _let(tokens, of))
+
+
 def linear_token_scores(tokens: DataFrame, weights: DataFrame, token_col: str = "token") -> DataFrame:
     """Token importance = its weight in the linear scorer, clamped at 0."""
     t = token_weights(tokens, weights, token_col)

@@ -92,6 +92,37 @@ def split_sizes(n: Column) -> tuple[Column, Column, Column]:
     return n - n_hold, n_hold - n_val, n_val
 
 
+def cut_hashes(df: DataFrame, hash_col: str, prefix_len: int = 4) -> DataFrame:
+    """One row (test_from, val_from): the hashes at which the test and the validation part
+    begin in hash order; null for an empty table. A radix selection: hashes are counted
+    by prefix, and only those of the two prefixes that hold a cut are ranked."""
+    d = df.select(F.col(hash_col).alias("_h"), F.substring(F.col(hash_col), 1, prefix_len).alias("_bucket"))
+    counts = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    # at most 16**prefix_len rows: a global window here is bounded
+    whole = Window.orderBy("_bucket")
+    before = F.coalesce(F.sum("_cnt").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("_bucket", "_cnt", before.alias("_base"), F.sum("_cnt").over(Window.partitionBy()).alias("n"))
+    n_train, n_test, _ = split_sizes(F.col("n"))
+    cuts = places.select("_bucket", "_base", "_cnt", F.explode(F.array(
+        F.struct(F.lit("test_from").alias("cut"), n_train.alias("at")), F.struct(F.lit("val_from").alias("cut"), (n_train + n_test).alias("at")))).alias("_x"))
+    cuts = cuts.select("_bucket", "_base", "_cnt", "_x.*").filter((F.col("at") >= F.col("_base")) & (F.col("at") < F.col("_base") + F.col("_cnt")))
+    in_bucket = d.join(F.broadcast(cuts), "_bucket")  # two rows
+    order = Window.partitionBy("cut").orderBy("_h")
+    ranked = in_bucket.withColumn("_rnk", F.col("_base") + F.row_number().over(order) - 1).filter(F.col("_rnk") == F.col("at"))
+    return ranked.agg(*[F.max(F.when(F.col("cut") == c, F.col("_h"))).alias(c) for c in ("test_from", "val_from")])
+
+
+def split_by_cut(df: DataFrame, seed: int = SEED, prefix_len: int = 4) -> DataFrame:
+    """X3 without ranks: the same ``row_id`` and ``split`` as ``split_exact``. A row's split is
+    a comparison of its hash with two cut hashes, which come in as scalars; rows stay where
+    they are, and only hashes and counts are exchanged. Input rows must be unique."""
+    d = df.withColumn("row_id", row_hash(df.columns, seed))
+    cuts = cut_hashes(d, "row_id", prefix_len)
+    test_from, val_from = cuts.select("test_from").scalar(), cuts.select("val_from").scalar()
+    split = F.when(F.col("row_id") < test_from, "train").when(F.col("row_id") < val_from, "test").otherwise("val")
+    return d.withColumn("split", split)
+
+
 def split_exact(df: DataFrame, seed: int = SEED, prefix_len: int = 4) -> DataFrame:
     """Exact 70/15/15 sizes in a seeded shuffled order (not stratified).
 
@@ -135,11 +166,14 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
     return df.filter(F.col("split") == split)
 
 
-def prepare_dataset(snippets: DataFrame, seed: int = SEED) -> DataFrame:
-    """Dedup on all columns, then exact split. Output: row_id, rnk, split, then the
-    columns of ``snippets``, extra ones included."""
-    s = split_exact(drop_duplicates(snippets), seed)
-    return s.select("row_id", "rnk", "split", *snippets.columns)
+def prepare_dataset(snippets: DataFrame, seed: int = SEED, rank: bool = True) -> DataFrame:
+    """Dedup on all columns, then exact split. Output: row_id, (with ``rank``) rnk,
+    split, then the columns of ``snippets``, extra ones included. The rank in the whole
+    order costs a second exchange of the rows; the split alone does not."""
+    unique = drop_duplicates(snippets)
+    if rank:
+        return split_exact(unique, seed).select("row_id", "rnk", "split", *snippets.columns)
+    return split_by_cut(unique, seed).select("row_id", "split", *snippets.columns)
 
 
 def expected_sizes(n: int) -> tuple[int, int, int]:

@@ -10,7 +10,7 @@ split by AQE).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import (
@@ -109,6 +109,28 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return stored.withColumn(name, first + place).drop("_at")
 
 
+def running_sums(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """Adds ``<column>_upto``: the sum of a whole-number column over all rows up to this
+    one in a total order. As ``global_rank``: the sums within a range partition plus those
+    of the partitions before, of which one row a partition comes to the driver."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "running")
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path).withColumn("_p", F.shiftright("_at", 33).cast("int"))
+    parts = {r[0]: r[1:] for r in stored.groupBy("_p").agg(*[F.sum(c) for c in columns]).collect()}
+    within = Window.partitionBy("_p").orderBy("_at")
+    for k, c in enumerate(columns):
+        before, total = [], 0
+        for p in range(max(parts, default=0) + 1):
+            before.append(total)
+            total += parts[p][k] if p in parts else 0
+        base = F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_p"))
+        stored = stored.withColumn(f"{c}_upto", base + F.sum(c).over(within))
+    return stored.drop("_at", "_p")
+
+
 def encode_ids(
     df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens", carry: tuple = (),
 ) -> DataFrame:

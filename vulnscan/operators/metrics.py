@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import QUALITY_F1, THRESHOLD
+from ..session import cut_lineage
+from .features import running_sums
 
 
 def _count_if(cond: Column) -> Column:
@@ -115,3 +117,33 @@ def flag_count_gate(files: DataFrame, results: DataFrame, key: str = "doc_id") -
 def join_preds_labels(preds: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pair each prediction with its label by id (not by position)."""
     return preds.join(labels, key)
+
+
+def threshold_curve(df: DataFrame, p: str = "p1", label: str = "label") -> DataFrame:
+    """(threshold, tp, fp, fn, precision, recall, f1) for every cut that changes a verdict:
+    each distinct score as a threshold (rows above it are flagged, strictly), and the one
+    below all scores, ``-inf``. Rows with a null or NaN score are never flagged.
+
+    Rows are counted by score first, so ties are one row; the counts above a score are
+    prefix sums over a range-partitioned order, not a window over all rows."""
+    y = F.when(F.col(label) == 1, 1).otherwise(0)
+    score = F.when(~F.isnan(F.col(p).cast("double")), F.col(p).cast("double"))
+    counts = df.groupBy(score.alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(y).cast("bigint").alias("pos"))
+    counts = cut_lineage(counts)
+    total = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("threshold").isNotNull(), F.col("pos"))), F.lit(0)),
+                       F.coalesce(F.sum(F.when(F.col("threshold").isNotNull(), F.col("n"))), F.lit(0))).first()
+    upto = running_sums(counts.filter("threshold is not null"), [F.asc("threshold")], ["n", "pos"])
+    lowest = df.sparkSession.createDataFrame([(float("-inf"), 0, 0)], "threshold double, n_upto long, pos_upto long")
+    cuts = lowest.unionByName(upto.select("threshold", "n_upto", "pos_upto"))
+    every, with_score, rows = (F.lit(int(x)) for x in total)
+    tp = (with_score - F.col("pos_upto")).cast("bigint")
+    fp = (rows - F.col("n_upto")).cast("bigint") - tp
+    cuts = cuts.select("threshold", tp.alias("tp"), fp.alias("fp"), (every - tp).cast("bigint").alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return cuts.select("*", precision(tp, fp).alias("precision"), recall(tp, fn).alias("recall"), f1(tp, fp, fn).alias("f1"))
+
+
+def best_threshold(df: DataFrame, p: str = "p1", label: str = "label") -> DataFrame:
+    """One row of ``threshold_curve``: the cut with the best F1 (ties: the greatest threshold)."""
+    curve = threshold_curve(df, p, label)
+    return curve.orderBy(F.desc("f1"), F.desc("threshold")).limit(1)

@@ -10,8 +10,9 @@ built once per Python worker).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,6 +149,51 @@ def batch_scorer(make_predict_fn: Callable, n_features: int, batch_size: int = 1
     )
 
 
+def sequence_scorer(make_model: Callable, batch_rows: int = 256) -> Callable[[Column], Column]:
+    """C2 for whole token sequences: a Spark function from an array of tokens to
+    (p1, scores), with one score for each token (A1: what the model attends to).
+
+    ``make_model()`` is called once per Python task and returns a function from a list of
+    token lists to (p1 of each, scores of each); it sees at most ``batch_rows`` lists at a
+    time. Lists keep their own lengths; a null array counts as an empty list. A score list
+    that is not as long as its tokens is an error, never cut or filled up."""
+    @F.pandas_udf("p1 double, scores array<double>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        for column in batches:
+            p1, scores = [], []
+            for at in range(0, len(column), batch_rows):
+                tokens = [[] if t is None else list(t) for t in column.iloc[at : at + batch_rows]]
+                p, s = model(tokens)
+                if [len(x) for x in s] != [len(t) for t in tokens] or len(p) != len(tokens):
+                    raise ValueError("the model must give one probability a sequence and one score a token")
+                p1 += [float(x) for x in p]
+                scores += [[float(y) for y in x] for x in s]
+            yield pd.DataFrame({"p1": pd.Series(p1, dtype="float64"), "scores": pd.Series(scores, dtype="object")})
+
+    return scored
+
+
+def make_numpy_sequence_model(weights=FIXED_WEIGHTS, bias: float = FIXED_BIAS):
+    """A numpy model for ``sequence_scorer``: token embeddings of one dimension, a logistic
+    head over their sum, and each token's positive share as its score."""
+    table = dict(weights)
+
+    def make():
+        import numpy as np
+
+        def predict(sequences):
+            ends = np.cumsum([len(s) for s in sequences])
+            w = np.array([table.get(t, 0.0) for s in sequences for t in s], dtype=np.float64)
+            parts = np.split(w, ends[:-1])
+            z = np.array([p.sum() for p in parts]) + bias
+            return 1.0 / (1.0 + np.exp(-z)), [np.maximum(p, 0.0) for p in parts]
+
+        return predict
+
+    return make
+
+
 def make_fixed_linear_model(vocab=tuple(t for t, _ in FIXED_WEIGHTS)):
     """A numpy model equal to the fixed linear scorer over token counts."""
     weights = dict(FIXED_WEIGHTS)

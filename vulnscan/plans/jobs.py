@@ -1,23 +1,26 @@
 """End-to-end jobs (E1-E5) and result views.
 
-E1 (scan files) plan: files are hash-partitioned by file key once; method
-extraction runs per file without further exchange and its result is
-checkpointed to the shared checkpoint folder (a stage boundary that also
-survives executor loss). Scoring explodes the tokens of each method, joins
-the bounded weight table by broadcast and sums per method; the line ranking
-runs only on tokens of flagged methods, with windows per method.
+E1 (scan files) plan: files are hash-partitioned by file key once. Everything after that
+is one pass over the methods of a file in the task that holds it: extraction, tokens,
+scores, verdict, and the ranked lines of flagged methods, which are array expressions of
+the method's own row. Scores come from a table of token weights (joined to the token
+rows, gathered again by method) or from a caller's batch model, which also gives the
+token scores that rank the lines. No checkpoint, no self-join, no further exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Collection
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FIXED_BIAS, THRESHOLD, TOP_LINES
 from ..functions.text import clean_multi_line
-from ..operators.attribution import mask_special, numbered_lines, ranked_top_lines
+from ..operators.attribution import array_top_lines, is_separator
 from ..operators.dataset import prepare_dataset, project_snippets, row_hash, select_split
 from ..operators.features import tokenize_code, with_markers
+from ..operators.fitting import fit_epochs
 from ..operators.methods import extract_methods
 from ..operators.metrics import passes_gate, report
 from ..operators.scoring import (
@@ -39,81 +42,73 @@ def scan_files(
     bias: float = FIXED_BIAS,
     threshold: float = THRESHOLD,
     line_level: bool = True,
-    checkpoint: bool = True,
     top_k: int = TOP_LINES,
+    model: Callable[[Column], Column] | None = None,
+    literal_safe: bool = False,
+    symbols: Collection[str] | None = None,
 ) -> DataFrame:
     """(key, method_idx, name, method, p1, vulnerable[, vul_lines]).
 
     ``vul_lines`` holds up to ``top_k`` line indices (comma-joined, in rank
     order) for flagged methods and NULL (the ``[None]`` of the original) for
-    the others.
-
-    Plan: methods and their token arrays are computed once (and written to
-    the checkpoint folder). Method scores are a partial-then-final sum, so
-    one small row per method crosses the shuffle. The join of methods and
-    scores fixes the partitioning by (key, method_idx); the tokens of flagged
-    methods are exploded from that result, so the ranking windows and the
-    final join need no further exchange.
+    the others. ``model`` (``scoring.sequence_scorer``) takes the place of the weight
+    table. ``literal_safe`` and ``symbols`` are those of ``extract_methods``.
     """
-    keys = [key, "method_idx"]
-    weights = weights if weights is not None else fixed_weights(files.sparkSession)
-    scored = _scored_methods(files, key, weights, bias, threshold, checkpoint)
-    out_cols = [*keys, "name", "method", "p1", "vulnerable"]
+    cols = [key, "method_idx", "name", "method", "p1", "vulnerable"]
+    scored = _scored_methods(files, key, weights, bias, threshold, model, line_level, literal_safe=literal_safe, symbols=symbols)
     if not line_level:
-        return scored.select(*out_cols)
+        return scored.select(*cols)
+    top = F.transform(array_top_lines(F.col("_scored"), top_k), lambda x: x["line_idx"].cast("string"))
+    return scored.select(*cols, F.when(F.col("vulnerable") == 1, F.array_join(top, ",")).alias("vul_lines"))
 
-    flagged = _flagged_tokens(scored, keys, weights)
-    top = ranked_top_lines(flagged, keys, padding=False, k=top_k)
-    return scored.join(top, keys, "left").select(
-        *out_cols,
-        F.when(F.col("vulnerable") == 1, F.coalesce("vul_lines", F.lit(""))).alias("vul_lines"),
-    )
 
-
-def _scored_methods(files, key, weights, bias, threshold, checkpoint) -> DataFrame:
-    """Methods with their tokens (``_toks``), p1 and verdict."""
+def _scored_methods(files, key, weights, bias, threshold, model=None, line_level=True, **reading) -> DataFrame:
+    """Methods with p1, verdict and, for ``line_level``, their tokens as (sep, score)."""
     keys = [key, "method_idx"]
     seq = with_markers(tokenize_code(clean_multi_line("method")))
-    methods = extract_methods(files, key).select(*keys, "name", "method", seq.alias("_toks"))
-    if checkpoint:
-        methods = cut_lineage(methods)
-    # outer forms: every method has its two markers, and a plain explode would
-    # repeat the tokenizing expression in an inferred filter (no checkpoint)
-    tok = token_weights(methods.select(*keys, F.explode_outer("_toks").alias("token")), weights)
-    scores = tok.groupBy(*keys).agg((F.sum("w") + F.lit(bias)).alias("_logit1"))
-    p1 = softmax_p1(F.lit(0.0), F.col("_logit1"))
-    return methods.join(scores, keys).select(
-        *keys, "name", "method", "_toks",
-        F.round(p1, 6).alias("p1"),
-        threshold_flag(p1, threshold).alias("vulnerable"),
-    )
-
-
-def _flagged_tokens(scored: DataFrame, keys: list[str], weights: DataFrame) -> DataFrame:
-    """Gate before ranking: only tokens of flagged methods are exploded and scored."""
-    flagged = scored.filter(F.col("vulnerable") == 1).select(*keys, F.posexplode_outer("_toks").alias("pos", "token"))
-    return token_weights(flagged, weights).select(
-        *keys, "pos", "token", F.greatest(F.col("w"), F.lit(0.0)).alias("score")
-    )
+    methods = extract_methods(files, key, **reading).select(*keys, "name", "method", seq.alias("_toks"))
+    if model is not None:
+        rows = methods.select("*", model(F.col("_toks")).alias("_out"))
+        p1 = F.col("_out.p1")
+        pairs = F.transform(F.arrays_zip("_toks", "_out.scores"), lambda x: F.struct(is_separator(x["_toks"]).alias("sep"), x["scores"].alias("score")))
+    else:
+        weights = weights if weights is not None else fixed_weights(files.sparkSession)
+        # the outer form: every method has its two markers, and a plain explode would
+        # repeat the tokenizing expression in an inferred filter
+        tokens = methods.select(*keys, "name", "method", F.posexplode_outer("_toks").alias("pos", "token"))
+        # the text goes with one token row only
+        head = F.when(F.col("pos") == 0, F.struct("name", "method")).alias("_head")
+        tokens = token_weights(tokens.select(*keys, "pos", "token", head), weights)
+        parts = [F.sum("w").alias("_z"), F.first("_head", ignorenulls=True).alias("_head")]
+        if line_level:
+            score = F.greatest(F.col("w"), F.lit(0.0))
+            parts.append(F.collect_list(F.struct("pos", is_separator(F.col("token")).alias("sep"), score.alias("score"))).alias("_pairs"))
+        rows = tokens.groupBy(*keys).agg(*parts).select("*", "_head.name", "_head.method")
+        p1 = softmax_p1(F.lit(0.0), F.col("_z") + F.lit(bias))
+        pairs = F.array_sort("_pairs")
+    rows = rows.select("*", p1.alias("_p1"))
+    flagged = threshold_flag(F.col("_p1"), threshold)
+    out = [*keys, "name", "method", F.round("_p1", 6).alias("p1"), flagged.alias("vulnerable")]
+    # gate before ranking: only flagged methods keep their tokens
+    return rows.select(*out, F.when(flagged == 1, pairs).alias("_scored")) if line_level else rows.select(*out)
 
 
 def scan_lines(
     files: DataFrame, key: str = "doc_id", weights: DataFrame | None = None, bias: float = FIXED_BIAS,
-    threshold: float = THRESHOLD, top_k: int = TOP_LINES, checkpoint: bool = True,
+    threshold: float = THRESHOLD, top_k: int = TOP_LINES, model: Callable[[Column], Column] | None = None,
+    literal_safe: bool = False, symbols: Collection[str] | None = None,
 ) -> DataFrame:
     """E1 by line (Q6, Q11): one row for each of the ``top_k`` lines of a flagged method:
     (key, method_idx, rank, line_no, line, score), ``line_no`` counting the lines of the
     cleaned method from 1."""
     keys = [key, "method_idx"]
-    weights = weights if weights is not None else fixed_weights(files.sparkSession)
-    scored = _scored_methods(files, key, weights, bias, threshold, checkpoint)
-    lines = numbered_lines(mask_special(_flagged_tokens(scored, keys, weights), keys, padding=False), keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("line_no"))
-    ranked = lines.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top_k)
-    text = scored.filter(F.col("vulnerable") == 1).select(*keys, F.split(clean_multi_line("method"), "\n").alias("_lines"))
-    return ranked.join(text, keys).select(
-        *keys, "rank", F.col("line_no").cast("bigint").alias("line_no"),
-        F.get("_lines", F.col("line_no").cast("int") - 1).alias("line"), "score",
+    scored = _scored_methods(files, key, weights, bias, threshold, model, literal_safe=literal_safe, symbols=symbols)
+    flagged = scored.filter(F.col("vulnerable") == 1).select(
+        *keys, F.split(clean_multi_line("method"), "\n").alias("_lines"), array_top_lines(F.col("_scored"), top_k).alias("_top"))
+    ranked = flagged.select(*keys, "_lines", F.posexplode("_top").alias("_i", "_x"))
+    return ranked.select(
+        *keys, (F.col("_i") + 1).cast("bigint").alias("rank"), "_x.line_no",
+        F.get("_lines", (F.col("_x.line_no") - 1).cast("int")).alias("line"), "_x.score",
     )
 
 
@@ -178,7 +173,7 @@ def score_snippets(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def _scored_split(snippets: DataFrame, split: str, threshold: float) -> DataFrame:
-    ds = select_split(prepare_dataset(snippets), split)
+    ds = select_split(prepare_dataset(snippets, rank=False), split)
     s = score_texts(ds, ["row_id", "Target"], "Snippet", threshold=threshold)
     return s.withColumn("label", F.col("Target")).withColumn(
         "loss", row_log_loss(F.col("logit0"), F.col("logit1"), F.col("label"))
@@ -203,7 +198,7 @@ def evaluate_test(snippets: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 def labelled_tokens(snippets: DataFrame) -> DataFrame:
     """(row_id, split, label, tokens) of the prepared data set, written once."""
-    ds = prepare_dataset(snippets)
+    ds = prepare_dataset(snippets, rank=False)
     return cut_lineage(ds.select(
         "row_id", "split", F.col("Target").alias("label"),
         tokenize_code(clean_multi_line("Snippet")).alias("tokens"),
@@ -215,6 +210,11 @@ def train_best(rows: DataFrame):
     return train_classifier(select_split(rows, "train"), select_split(rows, "val"), ["row_id"])
 
 
+def fit_best(rows: DataFrame, **settings):
+    """C1 + C7 by gradient descent: (model, history), validated on the val split each epoch."""
+    return fit_epochs(select_split(rows, "train"), select_split(rows, "val"), **settings)
+
+
 def train_and_eval(snippets: DataFrame, threshold: float = THRESHOLD):
     """Train on 'train', keep the best model, report on 'val'. Returns
     (model, report DataFrame)."""

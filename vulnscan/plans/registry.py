@@ -19,6 +19,7 @@ from ..functions.constants import FIXED_BIAS
 from ..operators import attribution as A
 from ..operators import dataset as X
 from ..operators import features as FT
+from ..operators import fitting as FI
 from ..operators import methods as M
 from ..operators import metrics as G
 from ..operators import scoring as C
@@ -281,6 +282,12 @@ def q_split_select(spark, sf):
     return X.select_split(ds, "test").select("row_id", "rnk", "Target", "CWE")
 
 
+@register("split_by_cut", _sql(_DS, "SELECT row_id, split, Snippet, Target, CWE FROM dataset"))
+def q_split_by_cut(spark, sf):
+    """X3 and E2 without ranks: no exchange of rows after the deduplication."""
+    return X.prepare_dataset(fx.snippets(spark, sf), rank=False)
+
+
 @register("prepare_dataset", _sql(_DS, "SELECT row_id, rnk, split, Snippet, Target, CWE FROM dataset"))
 def q_prepare_dataset(spark, sf):
     return X.prepare_dataset(fx.snippets(spark, sf))
@@ -561,6 +568,88 @@ def q_best_model(spark, sf):
     return kept.select("alpha", F.round("f1", 6).alias("f1"))
 
 
+FIT = dict(slots=4096, epochs=6, rate=4.0, decay=1e-4, patience=2)
+
+
+def _fit_ctes() -> list[str]:
+    """ft_hist and ft_pred: the fit written out epoch by epoch."""
+    e, rate, decay = FIT["epochs"], FIT["rate"], FIT["decay"]
+    ctes = [
+        f"ex_tok AS (SELECT row_id, split, CASE WHEN Target = 1 THEN 1 ELSE 0 END AS y, {O.tokenize_code(O.clean_multi_line('Snippet'))} AS toks FROM dataset)",
+        f"""ft_cnt AS (SELECT row_id, {O.hex_int('md5(token)', 8)} % {FIT['slots']} AS slot, CAST(count(*) AS DOUBLE) AS c
+ FROM (SELECT row_id, unnest(toks) AS token FROM ex_tok) t GROUP BY ALL)""",
+        """ft_x AS MATERIALIZED (SELECT row_id, slot, c / sqrt(sum(c * c) OVER (PARTITION BY row_id)) AS x FROM ft_cnt
+ UNION ALL SELECT row_id, -1, 1.0 FROM ex_tok)""",
+        "ft_y AS MATERIALIZED (SELECT row_id, split, y FROM ex_tok WHERE split <> 'test')",
+        "ft_n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM ft_y WHERE split = 'train')",
+        "ft_w0 AS MATERIALIZED (SELECT DISTINCT slot, 0.0::DOUBLE AS w FROM ft_x)",
+    ]
+    for i in range(e + 1):
+        ctes.append(f"""ft_p{i} AS MATERIALIZED (SELECT y.row_id, y.split, y.y, sum(x.x * w.w) AS z FROM ft_y y JOIN ft_x x USING (row_id) JOIN ft_w{i} w USING (slot) GROUP BY ALL)""")
+        ctes.append(f"""ft_w{i + 1} AS MATERIALIZED (SELECT w.slot, w.w - {rate} * (coalesce(g.g, 0) / (SELECT n FROM ft_n) + CASE WHEN w.slot >= 0 THEN {decay} ELSE 0 END * w.w) AS w
+ FROM ft_w{i} w LEFT JOIN (SELECT x.slot, sum((1 / (1 + exp(-p.z)) - p.y) * x.x) AS g FROM ft_p{i} p JOIN ft_x x USING (row_id) WHERE p.split = 'train' GROUP BY x.slot) g USING (slot))""")
+    ctes.append("ft_all AS (" + " UNION ALL ".join(f"SELECT {i} AS epoch, * FROM ft_p{i}" for i in range(e + 1)) + ")")
+    flag = "1 / (1 + exp(-z)) > 0.5"
+    ctes += [
+        f"""ft_m AS (SELECT epoch, avg(ln(1 + exp(z)) - y * z) FILTER (split = 'train') AS train_loss, avg(ln(1 + exp(z)) - y * z) FILTER (split = 'val') AS val_loss,
+   count(*) FILTER (split = 'val' AND y = 1 AND {flag}) AS tp, count(*) FILTER (split = 'val' AND (y = 1) <> ({flag})) AS wrong FROM ft_all GROUP BY epoch)""",
+        "ft_run AS (SELECT *, min(val_loss) OVER (ORDER BY epoch) AS least FROM ft_m)",
+        "ft_age AS (SELECT *, epoch - max(CASE WHEN val_loss = least THEN epoch END) OVER (ORDER BY epoch) AS age FROM ft_run)",
+        f"""ft_hist AS (SELECT epoch, train_loss, val_loss, {O.div('2 * tp', '2 * tp + wrong')} AS val_f1 FROM ft_age
+ WHERE epoch <= coalesce((SELECT min(epoch) FROM ft_age WHERE age >= {FIT['patience']}), {e}))""",
+        "ft_best AS (SELECT epoch FROM ft_hist ORDER BY val_f1 DESC, epoch LIMIT 1)",
+        "ft_pred AS (SELECT row_id, y, z, 1 / (1 + exp(-z)) AS p1 FROM ft_all WHERE split = 'val' AND epoch = (SELECT epoch FROM ft_best))",
+    ]
+    return ctes
+
+
+_FT_CTES = _DS + _fit_ctes()
+
+
+@register("fit_history", _sql(_FT_CTES, """SELECT CAST(epoch AS INTEGER) AS epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss,
+   round(val_f1, 6) AS val_f1, epoch = (SELECT epoch FROM ft_best) AS best FROM ft_hist"""))
+def q_fit_history(spark, sf):
+    """Losses and F1 of every epoch of the iterative fit, the kept one marked."""
+    _, history = P.fit_best(P.labelled_tokens(fx.snippets(spark, sf)), **FIT)
+    return history.select("epoch", *[F.round(c, 6).alias(c) for c in ("train_loss", "val_loss", "val_f1")], "best")
+
+
+@register("fit_predict", _sql(_FT_CTES, f"SELECT row_id, CAST(y AS INTEGER) AS label, round(p1, 6) AS p1, {O.threshold_flag('p1')} AS pred FROM ft_pred"))
+def q_fit_predict(spark, sf):
+    rows = P.labelled_tokens(fx.snippets(spark, sf))
+    model, _ = P.fit_best(rows, **FIT)
+    val = FI.apply_hashed(model, X.select_split(rows, "val"), ["row_id", "label"])
+    return val.select("row_id", F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), F.round("p1", 6).alias("p1"), C.threshold_flag(F.col("p1")).alias("pred"))
+
+
+_TC_CTES = [
+    O.PREDS,
+    "tc_s AS (SELECT p1 AS threshold, count(*) AS n, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos FROM tied GROUP BY p1)",
+    """tc_u AS (SELECT threshold, sum(n) OVER (ORDER BY threshold) AS n_upto, sum(pos) OVER (ORDER BY threshold) AS pos_upto FROM tc_s
+ UNION ALL SELECT '-inf'::DOUBLE, 0, 0)""",
+    """tc_c AS (SELECT threshold, CAST((SELECT sum(pos) FROM tc_s) - pos_upto AS BIGINT) AS tp,
+   CAST((SELECT sum(n) FROM tc_s) - n_upto - (SELECT sum(pos) FROM tc_s) + pos_upto AS BIGINT) AS fp, CAST(pos_upto AS BIGINT) AS fn FROM tc_u)""",
+    f"tc AS (SELECT *, {O.div('tp', 'tp + fp')} AS precision, {O.div('tp', 'tp + fn')} AS recall, {O.div('2 * tp', '2 * tp + fp + fn')} AS f1 FROM tc_c)",
+]
+# scores in 64ths, so that there are ties
+_TC_CTES.insert(1, "tied AS (SELECT floor(p1 * 64) / 64 AS p1, label FROM preds)")
+
+
+def _tied(spark, sf) -> DataFrame:
+    return fx.preds(spark, sf).select((F.floor(F.col("p1") * 64) / 64).alias("p1"), "label")
+
+
+@register("threshold_curve", _sql(_TC_CTES, "SELECT threshold, tp, fp, fn, precision, recall, f1 FROM tc"))
+def q_threshold_curve(spark, sf):
+    """Precision, recall and F1 of every threshold."""
+    return G.threshold_curve(_tied(spark, sf))
+
+
+@register("best_threshold", _sql(_TC_CTES, "SELECT threshold, tp, fp, fn, precision, recall, f1 FROM tc ORDER BY f1 DESC, threshold DESC LIMIT 1"))
+def q_best_threshold(spark, sf):
+    return G.best_threshold(_tied(spark, sf))
+
+
 @register("threshold_flag", _sql([O.PREDS], f"SELECT doc_id, {O.threshold_flag('p1')} AS pred FROM preds"))
 def q_threshold_flag(spark, sf):
     return fx.preds(spark, sf).select("doc_id", C.threshold_flag(F.col("p1")).alias("pred"))
@@ -806,6 +895,12 @@ def q_scan_files(spark, sf):
     return _scan(spark, sf)
 
 
+@register("scan_model", _sql(_SCAN_CTES, "SELECT doc_id, method_idx, name, method, p1, vulnerable, vul_lines FROM scan"))
+def q_scan_model(spark, sf):
+    """C2 -> A1 -> E1: a numpy model gives the probability and the token scores."""
+    return _scan(spark, sf, model=C.sequence_scorer(C.make_numpy_sequence_model()))
+
+
 _CLEAN_LINES = O.clean_multi_line("m.method")
 
 

@@ -38,9 +38,8 @@ def start_scan_stream(
     files = _with_key(reader.load(src_dir))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        # the batch's methods are written to the checkpoint folder once and
-        # read by the scoring and ranking branches (no recomputation)
-        out = scan_files(batch, key=KEY, checkpoint=True)
+        # one pass, nothing written besides the sink
+        out = scan_files(batch, key=KEY)
         out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     writer = files.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
