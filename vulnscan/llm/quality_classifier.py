@@ -51,23 +51,58 @@ _KINDS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"
 _RUN = re.compile(rb"([^Aa0])\1+")
 
 
-class Types(dict):
-    """Slot and shape of each word as slot * SHAPES + shape; a bounded cache."""
+#: Each byte as the mark of its kind; what is no letter or digit stays itself.
+_KIND_TABLE = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
+CACHED = 200_000
+
+
+class Slots(dict):
+    """Slot of each word; a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        shape = word
+        if len(self) >= CACHED:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word.translate(C.FOLD_TABLE)) % BUCKETS
+        return value
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = C.space_words(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+class Shapes(dict):
+    """Shape of a word given as the kinds of its bytes; a bounded cache, as words of equal
+    kinds share an entry."""
+
+    def __missing__(self, kinds: bytes) -> int:
+        shape = kinds
         for pattern, mark in _KINDS:
             shape = pattern.sub(mark, shape)
         shape = _RUN.sub(rb"\1+", shape)[:16]
-        value = (xxhash.xxh3_64_intdigest(word.translate(C.FOLD_TABLE)) % BUCKETS) * SHAPES + xxhash.xxh3_64_intdigest(shape) % SHAPES
-        if len(self) >= 100_000:
+        if len(self) >= CACHED:
+            self.clear()
+        self[kinds] = value = xxhash.xxh3_64_intdigest(shape) % SHAPES
+        return value
+
+
+class Types(dict):
+    """Slot and shape of each word as slot * SHAPES + shape; a bounded cache."""
+
+    def __init__(self):
+        super().__init__()
+        self.shapes = Shapes()
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED:
             self.clear()
-        self[word] = value
+        slot = xxhash.xxh3_64_intdigest(word.translate(C.FOLD_TABLE)) % BUCKETS
+        self[word] = value = slot * SHAPES + self.shapes[word.translate(_KIND_TABLE)]
         return value
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = C.space_words(text)
-        return np.divmod(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), SHAPES)
+        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return both // SHAPES, both % SHAPES
 
 
 def index_vectors(rows: int = SHAPES) -> np.ndarray:
@@ -96,10 +131,17 @@ def _summed(docs: DataFrame, text: str, task, names: list[str]) -> np.ndarray:
 def slot_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Words of each slot in all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, n = Types(), np.zeros(BUCKETS, np.int64)
+        slots, n = Slots(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
+            pending, held = [], 0
             for value in batch.column(0):
-                np.add.at(n, types.of(value.as_py())[0], 1)
+                pending.append(slots.of(value.as_py()))
+                held += len(pending[-1])
+                if held >= 4 * CHUNK:
+                    n += np.bincount(np.concatenate(pending), minlength=BUCKETS)
+                    pending, held = [], 0
+            if held:
+                n += np.bincount(np.concatenate(pending), minlength=BUCKETS)
         used = np.flatnonzero(n)
         yield _rows(used, [n[used]], ["n"])
 
@@ -117,33 +159,34 @@ def context_table(docs: DataFrame, text: str = "text", counts: np.ndarray | None
     shared = docs.sparkSession.sparkContext.broadcast(weights(slot_counts(docs, text) if counts is None else counts).astype(np.int32))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = Types()
-        index = index_vectors(BUCKETS).astype(np.int32) * shared.value[:, None]
+        words = Slots()
+        index = (index_vectors(BUCKETS) * shared.value[:, None]).astype(np.int16)  # at most STEPS; sums of 2 * SPAN fit
         near = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)  # the last column counts neighbours
         pending, held = [], 0
 
         def settle():
-            slots = np.concatenate(pending)
-            order = np.argsort(slots[:, 0], kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(slots[order, 0]) != 0])
-            near[slots[order[starts], 0]] += np.add.reduceat(slots[order, 1:], starts, axis=0)
+            slots, around, count = (np.concatenate(x) for x in zip(*pending, strict=True))
+            order = np.argsort(slots.astype(np.int32), kind="stable")
+            slots = slots[order]
+            starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+            near[slots[starts], :-1] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int32)
+            near[slots[starts], -1] += np.add.reduceat(count[order], starts, dtype=np.int64)
 
         for batch in batches:
             for value in batch.column(0):
-                slots = types.of(value.as_py())[0]
+                slots = words.of(value.as_py())
                 for a in range(0, len(slots), CHUNK):
                     part = slots[max(0, a - SPAN) : a + CHUNK + SPAN]
-                    around = np.zeros((len(part), DIMENSIONS + 2), np.int64)
-                    around[:, 0] = part
                     vectors = index[part]
+                    around, count = np.zeros_like(vectors), np.zeros(len(part), np.int16)
                     for d in range(1, SPAN + 1):
-                        around[d:, 1:-1] += vectors[:-d]
-                        around[:-d, 1:-1] += vectors[d:]
-                        around[d:, -1] += 1
-                        around[:-d, -1] += 1
-                    first = min(a, SPAN)
-                    pending.append(around[first : first + min(CHUNK, len(slots) - a)])
-                    held += len(pending[-1])
+                        around[d:] += vectors[:-d]
+                        around[:-d] += vectors[d:]
+                        count[d:] += 1
+                        count[:-d] += 1
+                    own = slice(min(a, SPAN), min(a, SPAN) + min(CHUNK, len(slots) - a))
+                    pending.append((part[own], around[own], count[own]))
+                    held += len(part[own])
                     if held >= CHUNK:
                         settle()
                         pending, held = [], 0
