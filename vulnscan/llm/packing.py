@@ -52,6 +52,9 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 #: Letters (a-z and the Latin-1 ones, which normalisation leaves apart from their case),
 #: and marks after them, at which the tokenizer always splits.
 _WORD = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%$&#*|]*)")
+#: One such mark between a letter and white space is a word of its own, so that a word is
+#: learnt once and not with every mark behind it.
+_MARK = re.compile(rb"[.,;:!?%$&#*|](?<=[a-z].)(?=\s)")
 
 
 class Encoder:
@@ -100,7 +103,7 @@ def _words(text: str | bytes | None) -> list[bytes]:
     if isinstance(data, str):
         data = data.encode()
     # the tokenizer ignores case, but for its special tokens
-    return (data if b"<|" in data else data.translate(C.FOLD_TABLE)).split()
+    return (data if b"<|" in data else _MARK.sub(rb" \g<0>", data.translate(C.FOLD_TABLE))).split()
 
 
 class Packer:
