@@ -39,9 +39,11 @@ MAX_REPEAT_PERCENT = 30
 WIDTH = 5.0
 LEAST_WIDTH = {"chars_per_token": 0.15, "byte_share": 0.1, "entropy_64": 0.05, "entropy_16": 0.05}
 MIN_TOKENS = 100
-#: Languages with fewer documents are judged by the band of the document's script;
-#: scripts with fewer have no band.
-MIN_GROUP = 30
+#: A group's band counts as much as this many documents of the band behind it: that of
+#: the script for a language; for a script, its own, as much wider as it has few.
+SHRINK = 30
+#: Bands beyond this number are joined by a shuffle instead of a broadcast.
+MAX_BROADCAST_BANDS = 100_000
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, "
@@ -172,17 +174,28 @@ def bands(measured: DataFrame) -> DataFrame:
 
 
 def verdict(measured: DataFrame) -> DataFrame:
-    """Adds ``in_band`` and ``kept``. A document is judged by its language's band, else by
-    its script's, else (both small) by none."""
-    found = bands(measured).filter(F.col("n") >= MIN_GROUP)
-    names = [c for c in found.columns if c not in ("name", "of", "n")]
-    own = found.filter("of = 'band'").select(F.col("name").alias("band"), *names)
+    """Adds ``in_band`` and ``kept``. A document is judged by its language's band, drawn
+    towards that of its script by how few documents the language has; one of no group with
+    a band by none. No count switches a rule on or off."""
+    found = C.stored(bands(measured), "quality-bands")
+    sides = [F.broadcast if found.count() <= MAX_BROADCAST_BANDS else (lambda x: x)] * 2
+    names = ["n", *(c for c in found.columns if c not in ("name", "of", "n"))]
+    own = found.filter("of = 'band'").select(F.col("name").alias("band"), *[F.col(c).alias(f"own_{c}") for c in names])
     rest = found.filter("of = 'script' and name not in ('none', 'other')").select(F.col("name").alias("script"), *[F.col(c).alias(f"script_{c}") for c in names])
-    rows = measured.join(own, "band", "left").join(F.broadcast(rest), "script", "left")  # one row a script
+    rows = measured.join(sides[0](own), "band", "left").join(sides[1](rest), "script", "left")
+    share = F.col("own_n") / (F.col("own_n") + SHRINK)
+    few = lambda n: 1 + SHRINK / F.col(n)
+
+    def drawn(own_value: Column, script_value: Column, alone: Column) -> Column:
+        both = F.coalesce(share, F.lit(0.0)) * F.coalesce(own_value, F.lit(0.0)) + (1 - F.coalesce(share, F.lit(0.0))) * script_value
+        return F.coalesce(both, alone)
+
     wider = F.greatest(F.lit(1.0), F.sqrt(MIN_TOKENS / F.greatest(F.col("n_tokens"), F.lit(1))))
     ok = F.lit(True)
     for m in LEAST_WIDTH:
-        mid, reach = (F.coalesce(F.col(f"{m}_{e}"), F.col(f"script_{m}_{e}")) for e in ("mid", "reach"))
+        own_reach, script_reach = F.col(f"own_{m}_reach"), F.col(f"script_{m}_reach") * few("script_n")
+        mid = drawn(F.col(f"own_{m}_mid"), F.col(f"script_{m}_mid"), F.col(f"own_{m}_mid"))
+        reach = drawn(own_reach, script_reach, own_reach * few("own_n"))
         low, high = mid - reach * wider, mid + reach * wider
         if m == "byte_share":
             inside = F.col(m) <= high
@@ -192,7 +205,7 @@ def verdict(measured: DataFrame) -> DataFrame:
             inside = (F.col(m) >= low) | ((F.col("n_tokens") >= 64) if m == "entropy_16" else F.lit(False))
         ok = ok & F.coalesce(inside, F.lit(True))
     rows = rows.withColumn("in_band", ok)
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop(*names, *[f"script_{c}" for c in names])
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop(*[f"{g}_{c}" for g in ("own", "script") for c in names])
 
 
 def judge(docs: DataFrame, name: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
