@@ -52,15 +52,18 @@ GAZETTEER = {
     "local_phone": ("phone", "tel", "telephone", "call", "mobile", "fax"),
 }
 _LEADS = "|".join(GAZETTEER["secret"])
+#: A lead word and its separator; what follows is a value, in quotes or up to white space.
+_LEAD = rf"(?<![A-Za-z])(?i:{_LEADS})[\"']?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}"
 _LOCAL = (r"\([0-9]{2,5}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}|[0-9]{3}(?:[\x20./-][0-9]{3})?[\x20./-][0-9]{4}"
           r"|0[0-9]{2,4}[\x20./-][0-9]{3,4}[\x20.-]?[0-9]{3,4}")
 #: Candidates that the labelers vote on, listed after the base kinds. Alternatives in
-#: order: for secrets the token after a lead word and its separator, one long run, runs
-#: joined by hyphens; for phones a bracketed area code, common groupings, any digits.
+#: order: for secrets the quoted value or the token, of any length, after a lead word and
+#: its separator, one long run, runs joined by hyphens; for phones a bracketed area code, common groupings, any digits.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_])(?<=[=:][\x20\t]{0,3}[\"']?|[rR]\x20)"
-              rf"(?<=(?<![A-Za-z])(?i:{_LEADS})[\"']?[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"']?|(?<![A-Za-z])(?i:bearer)\x20)"
-              r"[A-Za-z0-9_+/=.~!@#$%^&*:?-]{3,255}[A-Za-z0-9_+/=$%&*#-]"
+    "secret": rf"(?<=[\"'])(?<={_LEAD}[\"'])[^\"'\r\n]{{4,}}+(?=[\"'])"
+              r"|(?<![A-Za-z0-9_])(?<=[=:][\x20\t]{0,3}[\"']?|[rR]\x20)"
+              rf"(?<={_LEAD}[\"']?|(?<![A-Za-z])(?i:bearer)\x20)"
+              r"[A-Za-z0-9_+/=.~!@#$%^&*:?-]{3,}[A-Za-z0-9_+/=$%&*#-]"
               r"|(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+"
               r"|(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_]{1,15}+(?:-[A-Za-z0-9_]{1,15}+)++(?![A-Za-z0-9_-])",
     "local_phone": r"(?<![0-9+(])\([0-9]{2,4}\)\x20?[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])"
@@ -69,7 +72,7 @@ CANDIDATES = {
 }
 CANDIDATE_SCREENS = {"secret": rf"[0-9]|(?i:{_LEADS})[\"']?[\x20\t]{{0,3}}[=:\x20]", "local_phone": r"[0-9](?:[\x20()./-]{0,2}[0-9]){6}"}
 ORDER = {k: i for i, k in enumerate((*KINDS, *CANDIDATES))}
-CONTEXT = {"secret": r"[=:]\s*[\"']?$", "local_phone": r"(?:[:]|\+[0-9]{1,3})\s*$"}
+CONTEXT = {"secret": r"(?:[=:]\s*[\"']?|bearer )$", "local_phone": r"(?:[:]|\+[0-9]{1,3})\s*$"}
 SECRET_SHAPE = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{12,}|gh[a-z]_[A-Za-z0-9]{20,}|sk_[A-Za-z0-9_]{16,})$"
 #: Tokens after a lead word may be short: letters and digits mixed.
 SHORT_SECRET_SHAPE = r"^(?=.*[A-Za-z])(?=.*[0-9])\S{6,15}$"
