@@ -113,7 +113,7 @@ def _annotator(index):
                 words = C.alnum_words(text)
                 spans, items = known.find(words, hasher.of(words))
                 spans = merged(spans)
-                rows.append((len(words), sum(e - s for s, e in spans), len(items), _digest(items),
+                rows.append((len(words), sum(e - s for s, e in spans), len(items - {None}), _digest(items),
                              [{"start": s, "end": e} for s, e in spans]))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "spans"])
 
@@ -155,21 +155,25 @@ def hits_by_join(docs, benchmark, window, doc_id, text, item_id, item_text, keep
     def words(column):
         return F.array_remove(F.split(C.fold(F.col(column)), C.ALNUM_SEPARATORS), "")
 
+    def window_at(width):
+        return lambda i: F.array_join(F.slice("_w", i + 1, width), " ")
+
     def window_rows(df, widths, *cols):
         made = []
         for width in widths:
             n = F.size("_w") - (width - 1)
             at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-            made.append(df.select(*cols, F.explode(at).alias("pos"), "_w", F.lit(width).alias("width"))
-                        .select(*cols, "pos", "width", F.array_join(F.slice("_w", F.col("pos") + 1, width), " ").alias("key")))
+            # the windows' own words, not the text's, go with each place
+            keys = F.transform(at, window_at(width))
+            made.append(df.select(*cols, F.posexplode(keys).alias("pos", "key"), F.lit(width).alias("width")).select(*cols, "pos", "width", "key"))
         out = made[0]
         for m in made[1:]:
             out = out.unionByName(m)
         return out
 
-    items = benchmark.select(F.col(item_id).alias("_item"), words(item_text).alias("_w"))
+    items = benchmark.select(F.col(item_id).alias("_item"), words(item_text).alias("_w")).withColumn("_n", F.size("_w"))
     widths = range(1, window + 1)
-    known = window_rows(items, widths, "_item", F.size("_w").alias("_n").alias("_n"))
+    known = window_rows(items, widths, "_item", "_n")
     known = known.filter(F.col("width") == F.least(F.col("_n"), F.lit(window))).select("_item", "width", "key").distinct()
     used = [r[0] for r in known.select("width").distinct().collect()]  # at most `window` rows
     if not used:
@@ -229,7 +233,7 @@ dw AS (
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT doc_id, i, dw.k, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+it AS (SELECT doc_id, count(item_id) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
        FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
