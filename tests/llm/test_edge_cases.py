@@ -277,7 +277,7 @@ def test_word_vectors_tell_plain_words_apart(spark):
         labels += [(i, 1 - i % 2)] if i < 400 else []
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     table = quality_classifier.unit(quality_classifier.context_table(docs))
-    slots = [quality_classifier.Types().of(w)[0][0] for w in first[:20] + second[:20]]
+    slots = [quality_classifier.word_slot(w.encode()) for w in first[:20] + second[:20]]
     cosine = table[slots] @ table[slots].T
     assert np.median(cosine[:20, 20:]) < 0.3 < np.median(cosine[:20, :20])
     judged = quality_classifier.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).filter("doc_id >= 400").collect()

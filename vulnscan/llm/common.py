@@ -13,6 +13,8 @@ import gc
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,22 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """All words between ASCII white space of a column of texts: the place of each word in
+    the list of distinct ones, that list, and the number of words of each text. So a
+    batch looks each distinct word up once."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    found = lists.flatten().dictionary_encode()
+    codes = found.indices.to_numpy(zero_copy_only=False)
+    distinct = found.dictionary.cast(pa.binary()).to_pylist()
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in distinct:  # white space at either end leaves an empty word
+        keep = codes != distinct.index(b"")
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        codes, sizes = codes[keep], np.bincount(of[keep], minlength=len(sizes))
+    return codes, distinct, sizes
+
+
 class WordHash(dict):
     """64-bit hashes of words. A cache of bounded size, safe to lose."""
 
@@ -167,3 +185,25 @@ class WordIds:
             made[total:] = end
             out.append(made)
         return out
+
+    def by_code(self, codes: np.ndarray, distinct: list[bytes], sizes: np.ndarray, end: int) -> list[np.ndarray]:
+        """As ``ids``, for the words of ``word_codes``."""
+        new = [w for w in distinct if w not in self.places]
+        if len(self.places) + len(new) > self.limit and self.places:
+            self._clear()
+            new = distinct
+        if new:
+            self._learn(new)
+        at = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[codes]
+        n = self.count[at]
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(upto) else 0
+        # ids of a text end where those of its last word end, and one place later for each text before
+        bounds = np.concatenate([[0], upto])[np.cumsum(sizes)]
+        made = np.empty(total + len(sizes), np.uint32)
+        ends = bounds + np.arange(len(sizes))
+        made[ends] = end
+        own = np.ones(len(made), bool)
+        own[ends] = False
+        made[own] = self.flat[np.repeat(self.first[at] - (upto - n), n) + np.arange(total)]
+        return np.split(made, ends[:-1] + 1) if len(ends) else []

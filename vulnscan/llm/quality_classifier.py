@@ -42,8 +42,9 @@ SPAN = 2
 #: Share of all words from which a slot is damped, and the steps of a whole weight.
 FREQUENT = 1e-3
 STEPS = 64
-#: Words a task projects at a time.
-CHUNK = 50_000
+#: Texts whose words a task numbers at a time, and words that it projects at a time.
+ROWS = 1024
+CHUNK = 250_000
 MAX_LABELLED = 20_000
 HIDDEN = 32
 KEEP_SCORE = 0.7
@@ -56,18 +57,21 @@ _KIND_TABLE = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or
 CACHED = 200_000
 
 
+def word_slot(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word.translate(C.FOLD_TABLE)) % BUCKETS
+
+
 class Slots(dict):
     """Slot of each word; a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.translate(C.FOLD_TABLE)) % BUCKETS
+        self[word] = value = word_slot(word)
         return value
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = C.space_words(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, distinct: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
 
 
 class Shapes(dict):
@@ -95,14 +99,16 @@ class Types(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED:
             self.clear()
-        slot = xxhash.xxh3_64_intdigest(word.translate(C.FOLD_TABLE)) % BUCKETS
-        self[word] = value = slot * SHAPES + self.shapes[word.translate(_KIND_TABLE)]
+        self[word] = value = word_slot(word) * SHAPES + self.shapes[word.translate(_KIND_TABLE)]
         return value
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = C.space_words(text)
-        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return both // SHAPES, both % SHAPES
+    def of(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Slots and shapes of the words of each text."""
+        codes, distinct, sizes = C.word_codes(texts)
+        both = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
+        slots, shapes = (both // SHAPES)[codes], (both % SHAPES)[codes]
+        ends = np.cumsum(sizes)[:-1]
+        return list(zip(np.split(slots, ends), np.split(shapes, ends), strict=True)) if len(sizes) else []
 
 
 def index_vectors(rows: int = SHAPES) -> np.ndarray:
@@ -133,15 +139,9 @@ def slot_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, n = Slots(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            pending, held = [], 0
-            for value in batch.column(0):
-                pending.append(slots.of(value.as_py()))
-                held += len(pending[-1])
-                if held >= 4 * CHUNK:
-                    n += np.bincount(np.concatenate(pending), minlength=BUCKETS)
-                    pending, held = [], 0
-            if held:
-                n += np.bincount(np.concatenate(pending), minlength=BUCKETS)
+            for at in range(0, batch.num_rows, ROWS):
+                codes, distinct, _ = C.word_codes(batch.column(0).slice(at, ROWS))
+                np.add.at(n, slots.of(distinct), np.bincount(codes, minlength=len(distinct)))
         used = np.flatnonzero(n)
         yield _rows(used, [n[used]], ["n"])
 
@@ -160,38 +160,32 @@ def context_table(docs: DataFrame, text: str = "text", counts: np.ndarray | None
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Slots()
-        index = (index_vectors(BUCKETS) * shared.value[:, None]).astype(np.int16)  # at most STEPS; sums of 2 * SPAN fit
-        near = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)  # the last column counts neighbours
-        pending, held = [], 0
-
-        def settle():
-            slots, around, count = (np.concatenate(x) for x in zip(*pending, strict=True))
-            order = np.argsort(slots.astype(np.int32), kind="stable")
-            slots = slots[order]
-            starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
-            near[slots[starts], :-1] += np.add.reduceat(around[order], starts, axis=0, dtype=np.int32)
-            near[slots[starts], -1] += np.add.reduceat(count[order], starts, dtype=np.int64)
-
+        # the row behind the last is no word's: it stands between texts
+        index = np.zeros((BUCKETS + 1, DIMENSIONS + 1), np.int16)
+        index[:BUCKETS, :-1] = index_vectors(BUCKETS) * shared.value[:, None]  # at most STEPS; sums of 2 * SPAN fit
+        index[:BUCKETS, -1] = 1  # counts neighbours
+        near = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                slots = words.of(value.as_py())
+            for at in range(0, batch.num_rows, ROWS):
+                codes, distinct, sizes = C.word_codes(batch.column(0).slice(at, ROWS))
+                places = np.arange(len(codes)) + SPAN * np.repeat(np.arange(len(sizes)), sizes)
+                slots = np.full(len(codes) + SPAN * len(sizes), BUCKETS)
+                slots[places] = words.of(distinct)[codes]
                 for a in range(0, len(slots), CHUNK):
                     part = slots[max(0, a - SPAN) : a + CHUNK + SPAN]
                     vectors = index[part]
-                    around, count = np.zeros_like(vectors), np.zeros(len(part), np.int16)
+                    around = np.zeros_like(vectors)
                     for d in range(1, SPAN + 1):
                         around[d:] += vectors[:-d]
                         around[:-d] += vectors[d:]
-                        count[d:] += 1
-                        count[:-d] += 1
                     own = slice(min(a, SPAN), min(a, SPAN) + min(CHUNK, len(slots) - a))
-                    pending.append((part[own], around[own], count[own]))
-                    held += len(part[own])
-                    if held >= CHUNK:
-                        settle()
-                        pending, held = [], 0
-        if held:
-            settle()
+                    part, around = part[own], around[own]
+                    order = np.argsort(part, kind="stable")
+                    part = part[order]
+                    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                    sums = np.add.reduceat(around[order], starts, axis=0, dtype=np.int32)
+                    known = part[starts] < BUCKETS
+                    near[part[starts[known]]] += sums[known]
         used = np.flatnonzero(near[:, -1])
         yield _rows(used, [near[used, i] for i in range(DIMENSIONS + 1)], names)
 
@@ -212,8 +206,12 @@ class Pooler:
     def __init__(self, table: tuple[np.ndarray, np.ndarray]):
         (self.words, self.weights), self.shapes, self.types = table, index_vectors().astype(float), Types()
 
-    def pool(self, text: str | None) -> np.ndarray:
-        slots, shapes = self.types.of(text)
+    def pool(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text."""
+        found = [v for at in range(0, len(texts), ROWS) for v in self.types.of(pa.array(texts[at : at + ROWS], pa.string()))]
+        return np.array([self._pooled(*v) for v in found]).reshape(-1, self.width)
+
+    def _pooled(self, slots: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         out, n = np.zeros(self.width), len(slots)
         if n:
             which, times = np.unique(slots, return_counts=True)
@@ -239,7 +237,7 @@ def _pooling(table):
     def made(batches):
         pooler = Pooler(table.value)
         for texts in batches:
-            yield pd.Series([pooler.pool(t).tolist() for t in texts])
+            yield pd.Series(pooler.pool(texts.tolist()).tolist(), dtype="object")
 
     return pooled.asNondeterministic()
 
@@ -325,8 +323,7 @@ def scorer(table, model):
     def made(batches):
         pooler = Pooler(table.value)
         for texts in batches:
-            x = np.array([pooler.pool(t) for t in texts]).reshape(-1, pooler.width)
-            yield pd.Series(np.round(model.score(x), 9))
+            yield pd.Series(np.round(model.score(pooler.pool(texts.tolist())), 9))
 
     return score.asNondeterministic()
 
