@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _WORD = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?%$&#*|]*)")
 #: One such mark between a letter and white space is a word of its own, so that a word is
 #: learnt once and not with every mark behind it.
-_MARK = re.compile(rb"[.,;:!?%$&#*|](?<=[a-z].)(?=\s)")
+_MARK = r"([a-z])([.,;:!?%$&#*|])([ \t\n\v\f\r])"
 
 
 class Encoder:
@@ -93,17 +94,16 @@ class Encoder:
         alone = dict(zip(rest, self._ids(rest), strict=True))
         return [alone[w] if not m else known[m[1]] + alone[m[2]] if m[2] else known[m[1]] for w, m in zip(words, found, strict=True)]
 
-    def encode(self, texts: list[str | bytes | None]) -> list[np.ndarray]:
-        """Ids of each text (as such or in UTF-8), with the end id."""
-        return self.words.ids([_words(t) for t in texts], [END_ID])
-
-
-def _words(text: str | bytes | None) -> list[bytes]:
-    data = text or b""
-    if isinstance(data, str):
-        data = data.encode()
-    # the tokenizer ignores case, but for its special tokens
-    return (data if b"<|" in data else _MARK.sub(rb" \g<0>", data.translate(C.FOLD_TABLE))).split()
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
+        texts = pc.fill_null(texts, "")
+        # the tokenizer ignores case, but for its special tokens
+        special = pc.match_substring(texts, "<|")
+        plain = pc.if_else(special, "", pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        out = self.words.by_code(*C.word_codes(pc.replace_substring_regex(plain, _MARK, r"\1 \2\3")), END_ID)
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.words.ids([texts[i].as_py().encode().split()], [END_ID])[0]
+        return out
 
 
 class Packer:
@@ -208,7 +208,7 @@ def pack(docs: DataFrame, name: str = VOCABULARY, doc_id: str = "doc_id", text:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     packer.add(key, ids)
                 if len(packer.rows) >= 4096:
                     yield _batch(packer.drain())
