@@ -48,7 +48,8 @@ def threshold_flag(p1: Column, threshold: float = THRESHOLD) -> Column:
 
 
 def fixed_weights(spark) -> DataFrame:
-    return spark.createDataFrame(list(FIXED_WEIGHTS), "token string, w double")
+    """The fixed table; of so few rows that its joins are broadcast joins from the start."""
+    return F.broadcast(spark.createDataFrame(list(FIXED_WEIGHTS), "token string, w double"))
 
 
 # ---------------------------------------------------------------------------
