@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = set(E.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) <= names and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "jaccard_join", "decontamination", "pii", "packing"]
 
