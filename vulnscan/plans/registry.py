@@ -1001,6 +1001,7 @@ def q_text_checksums(spark, sf):
 # These write to (and read back from) the shared checkpoint folder.
 # ---------------------------------------------------------------------------
 
+from ..sources import csv_blocks as CB  # noqa: E402
 from ..sources import io as S  # noqa: E402
 from ..streaming import scan_stream as ST  # noqa: E402
 
@@ -1076,6 +1077,14 @@ def q_src_csv_roundtrip(spark, sf):
     return S.read_snippets(spark, path)
 
 
+@register("src_csv_blocks", _sql(SN, "SELECT Snippet, Target, CWE FROM snippets"))
+def q_src_csv_blocks(spark, sf):
+    """S1 by blocks: the snippets written as CSV and read again, each file by many tasks."""
+    path = scratch_path(spark, "snippets-csv")
+    S.write_snippets_csv(X.project_snippets(fx.snippets(spark, sf)), path)
+    return CB.read_snippets_blocks(spark, path)
+
+
 @register(
     "sink_splits",
     _sql(_DS, "SELECT row_id, rnk, split, Snippet, Target, CWE FROM dataset"),

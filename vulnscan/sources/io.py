@@ -15,20 +15,19 @@ from ..functions.text import decode_utf8
 SNIPPET_SCHEMA = "Snippet string, Target int, CWE string"
 
 
-def read_snippets(spark: SparkSession, path: str, schema: str = SNIPPET_SCHEMA) -> DataFrame:
-    """Labelled snippet CSV, columns taken by name (in any order; others are kept
-    as strings after them). Fails if a named column is missing or a value does not fit
-    its type. Snippets hold newlines and quotes, so the reader needs ``multiLine`` and
-    ``escape='"'`` (RFC 4180 doubling); such a file is read by one task, so convert
-    large ones to Parquet on ingest."""
-    df = (
+def csv_reader(spark: SparkSession):
+    """A reader of snippet CSVs: header, line breaks in values, quotes doubled (RFC 4180)."""
+    return (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
     )
+
+
+def columns_by_name(df: DataFrame, schema: str, path: str) -> DataFrame:
+    """The columns of ``schema`` in their types, the others as strings after them."""
     named = [c.split() for c in schema.split(",")]
     missing = [n for n, _ in named if n not in df.columns]
     if missing:
@@ -37,6 +36,15 @@ def read_snippets(spark: SparkSession, path: str, schema: str = SNIPPET_SCHEMA)
     return df.select(*[F.col(n).cast(t).alias(n) for n, t in named], *extra)
 
 
+def read_snippets(spark: SparkSession, path: str, schema: str = SNIPPET_SCHEMA) -> DataFrame:
+    """Labelled snippet CSV, columns taken by name (in any order; others are kept
+    as strings after them). Fails if a named column is missing or a value does not fit
+    its type. Snippets hold newlines and quotes, so the reader needs ``multiLine`` and
+    ``escape='"'`` (RFC 4180 doubling); such a file is read by one task. Large files:
+    ``csv_blocks.read_snippets_blocks``."""
+    return columns_by_name(csv_reader(spark).csv(path), schema, path)
+
+
 def write_snippets_csv(df: DataFrame, path: str) -> None:
     """CSV in the same dialect ``read_snippets`` reads. The writer trims
     leading and trailing whitespace of every value by default, which would
