@@ -10,6 +10,7 @@ digits where summation order could matter.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1003,6 +1004,7 @@ def q_text_checksums(spark, sf):
 
 from ..sources import csv_blocks as CB  # noqa: E402
 from ..sources import io as S  # noqa: E402
+from ..streaming import changes as CH  # noqa: E402
 from ..streaming import scan_stream as ST  # noqa: E402
 
 
@@ -1139,3 +1141,26 @@ def q_stream_scan(spark, sf):
     )
     key = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id")  # of the folder
     return out.select(key, "method_idx", "name", "method", "p1", "vulnerable", "vul_lines")
+
+
+@register(
+    "scan_changed_files",
+    _sql(
+        CF,
+        "SELECT doc_id, 'added' AS change, md5(code) AS md5 FROM code_files UNION ALL "
+        "SELECT doc_id, 'deleted', md5(code) FROM code_files WHERE doc_id % 7 = 0 UNION ALL "
+        "SELECT doc_id, 'changed', md5(code || chr(10) || '// v2') FROM code_files WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0",
+    ),
+)
+def q_scan_changed_files(spark, sf):
+    """S5 + S7: two snapshots of the code files, the second without every 7th file and with
+    every 5th changed; the log of changes, whose added and changed files are scanned."""
+    names = ("snapshots", "change-sink", "change-ckpt")
+    folder, sink, ckpt = (scratch_path(spark, n) for n in names)
+    files = fx.code_files(spark, sf).withColumn("path", F.col("doc_id").cast("string"))
+    edited = F.when(F.col("doc_id") % 5 == 0, F.concat("code", F.lit("\n// v2"))).otherwise(F.col("code"))
+    second = files.filter("doc_id % 7 <> 0").withColumn("code", edited)
+    for day, snapshot in enumerate((files, second), 1):
+        CH.append_snapshot(snapshot, folder, datetime(2024, 1, day))
+        log = CH.run_change_scan(spark, folder, sink, ckpt)
+    return log.select(F.col("path").cast("bigint").alias("doc_id"), "change", "md5")
