@@ -77,6 +77,8 @@ def run_change_scan(spark: SparkSession, folder: str, sink: str, checkpoint: str
         changes = f"{sink}/changes/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(changes)
         to_scan = spark.read.schema(CHANGE).parquet(changes).filter("change <> 'deleted' and code is not null")
+        if batch_id > 0 and to_scan.isEmpty():  # the first batch leaves a folder with the columns
+            return
         scan_files(to_scan.select("path", "code"), key="path").write.mode("overwrite").parquet(f"{sink}/scans/batch_id={batch_id}")
 
     snapshots = spark.readStream.schema(SNAPSHOT).parquet(folder)
