@@ -103,8 +103,8 @@ def test_parquet_scan_prunes_columns(spark):
 
 # Queries that write or train while being built; their plans are checked elsewhere.
 _EAGER = {
-    "src_code_files", "file_manifest", "decode_utf8", "src_csv_roundtrip", "sink_splits",
-    "stream_scan", "train_classifier", "train_and_eval", "model_roundtrip", "fit_history", "fit_predict",
+    "src_code_files", "file_manifest", "decode_utf8", "src_csv_roundtrip", "src_csv_blocks", "sink_splits",
+    "stream_scan", "scan_changed_files", "train_classifier", "train_and_eval", "model_roundtrip", "fit_history", "fit_predict",
 }
 
 
