@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import HOLD_FRACTION_VAL, SEED, TRAIN_FRACTION_HOLD
+from ..session import pin_rows, place_of, scratch_path
 
 FIELD_SEP = "\x1f"
 SNIPPET_COLS = ("Snippet", "Target", "CWE")
@@ -58,11 +59,85 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def row_group(cols) -> Column:
+    """A 64-bit hash that equal rows share (NULLs, NaNs and both zeros compare equal)."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 (hex) over all columns, each with its length before it and NULL as ``-``, so
+    rows of one digest are equal. Equal rows may differ in it (0.0 and -0.0): that only
+    sends them to the full comparison."""
+    def part(field):
+        c = F.col(f"`{field.name}`")
+        nested = field.dataType.typeName() in ("array", "struct")
+        text = F.to_json(c) if nested else c.cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.sha2(F.concat(*[part(f) for f in df.schema.fields]).cast("binary"), 256)
+
+
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Keep one row of every group of equal rows."""
+    """Keep one row of every group of equal rows. Whole rows are exchanged: for tables
+    of short rows; for long texts see ``drop_duplicates_in_place``."""
     return df.dropDuplicates()
 
 
+def drop_duplicates_in_place(df: DataFrame, group=row_group) -> DataFrame:
+    """X2 without moving rows: keep one row of every group of equal rows (NULLs compare equal).
+
+    Rows are written once and stay in place. Only (hash, digest, place) is exchanged: a
+    hash group whose rows agree in the digest keeps its first place. Rows of groups with
+    one hash and several digests (a collision of hashes, or equal values spelt
+    differently) are unsure: they alone are moved and compared whole. Which rows of a part
+    are kept or unsure goes back to the part as two bits a row. ``group`` maps column
+    names to the hash.
+
+    An empty table stays empty; columns of map type cannot be compared, as in Spark.
+    """
+    spark, cols = df.sparkSession, df.columns
+    digest = row_digest(df)
+    digests = [F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint").alias(name) for at, name in ((1, "_d1"), (17, "_d2"))]
+    rows = pin_rows(df.select("*", group(cols).alias("_h"), *digests))
+    groups = rows.groupBy("_h").agg(
+        F.min("_row").alias("_row"),
+        ((F.min("_d1") != F.max("_d1")) | (F.min("_d2") != F.max("_d2"))).alias("_mixed"),
+    )
+    first = groups.filter(~F.col("_mixed")).select("_row")
+    unsure = rows.select("_row", "_h").join(groups.filter("_mixed").select("_h"), "_h", "left_semi").select("_row")
+    path = scratch_path(spark, "kept-rows")
+    row_bits(rows, {"_kept": first, "_unsure": unsure}).write.parquet(path)
+    bits = spark.read.parquet(path)
+    marked = rows.join(bits, "_part").withColumn("_n", place_of("_row")[1])
+    kept = marked.filter(has_bit("_kept", "_n")).select(*cols)
+    if bits.filter(F.exists("_unsure", lambda w: w != 0)).isEmpty():
+        return kept
+    return kept.unionByName(marked.filter(has_bit("_unsure", "_n")).select(*cols).dropDuplicates())
+
+
+def row_bits(rows: DataFrame, marks: dict[str, DataFrame]) -> DataFrame:
+    """For each part of pinned rows, one row (_part, and for each mark an array of longs):
+    bit ``n % 64`` of entry ``n // 64`` tells whether row ``n`` of the part is marked."""
+    def words(marked: DataFrame, name: str | None) -> DataFrame:
+        part, number = place_of("_row")
+        bit = F.expr("shiftleft(1L, CAST(_n % 64 AS INT))")
+        placed = marked.select(part.alias("_part"), number.alias("_n"))
+        return placed.select("_part", F.shiftright("_n", 6).alias("_word"), *[
+            (bit if m == name else F.lit(0).cast("long")).alias(m) for m in marks])
+
+    table = words(rows, None)  # every word occurs, so entries are found by their place
+    for name, marked in marks.items():
+        table = table.unionAll(words(marked, name))
+    table = table.groupBy("_part", "_word").agg(*[F.bit_or(m).alias(m) for m in marks])
+    in_order = F.array_sort(F.collect_list(F.struct("_word", *marks)))
+    return table.groupBy("_part").agg(in_order.alias("_all")).select(
+        "_part", *[F.col("_all").getField(m).alias(m) for m in marks])
+
+
+def has_bit(words: str, n: str) -> Column:
+    return F.expr(f"bit_get(get({words}, CAST(shiftright({n}, 6) AS INT)), CAST({n} % 64 AS INT)) = 1")
+
+
 def exact_rank(df: DataFrame, hash_col: str, prefix_len: int = 4) -> DataFrame:
     """0-based rank of every row in ``hash_col`` order, plus the row count
     ``n``, without a single-partition window over the rows."""
@@ -117,9 +192,8 @@ def split_by_cut(df: DataFrame, seed: int = SEED, prefix_len: int = 4) -> DataFr
     a comparison of its hash with two cut hashes, which come in as scalars; rows stay where
     they are, and only hashes and counts are exchanged. Input rows must be unique."""
     d = df.withColumn("row_id", row_hash(df.columns, seed))
-    cuts = cut_hashes(d, "row_id", prefix_len)
-    test_from, val_from = cuts.select("test_from").scalar(), cuts.select("val_from").scalar()
-    split = F.when(F.col("row_id") < test_from, "train").when(F.col("row_id") < val_from, "test").otherwise("val")
+    cuts = cut_hashes(d, "row_id", prefix_len).select(F.struct("test_from", "val_from")).scalar()
+    split = F.when(F.col("row_id") < cuts["test_from"], "train").when(F.col("row_id") < cuts["val_from"], "test").otherwise("val")
     return d.withColumn("split", split)
 
 
@@ -166,11 +240,12 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
     return df.filter(F.col("split") == split)
 
 
-def prepare_dataset(snippets: DataFrame, seed: int = SEED, rank: bool = True) -> DataFrame:
+def prepare_dataset(snippets: DataFrame, seed: int = SEED, rank: bool = True, in_place: bool = False) -> DataFrame:
     """Dedup on all columns, then exact split. Output: row_id, (with ``rank``) rnk,
     split, then the columns of ``snippets``, extra ones included. The rank in the whole
-    order costs a second exchange of the rows; the split alone does not."""
-    unique = drop_duplicates(snippets)
+    order costs a second exchange of the rows; the split alone does not. ``in_place``
+    removes duplicates without an exchange of rows (``drop_duplicates_in_place``)."""
+    unique = drop_duplicates_in_place(snippets) if in_place else drop_duplicates(snippets)
     if rank:
         return split_exact(unique, seed).select("row_id", "rnk", "split", *snippets.columns)
     return split_by_cut(unique, seed).select("row_id", "split", *snippets.columns)

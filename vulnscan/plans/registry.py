@@ -242,6 +242,11 @@ def q_drop_duplicates(spark, sf):
     return X.drop_duplicates(fx.snippets(spark, sf))
 
 
+@register("drop_duplicates_in_place", _sql(SN, "SELECT DISTINCT Snippet, Target, CWE FROM snippets"))
+def q_drop_duplicates_in_place(spark, sf):
+    return X.drop_duplicates_in_place(fx.snippets(spark, sf))
+
+
 @register("split_exact", _sql(_DS, "SELECT row_id, rnk, split FROM dataset"))
 def q_split_exact(spark, sf):
     return X.prepare_dataset(fx.snippets(spark, sf)).select("row_id", "rnk", "split")
@@ -289,6 +294,12 @@ def q_split_by_cut(spark, sf):
     return X.prepare_dataset(fx.snippets(spark, sf), rank=False)
 
 
+@register("split_in_place", _sql(_DS, "SELECT row_id, split, Snippet, Target, CWE FROM dataset"))
+def q_split_in_place(spark, sf):
+    """E2 with both steps in place: hashes, places and counts are exchanged, no text."""
+    return X.prepare_dataset(fx.snippets(spark, sf), rank=False, in_place=True)
+
+
 @register("prepare_dataset", _sql(_DS, "SELECT row_id, rnk, split, Snippet, Target, CWE FROM dataset"))
 def q_prepare_dataset(spark, sf):
     return X.prepare_dataset(fx.snippets(spark, sf))

@@ -7,7 +7,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -93,3 +94,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lost executor does not force recomputation of the whole lineage."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Buckets of a pinned table for each shuffle partition: parts fall into buckets by hash,
+#: so a few more buckets than tasks keep them apart. Spark allows 100,000.
+BUCKETS_PER_PARTITION = 4
+MAX_BUCKETS = 100_000
+
+
+def pin_rows(df: DataFrame) -> DataFrame:
+    """The rows, written once to the scratch folder, with ``_part`` (the task that wrote the
+    row) and ``_row`` (a long, unique and fixed from then on; ``_part`` is its upper part).
+
+    The table is bucketed by ``_part``, which each task's rows share, so writing moves no
+    row, and a join on ``_part`` leaves the rows where they are: only the other side is
+    exchanged. Spark learns the layout through a table name, which is dropped again; the
+    files stay.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "pinned")
+    table = f"pinned_{uuid.uuid4().hex}"
+    buckets = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    placed.write.format("parquet").bucketBy(buckets, "_part").option("path", path).saveAsTable(table)
+    pinned = spark.table(table).select(*placed.columns)
+    spark.sql(f"DROP TABLE {table}")
+    return pinned
+
+
+def place_of(row: Column | str) -> tuple[Column, Column]:
+    """(``_part``, number of the row in its part from 0) of a ``_row`` column."""
+    row = F.col(row) if isinstance(row, str) else row
+    return F.shiftright(row, 33).cast("int"), row.bitwiseAND(F.lit((1 << 33) - 1))
