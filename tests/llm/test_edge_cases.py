@@ -235,6 +235,23 @@ def test_sharding_balances_and_splits_a_hot_group(spark, monkeypatch):
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 2 * 98
 
 
+def test_sharding_ranges_stay_short_where_a_third_of_the_rows_is_tiny(spark, monkeypatch):
+    """Null texts share one hash and hardly weigh anything beside long ones."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    rows = sharding.keyed(spark.createDataFrame([(i, None if i % 3 == 0 else f"{i} " + "x" * 5000) for i in range(6000)], "doc_id long, text string"))
+    n_rows, n_bytes = len(r := rows.collect()), sum(x.size for x in r)
+    got = sharding.ranged(rows, n_rows, n_bytes).collect()
+    ranges = defaultdict(list)
+    for x in got:
+        ranges[x["range"]].append((x.h, x.doc_id, x.row))
+    # 120 ranges asked for, four keys sampled for each
+    assert len(ranges) > 60 and max(map(len, ranges.values())) < 8 * 50
+    ordered = [ranges[k] for k in sorted(ranges)]
+    assert all(max(a) < min(b) for a, b in zip(ordered, ordered[1:]))
+    heads, stretches = sharding.splitters(rows, n_rows, n_bytes).first()
+    assert heads == [s[0] for s in stretches] and sum(map(len, stretches)) == max(ranges)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/x?y#z", "https://www.EXAMPLE.com/en/", "http://example.com", "http://example.com?/en/",
             "x://q.net/es/1", "x://net/fr/", "x://network/fr/", "http://a.org/#/en/", "a://b://c/d", "http://spam-farm.example.org/en/1",

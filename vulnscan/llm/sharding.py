@@ -1,8 +1,9 @@
 """Operator 9 [native]: shards by sampled splitters.
 
 Law ``bytes``: shard sizes are near equal. Records are keyed by (text hash,
-id, row number); a size-weighted sample of keys gives quantile boundaries, the
-boundaries cut all records into fine ranges, and exact byte totals of the ranges
+id, row number); a size-weighted sample of keys gives quantile boundaries (a small
+record counts as one of mean size, so that many tiny ones, equal texts too, do not share
+a range), the boundaries cut all records into fine ranges, and exact byte totals of the ranges
 place them in shards. A range that is overfull, i.e. crosses a shard boundary
 (always so for one that holds more than a shard), is subdivided by the running
 bytes of its own records. So shards differ by at most the largest record.
@@ -11,8 +12,9 @@ Equal texts share the leading key, hence lie next to each other: in one shard
 unless a boundary falls into the group. A group that is larger than a shard is
 subdivided by id and row number like any range.
 
-What goes through the driver: the boundaries (``ranges`` rows). The sample is
-sorted by Spark; texts are never shuffled, only (id, size, crc, hash) rows.
+What goes through the driver: the boundaries, at most ``MAX_RANGES`` keys, as the value
+of a scalar subquery. The sample, about ``SAMPLES_PER_RANGE`` times as many keys, is
+sorted in one task; texts are never shuffled, only (id, size, crc, hash) rows.
 
 Defined cases: null text has size 1 (no bytes plus 1) and the crc of the empty
 text; null ids are kept; repeated rows are kept row by row; an empty table gives
@@ -21,6 +23,8 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,8 +35,9 @@ SHARDS = 16
 #: Records a range holds on average, and keys sampled for each range.
 RANGE_ROWS = 200
 SAMPLES_PER_RANGE = 4
-#: Most ranges: bounds the boundaries that the driver and each task hold.
-MAX_RANGES = 4096
+#: Most ranges: bounds the boundaries that the driver and each task hold (1.5 MB). Beyond
+#: MAX_RANGES * RANGE_ROWS records the ranges get longer: 150,000 records at 10 billion.
+MAX_RANGES = 65_536
 _SPREAD = 1 << 40
 
 
@@ -51,48 +56,50 @@ def _key() -> Column:
     return F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"), "row")
 
 
-def splitters(rows: DataFrame, n_rows: int, n_bytes: int) -> list:
-    """Sorted boundaries: quantiles of a key sample in which a record's chance to be
-    drawn is its share of the bytes."""
+def splitters(rows: DataFrame, n_rows: int, n_bytes: int) -> DataFrame:
+    """One row (heads, stretches): the sorted boundaries in stretches of near the square
+    root of their number, and the first of each stretch. Boundaries are quantiles of a key
+    sample in which a record's chance to be drawn is its share of the bytes or of the
+    records, whichever is more: a range is bounded in both."""
     ranges = max(1, min(MAX_RANGES, n_rows // RANGE_ROWS))
-    rate = ranges * SAMPLES_PER_RANGE / max(1, n_bytes)
+    drawn = F.lit(float(ranges * SAMPLES_PER_RANGE))
+    share = F.greatest(F.col("size") / F.lit(float(max(1, n_bytes))), F.lit(1 / max(1, n_rows)))
     draw = F.pmod(F.xxhash64(F.lit(9), "h", "doc_id", "row"), F.lit(_SPREAD)) / F.lit(float(_SPREAD))
-    sample = rows.filter(draw < F.col("size") * F.lit(rate)).select(_key().alias("k"))
-    keys = sample.orderBy("k").select("k.*")
-    # every SAMPLES_PER_RANGE-th key of at most about ranges * SAMPLES_PER_RANGE
-    return [tuple(r) for i, r in enumerate(keys.toLocalIterator()) if i % SAMPLES_PER_RANGE == SAMPLES_PER_RANGE - 1]
-
-
-def _literal(key: tuple) -> Column:
-    return F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(key, ("h", "doc_id", "row"), strict=True)])
-
-
-def range_of(bounds: list) -> Column:
-    """Number of boundaries at or below the row's key, found in two steps: among
-    every 64th boundary, then inside that stretch."""
-    if not bounds:
-        return F.lit(0)
-    stretch = 64
-    heads = F.array(*[_literal(b) for b in bounds[::stretch]])
-    inner = F.array(*[F.array(*[_literal(b) for b in bounds[i : i + stretch]]) for i in range(0, len(bounds), stretch)])
+    sample = rows.filter(draw < share * drawn).agg(F.array_sort(F.collect_list(_key())).alias("keys"))
+    quantiles = F.filter("keys", lambda k, i: i % SAMPLES_PER_RANGE == SAMPLES_PER_RANGE - 1)
+    stretch = max(1, math.isqrt(ranges))
+    starts = F.filter(F.sequence(F.lit(0), F.size("bounds")), lambda i: (i % stretch == 0) & (i < F.size("bounds")))
+    cut = sample.select(quantiles.alias("bounds")).select(
+        F.transform(starts, lambda i: F.slice("bounds", i + 1, stretch)).alias("stretches"))
+    return C.stored(cut.select(F.transform("stretches", lambda s: s[0]).alias("heads"), "stretches"), "sharding-splitters")
+
+
+def ranged(rows: DataFrame, n_rows: int, n_bytes: int) -> DataFrame:
+    """Adds ``range``, the number of boundaries at or below the row's key, found in two
+    steps: among the heads, then inside that stretch."""
+    bounds = splitters(rows, n_rows, n_bytes).select(F.struct("heads", "stretches"))
+    found = F.col("_bounds")
     k = _key()
-    block = F.size(F.filter(heads, lambda b: b <= k)) - 1
-    inside = F.size(F.filter(F.element_at(inner, F.greatest(block, F.lit(0)) + 1), lambda b: b <= k))
-    return F.when(block < 0, 0).otherwise(block * stretch + inside)
+    block = F.size(F.filter(found["heads"], lambda b: b <= k)) - 1
+    inside = F.size(F.filter(F.get(found["stretches"], F.col("_block")), lambda b: b <= k))
+    length = F.size(F.get(found["stretches"], F.lit(0)))  # of each but the last
+    number = F.when(F.col("_block") < 0, 0).otherwise(F.col("_block") * length + inside)
+    found_block = rows.select("*", bounds.scalar().alias("_bounds")).withColumn("_block", block)
+    return found_block.withColumn("range", number.cast("int")).drop("_bounds", "_block")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in its shard)."""
     rows = keyed(docs, doc_id, text)
     n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranged = rows.withColumn("range", range_of(splitters(rows, n_rows, n_bytes)).cast("int"))
+    placed = ranged(rows, n_rows, n_bytes)
     # one row for each range: exact totals, and what lies before it
-    totals = ranged.groupBy("range").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
+    totals = placed.groupBy("range").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
                            F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
     inside = W.partitionBy("range").orderBy("h", "doc_id", "row")
-    ranked = ranged.select("*", (F.row_number().over(inside) - 1).alias("n"),
+    ranked = placed.select("*", (F.row_number().over(inside) - 1).alias("n"),
                            (F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).alias("b"))
     placed = ranked.join(F.broadcast(totals), "range").select(  # at most MAX_RANGES + 1 rows
         "doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("n")).alias("rank"),
