@@ -9,14 +9,15 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
-from vulnscan.llm import quality_classifier, queries
+from vulnscan.llm import base_columns, quality_classifier, queries
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
     names = set(E.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
+    assert {n.split("_")[0] for n in set(queries.QUERIES) - set(base_columns.QUERIES)} == {f"op{i}" for i in range(1, 14)}
+    assert not any(n.startswith("op") for n in base_columns.QUERIES)
     assert set(queries.QUERIES) <= names and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "jaccard_join", "decontamination", "pii", "packing"]
 
@@ -78,7 +79,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = queries.QUERIES[name](spark, SF)
     cols = ", ".join(got.columns)

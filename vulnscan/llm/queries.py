@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    base_columns,
     decontamination,
     hard_negatives,
     jaccard_join,
@@ -32,9 +33,11 @@ QUERIES = {
     "op11_hard_negatives": hard_negatives.query,
     "op12_periodic_runs": periodic_runs.query,
     "op13_simhash": simhash.query,
+    **base_columns.QUERIES,
 }
 ORACLE = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    **base_columns.ORACLE,
 }
