@@ -43,6 +43,7 @@ from ..functions.constants import (
     WS,
 )
 from ..functions.text import add_line_delimiters, clean_single_line
+from ..session import by_key
 from .directives import active_lines
 
 _UNBOUNDED_TO_PREV = (Window.unboundedPreceding, -1)
@@ -245,7 +246,7 @@ def assemble_methods(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def co_partition(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hash-partition files by their key once; all per-file windows reuse it."""
-    return files.repartition(key)
+    return by_key(files, key)
 
 
 def extract_methods(
