@@ -32,6 +32,8 @@ EPOCHS = 20
 RATE = 4.0
 DECAY = 1e-4
 PATIENCE = 3
+#: Rows whose features an epoch unfolds at a time; Arrow batches may hold many more.
+EPOCH_ROWS = 512
 
 
 @dataclass
@@ -51,17 +53,21 @@ def token_slot(token: Column, slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % slots).cast("int")
 
 
+def _features(column: pd.Series) -> pd.DataFrame:
+    made = []
+    for found in column:
+        slot, count = np.unique(np.asarray([] if found is None else found, np.int32), return_counts=True)
+        # arrays, not lists: a Python number takes up to nine times the room
+        made.append((slot, count / max(1.0, np.sqrt((count.astype(float) ** 2).sum()))))
+    return pd.DataFrame(made, columns=["slot", "value"])
+
+
 def hashed_rows(rows: DataFrame, keys: list[str], tokens_col: str = "tokens", slots: int = SLOTS) -> DataFrame:
     """(keys, slot array<int>, value array<double>): the distinct slots of a row with its
     counts over their root sum of squares. A row without tokens has empty arrays."""
     @F.pandas_udf("slot array<int>, value array<double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for column in batches:
-            made = []
-            for found in column:
-                slot, count = np.unique(np.asarray([] if found is None else found, np.int32), return_counts=True)
-                made.append((slot.tolist(), (count / max(1.0, np.sqrt((count.astype(float) ** 2).sum()))).tolist()))
-            yield pd.DataFrame(made, columns=["slot", "value"])
+        yield from map(_features, batches)
 
     slots_of = F.transform(tokens_col, lambda t: token_slot(t, slots))
     return rows.select(*keys, features(slots_of).alias("_f")).select(*keys, "_f.slot", "_f.value")
@@ -77,7 +83,7 @@ def _epoch(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = shared.value
         total = np.zeros(len(w) + 8)  # the last eight by their negative places
-        for batch in batches:
+        for batch in (whole.slice(at, EPOCH_ROWS) for whole in batches for at in range(0, whole.num_rows, EPOCH_ROWS)):
             held, y = batch.column(0).to_numpy(zero_copy_only=False).astype(bool), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
             sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             slot, value = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
