@@ -4,12 +4,13 @@ import zlib
 
 import brute
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
 import corpus_pipeline
-from vulnscan.llm import base_columns, quality_classifier, queries
+from vulnscan.llm import base_columns, packing, quality_classifier, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +23,16 @@ def test_every_operator_is_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "jaccard_join", "decontamination", "pii", "packing"]
 
 
+def test_ids_do_not_depend_on_the_words_remembered():
+    """The pipeline's packing remembers fewer words than the operator, with the same ids."""
+    texts = [" ".join(f"word{chr(97 + i % 26)}{i % 9} plain, {'xyz'[j % 3]}!" for i in range(j, j + 30)) for j in range(40)]
+    few, many = packing.Encoder(cached_words=16), packing.Encoder()
+    for at in range(0, len(texts), 4):
+        part = pa.array(texts[at : at + 4])
+        assert [x.tolist() for x in few.encode(part)] == [x.tolist() for x in many.encode(part)]
+    assert len(few.words.places) < len(many.words.places)
+
+
 def test_stages_equal_their_brute_force_versions(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns

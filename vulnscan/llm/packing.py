@@ -45,7 +45,9 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 POOL_TOKENS = 1 << 19
 GROUP_TOKENS = 1 << 16
-MAX_LETTERS = 400_000
+#: Words, and words of letters alone, that a task's encoder remembers: fewer take less
+#: memory and more time, and give the same ids.
+CACHED_WORDS = 400_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "context int, step_group long")
 
@@ -64,7 +66,7 @@ class Encoder:
     once: words of letters together in one call, where the end-of-word tokens tell
     them apart, the marks after them and all other words one by one."""
 
-    def __init__(self, name: str = VOCABULARY):
+    def __init__(self, name: str = VOCABULARY, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -74,14 +76,15 @@ class Encoder:
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.letters: dict[bytes, list[int]] = {}
-        self.words = C.WordIds(self._encode)
+        self.cached_words = cached_words
+        self.words = C.WordIds(self._encode, cached_words)
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         found = [_WORD.fullmatch(w) for w in words]
-        if len(self.letters) > MAX_LETTERS:
+        if len(self.letters) > self.cached_words:
             self.letters.clear()
         known = self.letters  # words of letters alone, which stand with many marks behind them
         letters = list({m[1] for m in found if m}.difference(known))
@@ -201,10 +204,11 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, name: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text", pool_tokens: int = POOL_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, name: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text", pool_tokens: int = POOL_TOKENS,
+         cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row for each piece; ``context`` is its sequence's length and ``step_group`` its group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(name), Packer(TaskContext.get().partitionId() << 33, pool_tokens=pool_tokens)
+        encoder, packer = Encoder(name, cached_words), Packer(TaskContext.get().partitionId() << 33, pool_tokens=pool_tokens)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
