@@ -79,7 +79,8 @@ def _scored_methods(files, key, weights, bias, threshold, model=None, line_level
         # the text goes with one token row only
         head = F.when(F.col("pos") == 0, F.struct("name", "method")).alias("_head")
         tokens = token_weights(tokens.select(*keys, "pos", "token", head), weights)
-        parts = [F.sum("w").alias("_z"), F.first("_head", ignorenulls=True).alias("_head")]
+        # a list of one: the buffer of first() is copied, text and all, with every token row
+        parts = [F.sum("w").alias("_z"), F.get(F.collect_list("_head"), F.lit(0)).alias("_head")]
         if line_level:
             score = F.greatest(F.col("w"), F.lit(0.0))
             parts.append(F.collect_list(F.struct("pos", is_separator(F.col("token")).alias("sep"), score.alias("score"))).alias("_pairs"))
