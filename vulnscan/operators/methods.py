@@ -244,9 +244,9 @@ def assemble_methods(tagged: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def co_partition(files: DataFrame, key: str = "doc_id") -> DataFrame:
+def co_partition(files: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
     """Hash-partition files by their key once; all per-file windows reuse it."""
-    return by_key(files, key)
+    return by_key(files, key, text=code)
 
 
 def extract_methods(
@@ -260,7 +260,7 @@ def extract_methods(
     Output: (key, method_idx, name, start_pos, end_pos, method) where
     ``method`` has line delimiters inserted (T6).
     """
-    src = co_partition(files.select(key, code), key) if partition else files.select(key, code)
+    src = co_partition(files.select(key, code), key, code) if partition else files.select(key, code)
     segs = brace_levels(segments(parse_tokens(src, key, code, literal_safe, symbols), key), key)
     m = assemble_methods(outermost(method_candidates(segs, key), key), key)
     return m.select(
@@ -272,7 +272,7 @@ def extract_methods(
 def brace_pairs(files: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
     """M4: (key, level, open_pos, close_pos) for every ``{`` with a partner;
     positions are 0-based characters of the cleaned one-line text."""
-    src = co_partition(files.select(key, code), key)
+    src = co_partition(files.select(key, code), key, code)
     segs = brace_levels(segments(parse_tokens(src, key, code), key), key)
     return segs.filter(F.col("partner").isNotNull()).select(
         key,
@@ -284,7 +284,7 @@ def brace_pairs(files: DataFrame, key: str = "doc_id", code: str = "code") -> Da
 
 def outermost_methods(files: DataFrame, key: str = "doc_id", code: str = "code") -> DataFrame:
     """M2 view: every candidate with its span and whether it was kept."""
-    src = co_partition(files.select(key, code), key)
+    src = co_partition(files.select(key, code), key, code)
     segs = brace_levels(segments(parse_tokens(src, key, code), key), key)
     t = outermost(method_candidates(segs, key), key).filter("cand")
     return t.select(
