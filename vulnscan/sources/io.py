@@ -7,7 +7,13 @@ column pruning / partition pruning apply.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import shutil
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_utf8
@@ -71,14 +77,79 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
     return df if split is None else df.filter(F.col("split") == split)
 
 
+#: Files in a folder that ``write_code_files`` makes.
+FOLDER_FILES = 1000
+#: Spark's name for the folder of a null or empty key, and the characters it escapes.
+NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = {c: f"%{c:02X}" for c in (*range(1, 0x20), *b"\"#%'*/:=?\\\x7f{[]^")}
+
+
 def write_code_files(files: DataFrame, path: str, key: str = "doc_id", code: str = "code") -> None:
-    """One text file per file key, under ``key=<value>/`` folders.
+    """One text file per file key, whose path holds ``<key>=<value>`` (``file_key``).
+
+    Repartitioning by the key first puts every key in exactly one task. Each row ends
+    with one ``\\n``, as Spark's text sink (whose separator cannot be empty) has it.
 
-    Spark's text sink ends every row with a line separator (it cannot be
-    empty), so each written file is the code followed by one ``\\n``.
-    Repartitioning by the key first puts every key in exactly one task.
+    On a file system that all executors mount (``file:``) the tasks write
+    ``folder=<f>/<key>=<value>.txt``, ``FOLDER_FILES`` in a folder: Spark's local sink starts
+    a process (``chmod``) several times a file, moves the files one by one in the driver,
+    and a folder a file makes the listing slow. Elsewhere the text sink writes a folder a key.
     """
-    files.select(key, code).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+    rows = files.select(key, code).repartition(key)
+    root = local_path(path)
+    if root is None:
+        rows.write.mode("overwrite").partitionBy(key).text(path)
+        return
+    if os.path.isdir(root):
+        shutil.rmtree(root)
+    os.makedirs(root)
+    named = rows.select(F.col(key).cast("string").alias("_key"), F.col(code).cast("binary").alias("_code")).sortWithinPartitions("_key")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"n": [_write_files(batches, root, key)]}, pa.schema([("n", pa.int64())]))
+
+    named.mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+
+def _write_files(batches: Iterator[pa.RecordBatch], root: str, key: str) -> int:
+    """Writes rows sorted by key; a file gets its name when it is whole, so an attempt that
+    is stopped or runs twice leaves no half file."""
+    task = TaskContext.get()
+    number, attempt = task.partitionId(), task.taskAttemptId()
+    last, out, n, ends = None, None, 0, ("", "")
+    for batch in batches:
+        for value, code in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            value = value or None
+            if out is None or value != last:
+                if out is not None:
+                    out.close()
+                    os.replace(*ends)
+                folder = os.path.join(root, f"folder=t{number}-{n // FOLDER_FILES}")
+                if n % FOLDER_FILES == 0:
+                    os.makedirs(folder, exist_ok=True)
+                name = f"{key}={value.translate(_ESCAPED) if value else NO_KEY}.txt"
+                ends = os.path.join(folder, f".{attempt}"), os.path.join(folder, name)
+                out, last, n = open(ends[0], "wb"), value, n + 1
+            out.write((code or b"") + b"\n")
+    if out is not None:
+        out.close()
+        os.replace(*ends)
+    return n
+
+
+def local_path(path: str) -> str | None:
+    """The path on this machine of a ``file:`` path; None for any other, also for one
+    without a scheme, which is the default file system's."""
+    rest = path.removeprefix("file:")
+    rest = rest[2:] if rest.startswith("//") else rest
+    return rest if path.startswith("file:") and rest.startswith("/") else None
+
+
+def file_key(key: str = "doc_id", path: Column | str = "path") -> Column:
+    """The key, as a string, in the path of a file of ``write_code_files`` (characters that
+    its name escapes stay escaped); null for the file of null keys."""
+    value = F.regexp_extract(path, rf"/{key}=([^/]*?)(?:\.txt|/[^/]*)$", 1)
+    return F.when(~value.isin("", NO_KEY), value)
 
 
 def read_code_files(spark: SparkSession, path: str) -> DataFrame:
