@@ -31,6 +31,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -182,11 +183,19 @@ class MergeTransducer:
     def encode(self, word: bytes) -> list[bytes]:
         """Plain merging of a short string, lowest rank first, leftmost first."""
         parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+        rank_of, none = self.ranks.get, len(self.ranks)
+        ranks = [rank_of(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
                 break
+            i = ranks.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((parts[i], parts[i + 1]), none)
         return parts
 
     def compatible(self, left: bytes | None, right: bytes) -> bool:
@@ -196,7 +205,8 @@ class MergeTransducer:
         if known is None:
             if len(self.fits) >= MAX_STATES:
                 self.fits.clear()
-            known = self.fits[left, right] = self.encode(left + right) == [left, right]
+            # a pair that merges is never left as two
+            known = self.fits[left, right] = (left, right) not in self.ranks and self.encode(left + right) == [left, right]
         return known
 
     def encodes(self, token: bytes) -> bool:
@@ -320,7 +330,7 @@ class TokenCounter:
         cuts = cuts.tolist()
         cuts.append(len(data))
         words = self.words
-        n = np.fromiter((words[data[a:b]] for a, b in zip(cuts, cuts[1:])), np.int64, len(cuts) - 1)
+        n = np.fromiter(map(words.__getitem__, map(data.__getitem__, map(slice, cuts, cuts[1:]))), np.int64, len(cuts) - 1)
         owner = np.asarray(owners)[np.searchsorted(ends, at)]
         out += np.bincount(owner, weights=n, minlength=len(out)).astype(np.int64)
 
@@ -341,11 +351,18 @@ def stretches(text: str) -> Iterator[str]:
 _CUT = re.compile(r"(?<=[0-9A-Za-z])[ \n]")
 
 
+@lru_cache(1)
+def compiled(name: str) -> TokenCounter:
+    """The counter of a worker process: its tasks share what they have learnt, within the
+    bounds of its caches."""
+    return TokenCounter(name)
+
+
 def counter(name: str = VOCABULARY):
     """Column function: number of tokens of a text."""
     @F.pandas_udf("long")
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = TokenCounter(name)
+        count = compiled(name)
         for texts in batches:
             yield pd.Series(count.counts(texts.tolist()))
 
