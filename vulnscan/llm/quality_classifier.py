@@ -44,7 +44,9 @@ FREQUENT = 1e-3
 STEPS = 64
 #: Texts whose words a task numbers at a time, and words that it projects at a time.
 ROWS = 1024
-CHUNK = 250_000
+CHUNK = 100_000
+#: Rows of a sum that a task hands over at a time: both sides hold a batch as Arrow buffers.
+HANDED = 8192
 MAX_LABELLED = 20_000
 HIDDEN = 32
 KEEP_SCORE = 0.7
@@ -114,14 +116,19 @@ class Types(dict):
 def index_vectors(rows: int = SHAPES) -> np.ndarray:
     """Ternary: four entries of +-1 a row."""
     rng = np.random.default_rng(6)
-    places = rng.random((rows, DIMENSIONS), np.float32).argpartition(4, axis=1)[:, :4]
-    out = np.zeros((rows, DIMENSIONS), np.int64)
-    np.put_along_axis(out, places, rng.choice([-1, 1], (rows, 4)), axis=1)
+    drawn = rng.random((rows, DIMENSIONS), np.float32)
+    # a part at a time: all places at once are eight bytes an entry
+    places = np.concatenate([drawn[a : a + HANDED].argpartition(4, axis=1)[:, :4].astype(np.uint8) for a in range(0, rows, HANDED)])
+    out = np.zeros((rows, DIMENSIONS), np.int8)
+    np.put_along_axis(out, places.astype(np.intp), rng.choice([-1, 1], (rows, 4)).astype(np.int8), axis=1)
     return out
 
 
-def _rows(used: np.ndarray, columns, names) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(used), *map(pa.array, columns)], names=["slot", *names])
+def _rows(used: np.ndarray, sums: np.ndarray, names) -> Iterator[pa.RecordBatch]:
+    """The used slots with their sums, in batches."""
+    for a in range(0, max(1, len(used)), HANDED):
+        part = used[a : a + HANDED]
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c) for c in np.ascontiguousarray(sums[part].T))], names=["slot", *names])
 
 
 def _summed(docs: DataFrame, text: str, task, names: list[str]) -> np.ndarray:
@@ -143,7 +150,7 @@ def slot_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
                 codes, distinct, _ = C.word_codes(batch.column(0).slice(at, ROWS))
                 np.add.at(n, slots.of(distinct), np.bincount(codes, minlength=len(distinct)))
         used = np.flatnonzero(n)
-        yield _rows(used, [n[used]], ["n"])
+        yield from _rows(used, n[:, None], ["n"])
 
     return _summed(docs, text, count, ["n"])[:, 0]
 
@@ -156,13 +163,14 @@ def weights(counts: np.ndarray) -> np.ndarray:
 
 def context_table(docs: DataFrame, text: str = "text", counts: np.ndarray | None = None) -> np.ndarray:
     """Context vectors of all slots, from all documents, less the mean context."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights(slot_counts(docs, text) if counts is None else counts).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(weights(slot_counts(docs, text) if counts is None else counts).astype(np.int16))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Slots()
         # the row behind the last is no word's: it stands between texts
         index = np.zeros((BUCKETS + 1, DIMENSIONS + 1), np.int16)
-        index[:BUCKETS, :-1] = index_vectors(BUCKETS) * shared.value[:, None]  # at most STEPS; sums of 2 * SPAN fit
+        # at most STEPS; sums of 2 * SPAN fit
+        np.multiply(index_vectors(BUCKETS), shared.value[:, None], out=index[:BUCKETS, :-1])
         index[:BUCKETS, -1] = 1  # counts neighbours
         near = np.zeros((BUCKETS, DIMENSIONS + 1), np.int64)
         for batch in batches:
@@ -187,7 +195,7 @@ def context_table(docs: DataFrame, text: str = "text", counts: np.ndarray | None
                     known = part[starts] < BUCKETS
                     near[part[starts[known]]] += sums[known]
         used = np.flatnonzero(near[:, -1])
-        yield _rows(used, [near[used, i] for i in range(DIMENSIONS + 1)], names)
+        yield from _rows(used, near, names)
 
     names = [*(f"c{i}" for i in range(DIMENSIONS)), "n"]
     near = _summed(docs, text, project, names).astype(float)
