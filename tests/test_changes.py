@@ -46,3 +46,41 @@ def test_snapshots_of_one_batch_give_the_net_change(spark):
         CH.append_snapshot(spark.createDataFrame(rows, "path string, code string"), folder, START + timedelta(hours=n))
     log = CH.run_change_scan(spark, folder, sink, ckpt).collect()
     assert sorted((r.path, r.change, r.code) for r in log) == [("a", "added", "y"), ("b", "added", "x"), ("b", "deleted", None)]
+
+
+def test_late_rows_grace_and_a_retried_batch(spark):
+    folder, sink, ckpt = (scratch_path(spark, n) for n in ("snapshots", "changes", "changes-ckpt"))
+
+    def step(hours, rows):
+        CH.append_snapshot(spark.createDataFrame(rows, "path string, code string"), folder, START + timedelta(hours=hours))
+        log = CH.run_change_scan(spark, folder, sink, ckpt, "1 hour 30 minutes").collect()
+        last = max(r.batch_id for r in log)
+        return last, sorted((r.path, r.change, r.code) for r in log if r.batch_id == last)
+
+    assert step(0, [("a", "x"), ("b", "x"), ("c", None)])[1] == [("a", "added", "x"), ("b", "added", "x"), ("c", "added", None)]
+    batch, log = step(1, [("a", "y")])
+    assert log == [("a", "changed", "y")]
+    assert step(2, [("a", "y"), ("d", "x")])[1] == [("b", "deleted", None), ("c", "deleted", None), ("d", "added", "x")]
+    # the watermark is at 0:30 now: the first snapshot is late, the second is not, but not newer than what is known
+    assert step(0.25, [("e", "x")])[0] == batch + 1
+    assert step(0.75, [("e", "x"), ("a", "z")])[1] == [("a", "changed", "z"), ("e", "added", "x")]
+    assert step(3, [("a", "z")])[1] == [("e", "deleted", None)]
+    assert {(r.path, r.at_ms % 3_600_000) for r in CH.change_log(spark, sink).filter("path = 'a'").collect()} == {("a", 0)}
+
+    # the last batch again, as after a failure before its commit
+    before = sorted(map(repr, CH.change_log(spark, sink).collect()))
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits")
+    fs = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max(int(f.getPath().getName()) for f in fs.listStatus(commits) if f.getPath().getName().isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{ckpt}/commits/{name}"), False)
+    assert sorted(map(repr, CH.run_change_scan(spark, folder, sink, ckpt, "1 hour 30 minutes").collect())) == before
+
+
+def test_no_python_per_path(spark):
+    rows = spark.createDataFrame([("a", "x", START)], CH.SNAPSHOT)
+    state = CH.track_versions(rows, spark.createDataFrame([], CH.STATE))
+    for df in (state, CH.file_changes(rows, state)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Pandas" not in plan and "Python" not in plan.replace("PythonRDD", "")
+    assert state.count() == 1
