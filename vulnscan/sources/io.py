@@ -2,14 +2,18 @@
 
 All paths may be any Hadoop file system path (HDFS, object store, local).
 Files are read by Spark's own readers, so reading is split across tasks and
-column pruning / partition pruning apply.
+column pruning / partition pruning apply. The folders of ``write_code_files`` are listed
+and read by tasks: Spark's file index keeps every file in the driver, and its planner
+counts 4 MB for opening one, which makes a task of every few small files.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import shutil
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -152,12 +156,114 @@ def file_key(key: str = "doc_id", path: Column | str = "path") -> Column:
     return F.when(~value.isin("", NO_KEY), value)
 
 
+#: Tasks for each core that list and read folders, a folder a task at most.
+READ_TASKS = 32
+#: Bytes of files that a task puts into one batch of rows.
+BATCH_BYTES = 4 << 20
+_GLOB = re.compile(r"[*?{}\[\]\\]")
+#: What a java.net.URI, as Spark shows the path of a text file, writes as ``%XX``.
+_CODED = re.compile("[\x00-\x20\"#%<>?\\[\\\\\\]^`{|}\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def is_hidden(name: str) -> bool:
+    """Whether Spark's readers leave out a file or folder of this name."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def uri_path(path: str) -> str:
+    """A local path as ``_metadata.file_path`` has it."""
+    return "file:" + _CODED.sub(lambda m: quote(m[0], safe=""), path)
+
+
+def written_folders(path: str) -> list[str] | None:
+    """The folders under a path if it has nothing but those of ``write_code_files``."""
+    root = local_root(path)
+    if root is None:
+        return None
+    folders = []
+    with os.scandir(root) as entries:
+        for entry in entries:
+            if is_hidden(entry.name):
+                continue
+            if not (re.fullmatch(r"folder=t[0-9]+-[0-9]+", entry.name) and entry.is_dir()):
+                return None
+            folders.append(f"{root}/{entry.name}")
+    return sorted(folders) or None
+
+
+def local_root(path: str) -> str | None:
+    """The folder on this machine of a ``file:`` path without wildcards; None for others."""
+    root = local_path(path)
+    if root is None or _GLOB.search(root) or not os.path.isdir(root):
+        return None
+    return re.sub("/+", "/", root).rstrip("/")
+
+
+def file_batches(paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    """(path, content) of files, about ``BATCH_BYTES`` a batch. Empty files give no row, as
+    in Spark's readers."""
+    names: list[str] = []
+    contents: list[bytes] = []
+    size = 0
+    for path in paths:
+        with open(path, "rb") as f:
+            content = f.read()
+        if not content:
+            continue
+        names.append(path)
+        contents.append(content)
+        size += len(content)
+        if size >= BATCH_BYTES:
+            yield _batch(names, contents)
+            names, contents, size = [], [], 0
+    if names:
+        yield _batch(names, contents)
+
+
+def _batch(names: list[str], contents: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+
+def _files_in(folder: str, suffix: str) -> Iterator[str]:
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            if is_hidden(entry.name):
+                continue
+            if entry.is_dir():
+                raise ValueError(f"{entry.path}: a folder among code files")
+            if entry.name.endswith(suffix):
+                yield entry.path
+
+
+def _read_folders(spark: SparkSession, folders: list[str], suffix: str = "", uri: bool = False) -> DataFrame:
+    """(path, content, length, folder) of the files in folders; tasks list and read them.
+    The rows come from an RDD, so Spark takes them for a large table, not for one of as
+    many bytes as there are folders."""
+    sc = spark.sparkContext
+    rows = sc.parallelize([(f,) for f in folders], min(len(folders), READ_TASKS * sc.defaultParallelism))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                value = folder.rpartition("/folder=")[2]
+                for found in file_batches(_files_in(folder, suffix)):
+                    paths = pa.array([uri_path(p) if uri else f"file:{p}" for p in found["path"].to_pylist()], pa.string())
+                    lengths = pa.array([len(c) for c in found["content"].to_pylist()], pa.int64())
+                    value_column = pa.array([value] * found.num_rows, pa.string())
+                    yield pa.RecordBatch.from_arrays([paths, found["content"], lengths, value_column], ["path", "content", "length", "folder"])
+
+    return spark.createDataFrame(rows, "dir string").mapInArrow(read, "path string, content binary, length long, folder string")
+
+
 def read_code_files(spark: SparkSession, path: str) -> DataFrame:
     """S3: every file under ``path`` as one row (UTF-8; BOM and CR kept).
 
     Output: (path, code, <partition columns>). ``wholetext`` must be set as an
     option of the generic loader (H9).
     """
+    folders = written_folders(path)
+    if folders is not None:
+        return _read_folders(spark, folders, uri=True).select("path", F.col("content").cast("string").alias("code"), "folder")
     df = spark.read.format("text").option("wholetext", True).load(path)
     extra = [c for c in df.columns if c != "value"]
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"), *extra)
@@ -165,6 +271,9 @@ def read_code_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_code_bytes(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """Raw bytes of every file: (path, content, length, <partition columns>)."""
+    folders = written_folders(path) if glob == "*.txt" else None
+    if folders is not None:
+        return _read_folders(spark, folders, ".txt")
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     extra = [c for c in df.columns if c not in ("path", "modificationTime", "length", "content")]
     return df.select("path", "content", "length", *extra)
