@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import shutil
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -199,9 +199,14 @@ def local_root(path: str) -> str | None:
     return re.sub("/+", "/", root).rstrip("/")
 
 
-def file_batches(paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
-    """(path, content) of files, about ``BATCH_BYTES`` a batch. Empty files give no row, as
-    in Spark's readers."""
+def plain_path(path: str) -> str:
+    """A local path as the binary reader has it."""
+    return f"file:{path}"
+
+
+def file_batches(paths: Iterable[str], shown: Callable[[str], str] = uri_path) -> Iterator[pa.RecordBatch]:
+    """(path, content) of files, about ``BATCH_BYTES`` a batch, the paths as ``shown``.
+    Empty files give no row, as in Spark's readers."""
     names: list[str] = []
     contents: list[bytes] = []
     size = 0
@@ -210,7 +215,7 @@ def file_batches(paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
             content = f.read()
         if not content:
             continue
-        names.append(path)
+        names.append(shown(path))
         contents.append(content)
         size += len(content)
         if size >= BATCH_BYTES:
@@ -235,7 +240,7 @@ def _files_in(folder: str, suffix: str) -> Iterator[str]:
                 yield entry.path
 
 
-def _read_folders(spark: SparkSession, folders: list[str], suffix: str = "", uri: bool = False) -> DataFrame:
+def _read_folders(spark: SparkSession, folders: list[str], suffix: str = "", shown: Callable[[str], str] = uri_path) -> DataFrame:
     """(path, content, length, folder) of the files in folders; tasks list and read them.
     The rows come from an RDD, so Spark takes them for a large table, not for one of as
     many bytes as there are folders."""
@@ -246,13 +251,12 @@ def _read_folders(spark: SparkSession, folders: list[str], suffix: str = "", uri
         for batch in batches:
             for folder in batch.column(0).to_pylist():
                 value = folder.rpartition("/folder=")[2]
-                for found in file_batches(_files_in(folder, suffix)):
-                    paths = pa.array([uri_path(p) if uri else f"file:{p}" for p in found["path"].to_pylist()], pa.string())
-                    lengths = pa.array([len(c) for c in found["content"].to_pylist()], pa.int64())
-                    value_column = pa.array([value] * found.num_rows, pa.string())
-                    yield pa.RecordBatch.from_arrays([paths, found["content"], lengths, value_column], ["path", "content", "length", "folder"])
+                for found in file_batches(_files_in(folder, suffix), shown):
+                    values = pa.array([value] * found.num_rows, pa.string())
+                    yield pa.RecordBatch.from_arrays([*found.columns, values], ["path", "content", "folder"])
 
-    return spark.createDataFrame(rows, "dir string").mapInArrow(read, "path string, content binary, length long, folder string")
+    files = spark.createDataFrame(rows, "dir string").mapInArrow(read, "path string, content binary, folder string")
+    return files.select("path", "content", F.octet_length("content").cast("bigint").alias("length"), "folder")
 
 
 def read_code_files(spark: SparkSession, path: str) -> DataFrame:
@@ -263,7 +267,7 @@ def read_code_files(spark: SparkSession, path: str) -> DataFrame:
     """
     folders = written_folders(path)
     if folders is not None:
-        return _read_folders(spark, folders, uri=True).select("path", F.col("content").cast("string").alias("code"), "folder")
+        return _read_folders(spark, folders).select("path", F.col("content").cast("string").alias("code"), "folder")
     df = spark.read.format("text").option("wholetext", True).load(path)
     extra = [c for c in df.columns if c != "value"]
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"), *extra)
@@ -273,7 +277,7 @@ def read_code_bytes(spark: SparkSession, path: str, glob: str = "*.txt") -> Data
     """Raw bytes of every file: (path, content, length, <partition columns>)."""
     folders = written_folders(path) if glob == "*.txt" else None
     if folders is not None:
-        return _read_folders(spark, folders, ".txt")
+        return _read_folders(spark, folders, ".txt", plain_path)
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     extra = [c for c in df.columns if c not in ("path", "modificationTime", "length", "content")]
     return df.select("path", "content", "length", *extra)
