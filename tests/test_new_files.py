@@ -13,6 +13,14 @@ CODE = "class C { int %s() { return 1; } }\n"
 COLS = ["path", "method_idx", "name", "method", "p1", "vulnerable", "vul_lines"]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def active_session(spark):
+    """The batches of a stream leave its own session active, by whichever source; a new frame
+    makes this one active again for the tests that follow."""
+    yield
+    spark.createDataFrame([(0,)], "i int")
+
+
 def _write(root, name, method):
     file = root / name
     file.parent.mkdir(parents=True, exist_ok=True)
